@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.operators import drift, nested, proximity
+from pelorus.operators import drift, nested, proximity, spikes, trips
+from pelorus.session import stored
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,4 +90,22 @@ def p6_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.withColumn("all_scenarios_complete", whole).drop("source_coverage")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_table, p5_casts, p5_paths, p6_found, p6_objects, p6_areas)}
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stays = trips.stays(trips.parts(read(spark, sf_dir, "position_reports")))
+    return stays.select("user_id", F.floor((F.col("start_s") + F.col("end_s")) / 2 / 3600).alias("mid_hour")).distinct()
+
+
+def p3_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays and voyages of every vessel."""
+    return trips.stays_and_voyages(stored(trips.parts(read(spark, sf_dir, "position_reports")), "trip-parts"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.implausible(read(spark, sf_dir, "position_reports"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p3_found, p3_trips, p5_found, p5_table, p5_casts, p5_paths, p6_found, p6_objects, p6_areas, p7_found)
+}
