@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import nearest_time, splits
+from pelorus.llm import leaks, nearest_time, packing, splits
 from pelorus.session import stored
 
 
@@ -77,4 +77,32 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(splits.assign(weights, SHARES), "component").select("area_id", "component", "split")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_offsets, p4_found, p4_splits)}
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each speech or piece of one."""
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    packed = packing.pack(packing.token_counts(texts))
+    return packed.select(F.col("id").alias("doc_id"), "piece_no", "first_token", F.col("size").alias("tokens"), "container_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, tokens in them, the fewest containers there could be, and the share left unused."""
+    used = p8_packing(spark, sf_dir).where("container_id > 0")
+    out = used.agg(F.countDistinct("container_id").alias("containers"), F.sum("tokens").alias("tokens"))
+    least = F.ceil(F.col("tokens") / packing.CAPACITY)
+    return out.withColumn("least_containers", least).withColumn("unused_share", 1 - F.col("tokens") / (F.col("containers") * packing.CAPACITY))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "test_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked test item with the documents it is in and the longest run of its words in one."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_offsets, p4_found, p4_splits, p8_packing, p8_fill, p9_found, p9_items)}
