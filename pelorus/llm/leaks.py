@@ -132,6 +132,9 @@ class Index:
                 s = seeds(h, mask, m)
                 keys.append(s)
                 refs.append(np.stack([np.full(len(s), k), np.arange(len(s))], axis=1))
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.int64) if self.ids else np.zeros(0, np.int64)
+        self.flat = np.concatenate(self.hashes) if self.ids else np.zeros(0, np.uint64)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         ref = np.concatenate(refs) if refs else np.zeros((0, 2), int)
         order = np.argsort(key, kind="stable")
@@ -160,22 +163,35 @@ class Index:
                 found.append(np.array([(k << 32) + at + (1 << 30)]))
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def run(self, ws: list[str], h: np.ndarray, k: int, shift: int) -> int:
-        """Words of the longest run that item k and the document share along a shift; 0 if it is no case."""
-        v, own = self.words[k], self.hashes[k]
-        a, b = max(0, -shift), min(len(v), len(h) - shift)
-        need = min(self.passage, len(v))
-        if b - a < need:
-            return 0
-        same = own[a:b] == h[a + shift : b + shift]
-        total = np.r_[0, np.cumsum(~same)]
-        if (total[need:] - total[:-need]).min() > ALTERED * need:
-            return 0
-        differ = np.flatnonzero(~same)
-        breaks = [i for i in differ if not slip(v[a + i], ws[a + i + shift])]
-        edges = np.r_[-1, breaks, b - a].astype(int)
-        best = int(np.diff(edges).max()) - 1
-        return best if best >= need else 0
+    def runs(self, ws: list[str], h: np.ndarray) -> dict[int, int]:
+        """Items a document holds a passage of, each with the words of the longest run they share."""
+        found = self.candidates(h)
+        k, shift = found >> 32, (found & 0xFFFFFFFF) - (1 << 30)
+        begin, end = np.maximum(0, -shift), np.minimum(self.size[k], len(h) - shift)
+        need = np.minimum(self.passage, self.size[k])
+        fits = end - begin >= need
+        k, shift, begin, end, need = (x[fits] for x in (k, shift, begin, end, need))
+        if not len(k):
+            return {}
+        # all shifts laid end to end; altered words of every window of `need` words
+        n = end - begin
+        first = np.r_[0, np.cumsum(n)[:-1]]
+        place = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(begin, n)
+        differ = self.flat[place + np.repeat(self.start[k], n)] != h[place + np.repeat(shift, n)]
+        total = np.r_[0, np.cumsum(differ)]
+        windows = n - need + 1
+        lead = np.r_[0, np.cumsum(windows)[:-1]]
+        at = np.arange(windows.sum()) - np.repeat(lead, windows) + np.repeat(first, windows)
+        least = np.minimum.reduceat(total[at + np.repeat(need, windows)] - total[at], lead)
+        best: dict[int, int] = {}
+        for i in np.flatnonzero(least <= ALTERED * need):
+            v, a, s = self.words[k[i]], int(begin[i]), int(shift[i])
+            odd = np.flatnonzero(differ[first[i] : first[i] + n[i]])
+            breaks = [j for j in odd if not slip(v[a + j], ws[a + j + s])]
+            run = int(np.diff(np.r_[-1, breaks, n[i]].astype(int)).max()) - 1
+            if run >= need[i] and run > best.get(int(k[i]), 0):
+                best[int(k[i])] = run
+        return best
 
 
 def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -197,14 +213,7 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE_WORDS,
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                     ws = words(text)
-                    h = hasher(ws)
-                    best: dict[int, int] = {}
-                    for c in index.candidates(h):
-                        k, shift = int(c) >> 32, (int(c) & 0xFFFFFFFF) - (1 << 30)
-                        n = index.run(ws, h, k, shift)
-                        if n > best.get(k, 0):
-                            best[k] = n
-                    rows.extend((doc_id, index.ids[k], n) for k, n in best.items())
+                    rows.extend((doc_id, index.ids[k], n) for k, n in index.runs(ws, hasher(ws)).items())
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run"])
 
         found = documents.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)
