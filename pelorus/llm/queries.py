@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelorus.llm import leaks, nearest_time, packing, splits
+from pelorus.llm import leaks, nearest_time, packing, quality, splits
 from pelorus.session import stored
 
 
@@ -105,4 +105,23 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_offsets, p4_found, p4_splits, p8_packing, p8_fill, p9_found, p9_items)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(read(spark, sf_dir, "documents")).where("junk").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five plain statistics of each speech."""
+    stats = quality.statistics(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    five = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
+    return stats.select("doc_id", F.col("words").cast("bigint").alias("words"), *[F.round(c, 6).alias(c) for c in five])
+
+
+def p10_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of each speech with the probability that it is a list, a table or junk."""
+    return quality.judged(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_offsets, p4_found, p4_splits, p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics, p10_judged)
+}
