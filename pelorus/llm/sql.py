@@ -1,5 +1,10 @@
 """The SQL that each query of this folder is checked by, where SQL can say it."""
 
+from pelorus.llm.quality import _END as _LINE_END
+from pelorus.llm.quality import COMMON
+
+_END = _LINE_END.replace("'", "''")
+
 _AREAS = """
     select area_id, split, geographic_group, native_acquisition_group, product_name,
         try_cast(nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim(support_user_id)), '^MMSI\\s*', ''), '\\.0*$', ''), '\\s', '', 'g'), '') as bigint) as vessel,
@@ -36,4 +41,15 @@ SQL = {
         select area_id, report_id from m where n = 1
     """,
     "p4_found": _CHAINS + "select area_id from comp where component in (select component from comp group by component having count(distinct split) > 1)",
+    "p10_statistics": f"""
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        w as (select doc_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') as words,
+            list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(trim(x), '^[>\\s]+', '')), lambda x: trim(x) <> '') as lines from d)
+        select doc_id, len(words) as words,
+            round(coalesce(list_sum(list_transform(words, lambda x: length(x))) / nullif(len(words), 0), 0), 6) as mean_word_length,
+            round(coalesce(length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g')) / nullif(length(t), 0), 0), 6) as symbol_ratio,
+            round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '{_END}'))) / nullif(len(lines), 0), 0), 6) as punctuated_line_share,
+            round(coalesce(len(list_filter(words, lambda x: list_contains({list(COMMON)!r}, lower(regexp_replace(x, '[^\\p{{L}}''’]+', '', 'g'))))) / nullif(len(words), 0), 0), 6) as common_word_share
+        from w
+    """,
 }
