@@ -1,10 +1,10 @@
 """Matching records by nearest time: a stateful streaming join of two tables.
 
-Both sides run as streams. Rows are keyed by entity and slice of time, so that the state of one key is
-bounded by what an entity can send in a slice, however long its history; a left row visits every slice its
-tolerance reaches, and the best of its slices wins. Each key buffers both sides; when the watermark has
-passed a left row's tolerance horizon it is emitted with its nearest right row, and candidates that no
-open left row can still reach are evicted.
+Both sides run as streams. Each entity's rows are cut into slices of time, which are spread over shards: a
+shard's state holds the buffers of many slices, and an entity with a long history lies in many shards. A
+left row visits every slice its tolerance reaches, and the best of its slices wins. Both sides are buffered
+per entity; when the watermark has passed a left row's tolerance horizon it is emitted with its nearest
+right row, and candidates that no open left row can still reach are evicted.
 
 Defined cases: rows without entity or time take no part; offsets count in whole microseconds, the
 tolerance is inclusive; of two equally near instants the earlier wins, of several rows at that instant the
@@ -25,76 +25,103 @@ from pyspark.sql.types import StructType
 
 from pelorus.session import shared_path
 
-SIDE = "side string, entity bigint, t long, id bigint, at timestamp, slot long"
-STATE = "lt array<bigint>, li array<bigint>, rt array<bigint>, ri array<bigint>"
+STATE = ", ".join(f"{c} array<bigint>" for c in ("le", "lt", "li", "re", "rt", "ri"))
 OUT = "left_id bigint, right_id bigint, offset_us bigint, right_us bigint"
 #: The last instant an end marker may carry; far beyond data, within the range of timestamps.
 END_US = 4_102_444_800_000_000
 MICRO = 1_000_000
+_NONE = np.zeros(0, "int64")
 
 
-def nearest(lt: np.ndarray, li: np.ndarray, rt: np.ndarray, ri: np.ndarray, tolerance_us: int) -> pd.DataFrame:
-    """The nearest of the right rows (in order of instant, one per instant) for each left row that has one."""
-    if not len(lt) or not len(rt):
-        return pd.DataFrame({c.split()[0]: pd.Series(dtype="int64") for c in OUT.split(", ")})
-    at = np.searchsorted(rt, lt)  # the first instant not before
-    before, after = np.maximum(at - 1, 0), np.minimum(at, len(rt) - 1)
-    take = np.where((at > 0) & ((at == len(rt)) | (lt - rt[before] <= rt[after] - lt)), before, after)
-    off = rt[take] - lt
-    ok = np.abs(off) <= tolerance_us
-    return pd.DataFrame({"left_id": li[ok], "right_id": ri[take][ok], "offset_us": off[ok], "right_us": rt[take][ok]})
+def nearest(left: np.ndarray, right: np.ndarray, tolerance_us: int) -> pd.DataFrame:
+    """The nearest right row of the same entity for each left row that has one. Rows: entity, t, id.
 
-
-def _compact(t: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In order of instant, the smallest id of each."""
-    order = np.lexsort((i, t))
-    t, i = t[order], i[order]
-    first = np.ones(len(t), bool)
-    first[1:] = t[1:] != t[:-1]
-    return t[first], i[first]
+    right must be in order of entity and instant, one row per instant.
+    """
+    n = left.shape[1]
+    at = _place(left, right)
+    found = []
+    for j in (at - 1, at):  # the last before, the first not before
+        ok = (j >= 0) & (j < right.shape[1])
+        k = np.clip(j, 0, max(0, right.shape[1] - 1))
+        if not right.shape[1]:
+            ok, k = np.zeros(n, bool), np.zeros(n, int)
+            found.append((ok, np.zeros(n, "int64"), k))
+            continue
+        ok &= right[0][k] == left[0]
+        off = np.where(ok, right[1][k] - left[1], 0)
+        found.append((ok & (np.abs(off) <= tolerance_us), off, k))
+    (ok_b, off_b, b), (ok_a, off_a, a) = found
+    before = ok_b & (~ok_a | (-off_b <= off_a))
+    ok, k, off = ok_b | ok_a, np.where(before, b, a), np.where(before, off_b, off_a)
+    rows = right[:, k[ok]] if right.shape[1] else np.zeros((3, 0), "int64")
+    return pd.DataFrame({"left_id": left[2][ok], "right_id": rows[2], "offset_us": off[ok], "right_us": rows[1]})
+
+
+def _place(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each left row the number of right rows before it by entity and instant."""
+    n, m = left.shape[1], right.shape[1]
+    side = np.r_[np.zeros(n, int), np.ones(m, int)]
+    order = np.lexsort((side, np.r_[left[1], right[1]], np.r_[left[0], right[0]]))
+    before = np.cumsum(side[order])
+    out = np.empty(n + m, int)
+    out[order] = before
+    return out[:n]
+
+
+def _compact(rows: np.ndarray) -> np.ndarray:
+    """In order of entity and instant, the smallest id of each."""
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    first = np.ones(rows.shape[1], bool)
+    first[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+    return rows[:, first]
 
 
 def _step(tolerance_us: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lt, li, rt, ri = (np.array(x, dtype="int64") for x in state.get) if state.exists else (np.zeros(0, "int64"),) * 4
+        held = [np.array(x, dtype="int64") for x in state.get] if state.exists else [_NONE] * 6
+        lefts, rights = [np.stack(held[:3])], [np.stack(held[3:])]
         for f in frames:
-            left = f["side"].to_numpy() == "l"
-            t, i = f["t"].to_numpy("int64"), f["id"].to_numpy("int64")
-            lt, li = np.r_[lt, t[left]], np.r_[li, i[left]]
-            rt, ri = np.r_[rt, t[~left]], np.r_[ri, i[~left]]
-        rt, ri = _compact(rt, ri)
+            is_left = f["is_left"].to_numpy(bool)
+            rows = np.stack([f[c].to_numpy("int64") for c in ("entity", "t", "id")])
+            lefts.append(rows[:, is_left])
+            rights.append(rows[:, ~is_left])
+        left, right = np.concatenate(lefts, axis=1), _compact(np.concatenate(rights, axis=1))
         mark = state.getCurrentWatermarkMs() * 1000
-        ready = lt + tolerance_us < mark
-        yield nearest(lt[ready], li[ready], rt, ri, tolerance_us)
-        lt, li = lt[~ready], li[~ready]
+        ready = left[1] + tolerance_us < mark
+        yield nearest(left[:, ready], right, tolerance_us)
+        left = left[:, ~ready]
         # a left row still to come lies behind the watermark by no more than the engine lets through
-        keep = rt + tolerance_us >= min(mark, lt.min() if len(lt) else mark)
-        rt, ri = rt[keep], ri[keep]
-        if not len(lt) and not len(rt):
+        right = right[:, right[1] + tolerance_us >= min(mark, left[1].min() if left.shape[1] else mark)]
+        if not left.shape[1] and not right.shape[1]:
             state.remove()
             return
-        state.update((lt.tolist(), li.tolist(), rt.tolist(), ri.tolist()))
-        horizon = lt.min() if len(lt) else rt.max()
+        state.update(tuple(x.tolist() for x in (*left, *right)))
+        horizon = left[1].min() if left.shape[1] else right[1].max()
         state.setTimeoutTimestamp(int(max((horizon + tolerance_us) // 1000 + 2, state.getCurrentWatermarkMs() + 1)))
 
     return step
 
 
-def nearest_join(left: DataFrame, right: DataFrame, tolerance_s: float, lateness: str, slice_s: int = 3600) -> DataFrame:
+def nearest_join(
+    left: DataFrame, right: DataFrame, tolerance_s: float, lateness: str, slice_s: int = 3600, shards: int = 64
+) -> DataFrame:
     """The streaming join. left, right: entity bigint, t bigint (microseconds), id bigint; streams.
 
     Returns a stream of left_id, right_id, offset_us, right_us: up to one row for each slice of a left row.
+    shards: states that the slices are spread over; it should grow with the rows open at a time.
     """
     tolerance_us, slice_us = int(round(tolerance_s * MICRO)), slice_s * MICRO
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.where("entity is not null and t is not null and id is not null").select(F.lit(name).alias("side"), "entity", "t", "id")
+    def side(df: DataFrame, is_left: bool) -> DataFrame:
+        return df.where("entity is not null and t is not null and id is not null").select(F.lit(is_left).alias("is_left"), "entity", "t", "id")
 
     low, high = F.floor((F.col("t") - tolerance_us) / slice_us), F.floor((F.col("t") + tolerance_us) / slice_us)
-    lefts = side(left, "l").withColumn("slot", F.explode(F.sequence(low, high)))
-    rights = side(right, "r").withColumn("slot", F.floor(F.col("t") / slice_us))
+    lefts = side(left, True).withColumn("slot", F.explode(F.sequence(low, high)))
+    rights = side(right, False).withColumn("slot", F.floor(F.col("t") / slice_us))
     both = lefts.unionByName(rights).withColumn("at", F.timestamp_micros("t")).withWatermark("at", lateness)
-    return both.groupBy("entity", "slot").applyInPandasWithState(
+    both = both.withColumn("shard", F.pmod(F.xxhash64("entity", "slot"), F.lit(shards)).cast("int")).drop("slot")
+    return both.groupBy("shard").applyInPandasWithState(
         _step(tolerance_us), StructType.fromDDL(OUT), StructType.fromDDL(STATE), "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -107,7 +134,7 @@ def best_of_slices(matched: DataFrame) -> DataFrame:
 
 
 def replay(
-    left_files: DataFrame, right_files: DataFrame, tolerance_s: float, lateness: str = "7 days", slice_s: int = 3600
+    left_files: DataFrame, right_files: DataFrame, tolerance_s: float, lateness: str = "7 days", slice_s: int = 3600, shards: int = 64
 ) -> DataFrame:
     """Bounded tables through the streaming join, to their end.
 
@@ -121,7 +148,7 @@ def replay(
     end = spark.range(1).select(F.lit(-1).cast("bigint").alias("entity"), F.lit(END_US).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("id"))
     end.coalesce(1).write.parquet(f"{where}/end")
     marker = spark.readStream.schema(end.schema).parquet(f"{where}/end")
-    joined = nearest_join(left_files, right_files.unionByName(marker), tolerance_s, lateness, slice_s)
+    joined = nearest_join(left_files, right_files.unionByName(marker), tolerance_s, lateness, slice_s, shards)
     running = (
         joined.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
         .trigger(availableNow=True).start()

@@ -39,7 +39,9 @@ def _nearest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     slice_us = 3600 * nearest_time.MICRO
     keyed = reports.withColumn("slot", F.floor(F.col("t") / slice_us))
     reports = keyed.join(nearest_time.reachable(areas, TOLERANCE_S), ["entity", "slot"], "left_semi").drop("slot")
-    return nearest_time.replay(_areas(stream(spark, sf_dir, "manifest")), reports, TOLERANCE_S)
+    # a shard holds about a thousand areas with what is near them
+    shards = max(32, read(spark, sf_dir, "manifest").count() // 1000)
+    return nearest_time.replay(_areas(stream(spark, sf_dir, "manifest")), reports, TOLERANCE_S, shards=shards)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
