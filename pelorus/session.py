@@ -24,15 +24,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed now and kept in the shared folder; later plans start from its files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df written to the shared folder as a table and read back."""
     path = shared_path(df.sparkSession, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed now and kept in the shared folder; later plans start from its files.
+
+    A written table rather than checkpoint(): that carries the constraints of its plan into the next, and
+    over the rounds of a loop they outgrow the driver.
+    """
+    return stored(df, "cut")
