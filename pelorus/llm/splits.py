@@ -25,7 +25,8 @@ MAX_ROUNDS = 400
 
 def _coin(vertex: Column, turn: int) -> Column:
     """True for heads; another toss each round."""
-    return F.pmod(F.xxhash64(F.lit(turn), vertex), F.lit(2)) == 0
+    # the round goes in as text: a number would be written into the generated code, and compiled each round
+    return F.pmod(F.xxhash64(F.lit(str(turn)), vertex), F.lit(2)) == 0
 
 
 def contract(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def contract(edges: DataFrame) -> DataFrame:
         mates = cut(pairs.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("parent")))
         moved = edges
         for end in ("a", "b"):
-            m = mates.select(F.col("v").alias(end), F.col("parent").alias("_p"))
+            # merged, not broadcast: mates grow with the data, and many small broadcasts fill the driver
+            m = mates.select(F.col("v").alias(end), F.col("parent").alias("_p")).hint("merge")
             moved = moved.join(m, end, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
         moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         edges = cut(moved.distinct())
@@ -55,7 +57,7 @@ def contract(edges: DataFrame) -> DataFrame:
     # unwinding: a vertex collapsed in a round has the label its parent got in later rounds
     labels = spark.createDataFrame([], rounds[0].schema).select(F.col("v"), F.col("parent").alias("label"))
     for k, mates in enumerate(reversed(rounds)):
-        known = labels.select(F.col("v").alias("parent"), F.col("label").alias("_l"))
+        known = labels.select(F.col("v").alias("parent"), F.col("label").alias("_l")).hint("merge")
         own = mates.join(known, "parent", "left").select("v", F.coalesce("_l", "parent").alias("label"))
         labels = labels.unionByName(own)
         if k % 4 == 3:
@@ -74,7 +76,7 @@ def components(records: DataFrame, record_id: str, groups: str) -> DataFrame:
     first = F.get("g", F.lit(0))
     edges = named.where(F.size("g") > 1).select(first.alias("a"), F.explode(F.slice("g", 2, 1 << 30)).alias("b"))
     labels = contract(edges)
-    labelled = named.select("id", first.alias("v")).join(labels, "v", "left")
+    labelled = named.select("id", first.alias("v")).join(labels.hint("merge"), "v", "left")
     own = F.concat(F.lit("record:"), F.col("id").cast("string"))
     return labelled.select(F.col("id").alias(record_id), F.coalesce("label", "v", own).alias("component"))
 
