@@ -91,16 +91,18 @@ def flagged(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ambiguous", (F.col("_t") > 1) | (F.max("_v").over(of_target) > 1)).drop("_t", "_v")
 
 
-def best_pairs(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def best_pairs(left: np.ndarray, right: np.ndarray, cost: np.ndarray, alone: float | None = None) -> np.ndarray:
     """Indices of edges that pair the most, and of those the cheapest, by shortest augmenting paths.
 
+    With a price for staying alone instead the cheapest choice of all: pairs and those who stay.
+
     Every left vertex has a place of its own besides, dearer than all pairs together, so that each search
     ends; who takes it stays alone. Prices keep the reduced costs non-negative.
     """
     edges: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
     for e, (a, b, c) in enumerate(zip(left, right, cost, strict=True)):
         edges[int(a)].append((int(b), float(c), e))
-    dear = (float(np.max(cost)) + 1.0) * (len(edges) + 1) if len(cost) else 1.0
+    dear = alone if alone is not None else (float(np.max(cost)) + 1.0) * (len(edges) + 1) if len(cost) else 1.0
     for a in edges:
         edges[a].append((-1 - a, dear, -1))
     owner: dict[int, int] = {}
@@ -142,14 +144,17 @@ def best_pairs(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndar
     return np.array(sorted(e for _, e in taken.values() if e >= 0), dtype=int)
 
 
-def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost: str) -> DataFrame:
-    """pairs with `selected`: within each block as many as can be, each row and column once, least total cost."""
+def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost: str, alone: float | None = None) -> DataFrame:
+    """pairs with `selected`: within each block as many as can be, each row and column once, least total cost.
+
+    A block is a scene: its size is that of what one image shows, not of the tables.
+    """
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([left, right]).reset_index(drop=True)
         a, b = pd.factorize(frame[left])[0], pd.factorize(frame[right])[0]
         chosen = np.zeros(len(frame), bool)
-        chosen[best_pairs(a, b, frame[cost].to_numpy(float))] = True
+        chosen[best_pairs(a, b, frame[cost].to_numpy(float), alone)] = True
         frame["selected"] = chosen
         return frame
 
@@ -165,3 +170,20 @@ def covariance(speed_m_s: Column, course_deg: Column, age_s: Column, base_m: flo
     a2, c2 = F.pow(s * along, 2) + base_m**2, F.pow(s * across, 2) + base_m**2
     sin, cos = F.sin(rad), F.cos(rad)
     return F.struct((a2 * sin * sin + c2 * cos * cos).alias("ee"), ((a2 - c2) * sin * cos).alias("en"), (a2 * cos * cos + c2 * sin * sin).alias("nn"))
+
+
+#: Gates of the uncertain association: squared statistical distance, metres, and the price of no pair.
+GATE_D2, GATE_M, ABSTAIN = 9.21, 2000.0, 20.0
+
+
+def uncertain_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs (scene_id, target_id, user_id, east_m, north_m, c: covariance) within both gates, with d2, cost, selected.
+
+    The cost weighs the distance in units of its own uncertainty, so that a vague position does not win by
+    its vagueness; who has only dear partners stays without.
+    """
+    det = F.col("c.ee") * F.col("c.nn") - F.col("c.en") * F.col("c.en")
+    d2 = (F.col("east_m") ** 2 * F.col("c.nn") - 2 * F.col("east_m") * F.col("north_m") * F.col("c.en") + F.col("north_m") ** 2 * F.col("c.ee")) / det
+    rows = pairs.withColumn("d2", d2).withColumn("distance_m", F.hypot("east_m", "north_m"))
+    rows = rows.where((F.col("d2") <= GATE_D2) & (F.col("distance_m") <= GATE_M)).withColumn("cost", 0.5 * (F.col("d2") + F.ln(det / 1e8)))
+    return one_to_one(rows.where(F.col("cost") < ABSTAIN).drop("c"), ["scene_id"], "target_id", "user_id", "cost", ABSTAIN)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.functions import cleaning, geodesy, radar
-from pelorus.operators import alignment, catalogue, detection, proximity, reports, statistics
+from pelorus.operators import alignment, catalogue, detection, proximity, regions, reports, statistics
+from pelorus.session import shared_path
 
 #: (query, SQL) by name; filled by the decorator.
 ALL: dict[str, tuple] = {}
@@ -206,7 +207,7 @@ def _gated(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
     where = alignment.aligned(scenes(m), reports.clean(r)).select("scene_id", "user_id", "lat", "lon", "uncertainty_m")
     targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
     placed = proximity.points(where, F.struct("scene_id", "user_id", "uncertainty_m"), F.col("lat"), F.col("lon"), "r")
-    near = proximity.within_distance(targets, placed, _FARTHEST_M, 1 << 40)
+    near = proximity.within_distance(targets, placed, _FARTHEST_M)
     pairs = near.select(F.col("l_id").alias("target_id"), "r_id.*", "distance_m").where(F.col("distance_m") <= F.col("uncertainty_m") + _GATE_M)
     return alignment.flagged(pairs)
 
@@ -228,6 +229,50 @@ def scene_covariance(m, r):
     return w.select("scene_id", "user_id", alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s")).alias("c")).select("scene_id", "user_id", "c.*")
 
 
+@query(None, "manifest", "position_reports", "annotations")
+def scene_uncertain_pairs(m, r, a):
+    w = alignment.aligned(scenes(m), reports.clean(r))
+    c = alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s"))
+    targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
+    placed = proximity.points(w.withColumn("c", c), F.struct("scene_id", "user_id", "c", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon")), F.col("lat"), F.col("lon"), "r")
+    near = proximity.within_distance(targets, placed, alignment.GATE_M * 1.01).join(targets, "l_id")
+    scale = geodesy.local_distance_m(F.col("l_lat"), F.lit(0.0), F.col("l_lat"), F.lit(1.0))
+    east = (F.pmod(F.col("l_lon") - F.col("r_id.v_lon") + 180.0, F.lit(360.0)) - 180.0) * scale
+    north = F.signum(F.col("l_lat") - F.col("r_id.v_lat")) * geodesy.local_distance_m(F.col("r_id.v_lat"), F.lit(0.0), F.col("l_lat"), F.lit(0.0))
+    pairs = near.select(F.col("r_id.scene_id").alias("scene_id"), F.col("l_id").alias("target_id"), F.col("r_id.user_id").alias("user_id"), east.alias("east_m"), north.alias("north_m"), F.col("r_id.c").alias("c"))
+    return alignment.uncertain_pairs(pairs)
+
+
+@query(
+    f"""select r.report_id, b.roi_key from ({_CLEAN}) r join (select roi_key, center[1] as lon, center[2] as lat from selection_rois where len(center) >= 2) b
+        on r.lon >= b.lon - 0.02 and r.lon <= b.lon + 0.02 and r.lat >= b.lat - 0.01 and r.lat <= b.lat + 0.01""",
+    "position_reports", "selection_rois",
+)
+def region_members(r, s):
+    lon, lat = F.col("center")[0], F.col("center")[1]
+    corner = lambda dx, dy: F.struct((lon + dx).alias("lon"), (lat + dy).alias("lat"))
+    ring = F.array(corner(-0.02, -0.01), corner(0.02, -0.01), corner(0.02, 0.01), corner(-0.02, 0.01), corner(-0.02, -0.01))
+    boxes = s.where(F.size("center") >= 2).select(F.col("roi_key").alias("r_id"), F.array(ring).alias("rings"))
+    places = proximity.points(reports.clean(r), F.col("report_id"), F.col("lat"), F.col("lon"), "l")
+    return regions.containing(places, boxes).select(F.col("l_id").alias("report_id"), F.col("r_id").alias("roi_key"))
+
+
+def _stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports by hour as a stream over the files, to their end."""
+    path = f"{sf_dir}/position_reports.parquet"
+    live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    hour = F.floor(F.unix_seconds("time_utc") / 3600)
+    counted = reports.clean(live).groupBy(hour.alias("hour")).agg(F.count("*").alias("reports"), F.max("speed_knots").alias("fastest"))
+    where = shared_path(spark, "hourly")
+    kept = lambda df, _: df.write.mode("overwrite").parquet(f"{where}/out")
+    running = counted.writeStream.outputMode("complete").foreachBatch(kept).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{where}/out")
+
+
+ALL["stream_hourly"] = (_stream_hourly, f"select cast(floor(epoch(time_utc) / 3600) as bigint) as hour, count(*) as reports, max(speed_knots) as fastest from ({_CLEAN}) group by 1")
+
+
 # ---- intervals and states, on the event stream ----
 
 _E = "select event_id, user_id, event_type, value, epoch_us(ts) / 1e6 as t from events"
@@ -400,7 +445,7 @@ _HAV = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(
 )
 def cross_split_rois(s):
     p = lambda k: proximity.points(s, F.col("roi_key"), F.get("center", F.lit(1)), F.get("center", F.lit(0)), k)
-    near = proximity.within_distance(p("l"), p("r"), 10_000.0, 1 << 40).where("l_id < r_id")
+    near = proximity.within_distance(p("l"), p("r"), 10_000.0).where("l_id < r_id")
     named = lambda k, n: s.select(F.col("roi_key").alias(k), F.lower(F.trim("split")).alias(n))
     out = near.join(named("l_id", "sl"), "l_id").join(named("r_id", "sr"), "r_id").where("sl <> sr")
     return out.select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
@@ -415,7 +460,7 @@ def roi_reports(r, s):
     c = reports.clean(r)
     boxes = proximity.points(s, F.col("roi_key"), F.get("center", F.lit(1)), F.get("center", F.lit(0)), "r")
     boxes = boxes.join(s.select(F.col("roi_key").alias("r_id"), (F.col("size_px") * 5.0).alias("r_half_m")), "r_id")
-    inside = proximity.inside_boxes(proximity.points(c, F.struct("report_id", "user_id"), F.col("lat"), F.col("lon"), "l"), boxes, 1 << 40)
+    inside = proximity.inside_boxes(proximity.points(c, F.struct("report_id", "user_id"), F.col("lat"), F.col("lon"), "l"), boxes)
     return inside.groupBy(F.col("r_id").alias("roi_key")).agg(F.count("*").alias("reports"), F.countDistinct("l_id.user_id").alias("vessels"))
 
 
@@ -428,7 +473,7 @@ def roi_reports(r, s):
 )
 def nearest_annotation(a):
     p = lambda k: proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), k)
-    near = proximity.within_distance(p("l"), p("r"), 2000.0, 1 << 40).where("l_id <> r_id").withColumn("m", F.round("distance_m", 3))
+    near = proximity.within_distance(p("l"), p("r"), 2000.0).where("l_id <> r_id").withColumn("m", F.round("distance_m", 3))
     best = near.groupBy(F.col("l_id").alias("annotation_id")).agg(F.min(F.struct("m", "r_id")).alias("b"))
     return best.select("annotation_id", F.col("b.r_id").alias("nearest_id"), F.col("b.m").alias("distance_m"))
 
