@@ -36,6 +36,8 @@ MASKS = (
     (0, 1, 2, 4, 7, 10, 11, 14, 15),
 )
 BLOCK_WORDS = 500_000
+#: Words of documents that are searched at a time.
+BATCH_WORDS = 120_000
 #: Altered words allowed among the words of a passage, before each is looked at.
 ALTERED = 0.25
 _ODD = np.random.default_rng(20).integers(1, 2**63, size=64, dtype=np.uint64) | np.uint64(1)
@@ -56,23 +58,17 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-class _Hasher:
+class _Hasher(dict):
     """Hashes of words, those seen lately kept."""
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
     def __call__(self, ws: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        out = np.empty(len(ws), np.uint64)
-        for i, w in enumerate(ws):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            out[i] = h
-        return out
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 def seeds(h: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
@@ -142,58 +138,87 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.key >> np.uint64(42)).astype(np.int64)] = True
 
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Distinct (item, shift) that share a seed with a document of hashed words."""
-        found = []
+    def _hits(self, h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct (document, item, shift) that share a seed; h holds the words of documents end to end."""
+        docs, items, shifts = [], [], []
+
+        def add(at: np.ndarray, item: np.ndarray, pos: np.ndarray) -> None:
+            docs.append(doc[at])
+            items.append(item)
+            shifts.append(at - start[doc[at]] - pos)
+
         for m, mask in enumerate(MASKS):
             s = seeds(h, mask, m)
-            at = np.flatnonzero(self.bits[(s >> np.uint64(42)).astype(np.int64)])
-            if not len(at):
-                continue
+            inside = doc[: len(s)] == doc[mask[-1] : mask[-1] + len(s)]
+            at = np.flatnonzero(self.bits[(s >> np.uint64(42)).astype(np.int64)] & inside)
             lo, hi = np.searchsorted(self.key, s[at], "left"), np.searchsorted(self.key, s[at], "right")
             n = hi - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if not len(at):
-                continue
-            place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            item, pos = self.ref[place].T
-            found.append((item.astype(np.int64) << 32) + (np.repeat(at, n) - pos + (1 << 30)))
-        for whole, s, k in self.short:
-            for at in np.flatnonzero(seeds(h, whole, 100 + len(whole)) == s):
-                found.append(np.array([(k << 32) + at + (1 << 30)]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def runs(self, ws: list[str], h: np.ndarray) -> dict[int, int]:
-        """Items a document holds a passage of, each with the words of the longest run they share."""
-        found = self.candidates(h)
-        k, shift = found >> 32, (found & 0xFFFFFFFF) - (1 << 30)
-        begin, end = np.maximum(0, -shift), np.minimum(self.size[k], len(h) - shift)
+            place = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.zeros(0, int)
+            add(np.repeat(at, n), self.ref[place, 0], self.ref[place, 1])
+        for length in sorted({len(w) for w, _, _ in self.short}):
+            s = seeds(h, tuple(range(length)), 100 + length)
+            inside = doc[: len(s)] == doc[length - 1 : length - 1 + len(s)]
+            for _, key, k in (x for x in self.short if len(x[0]) == length):
+                at = np.flatnonzero((s == key) & inside)
+                add(at, np.full(len(at), k), np.zeros(len(at), int))
+        d, k, x = (np.concatenate(v).astype(np.int64) for v in (docs, items, shifts))
+        order = np.lexsort((x, k, d))
+        d, k, x = d[order], k[order], x[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+        return d[new], k[new], x[new]
+
+    def search(self, texts: list[list[str]], hasher: _Hasher) -> dict[tuple[int, int], int]:
+        """(document, item) numbers of every passage in the documents' words, with the longest run shared."""
+        size = np.array([len(ws) for ws in texts], np.int64)
+        start = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        h = np.concatenate([hasher(ws) for ws in texts]) if len(texts) else np.zeros(0, np.uint64)
+        if not len(h) or not self.ids:
+            return {}
+        d, k, shift = self._hits(h, np.repeat(np.arange(len(texts)), size), start)
+        begin, end = np.maximum(0, -shift), np.minimum(self.size[k], size[d] - shift)
         need = np.minimum(self.passage, self.size[k])
         fits = end - begin >= need
-        k, shift, begin, end, need = (x[fits] for x in (k, shift, begin, end, need))
+        d, k, shift, begin, end, need = (x[fits] for x in (d, k, shift, begin, end, need))
         if not len(k):
             return {}
         # all shifts laid end to end; altered words of every window of `need` words
         n = end - begin
         first = np.r_[0, np.cumsum(n)[:-1]]
-        place = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(begin, n)
-        differ = self.flat[place + np.repeat(self.start[k], n)] != h[place + np.repeat(shift, n)]
+        place = np.arange(n.sum()) - np.repeat(first - begin, n)
+        differ = self.flat[place + np.repeat(self.start[k], n)] != h[place + np.repeat(shift + start[d], n)]
         total = np.r_[0, np.cumsum(differ)]
-        windows = n - need + 1
-        lead = np.r_[0, np.cumsum(windows)[:-1]]
-        at = np.arange(windows.sum()) - np.repeat(lead, windows) + np.repeat(first, windows)
-        least = np.minimum.reduceat(total[at + np.repeat(need, windows)] - total[at], lead)
-        best: dict[int, int] = {}
+        spans = n - need + 1
+        lead = np.r_[0, np.cumsum(spans)[:-1]]
+        at = np.arange(spans.sum()) - np.repeat(lead - first, spans)
+        least = np.minimum.reduceat(total[at + np.repeat(need, spans)] - total[at], lead)
+        best: dict[tuple[int, int], int] = {}
         for i in np.flatnonzero(least <= ALTERED * need):
-            v, a, s = self.words[k[i]], int(begin[i]), int(shift[i])
+            v, ws, a, s = self.words[k[i]], texts[d[i]], int(begin[i]), int(shift[i])
             odd = np.flatnonzero(differ[first[i] : first[i] + n[i]])
             breaks = [j for j in odd if not slip(v[a + j], ws[a + j + s])]
             run = int(np.diff(np.r_[-1, breaks, n[i]].astype(int)).max()) - 1
-            if run >= need[i] and run > best.get(int(k[i]), 0):
-                best[int(k[i])] = run
+            pair = (int(d[i]), int(k[i]))
+            if run >= need[i] and run > best.get(pair, 0):
+                best[pair] = run
         return best
 
 
+def _pieces(texts, most: int) -> Iterator[tuple[int, list[list[str]]]]:
+    """The words of texts, in stretches of about `most` words: (number of the first text, words of each)."""
+    held, first, n = [], 0, 0
+    for i, text in enumerate(texts):
+        ws = words(text)
+        held.append(ws)
+        n += len(ws)
+        if n >= most:
+            yield first, held
+            held, first, n = [], i + 1, 0
+    if held:
+        yield first, held
+
+
 def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, run of every document (doc_id, text) that repeats a passage of an item (item_id, text)."""
     spark = documents.sparkSession
@@ -210,10 +235,9 @@ def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE_WORDS,
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index, hasher = Index(sent.value, passage), _Hasher()
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    ws = words(text)
-                    rows.extend((doc_id, index.ids[k], n) for k, n in index.runs(ws, hasher(ws)).items())
+                ids, rows = batch["doc_id"].tolist(), []
+                for first, texts in _pieces(batch["text"], BATCH_WORDS):
+                    rows.extend((ids[first + d], index.ids[k], n) for (d, k), n in index.search(texts, hasher).items())
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run"])
 
         found = documents.select("doc_id", "text").where("text is not null").mapInPandas(run, schema)
