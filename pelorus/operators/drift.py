@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.session import stored
+from pelorus.session import cut, stored
 
 #: Distinct field names that a feed family may have; names, not rows, reach the driver.
 MAX_NAMES = 10_000
@@ -98,13 +98,13 @@ def field_changes(rows: DataFrame) -> DataFrame:
         fields.withColumnRenamed("file_id", "prev_id").join(order.select("file_id", "prev_id"), "prev_id")
         .select("file_id", "field", F.col("kind").alias("old_kind"), F.lit(1).alias("in_old"))
     )
-    both = now.join(then, ["file_id", "field"], "full").where(F.col("field") != "id")
+    both = cut(now.join(then, ["file_id", "field"], "full").where(F.col("field") != "id"))
     added = both.where("in_old is null").select("file_id", F.col("field").alias("new_field"))
     removed = both.where("in_new is null").select("file_id", F.col("field").alias("old_field"))
     retyped = both.where("in_old = 1 and in_new = 1 and old_kind <> new_kind").select(
         "file_id", F.lit("retyped").alias("change"), F.col("field").alias("old_field"), F.col("field").alias("new_field")
     )
-    renamed = _renamed(values, order, added, removed)
+    renamed = cut(_renamed(values, order, added, removed))
     changed = renamed.select("file_id", F.lit("renamed").alias("change"), "old_field", "new_field")
     came = added.join(renamed.select("file_id", "new_field"), ["file_id", "new_field"], "left_anti")
     went = removed.join(renamed.select("file_id", "old_field"), ["file_id", "old_field"], "left_anti")
