@@ -38,17 +38,25 @@ COMMON = (
 
 STATISTICS = (
     "words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "digit_ratio", "upper_ratio",
-    "unique_word_ratio", "clean_word_share", "longest_word", "words_a_line", "tabular_share", "listed_share", "machine_share",
+    "unique_word_ratio", "strange_word_share", "longest_word", "words_a_line", "tabular_share", "listed_share", "machine_share",
     "garbled_share", "repeated_share", "odd_share", "repeated_line_share",
 )
 
 _END = r"""[.!?…:;][")\]»”’']*\s*$"""
-_CLEAN = r"""^[("“«„‘'\[¿¡]*\p{L}[\p{L}'’\-]*[.,;:!?…)"”»’'\]]*$"""
 _BULLET = r"^(?:[-*•·–—▪o]|\d{1,3}[.)]|\(?[a-z]\))\s+\S"
-_TABLE = r"\t|\|[^|]*\||\S {3,}\S+(?: {2,}\S+)+|^[^;]{0,50}(?:;[^;]{0,50})+;\s*-?\d+(?:[.,]\d+)?$|^[^;,]{0,50}(?:,[^;,]{0,50})+,\s*-?\d+(?:\.\d+)?$|\.{4,}\s*\d*$|^[|\-+=: ]{3,}$"
-_LINE = (
-    "n bigint, words bigint, ended boolean, tabular boolean, listed boolean, machine boolean, garbled boolean"
-)  # what is kept of a line
+#: Words with strange signs inside, counted over a line: few in prose, so that few matches are kept.
+_STRANGE = r"""(?<!\S)(?![("“«„‘'\[¿¡]*+\p{L}[\p{L}'’\-]*+[.,;:!?…)"”»’'\]]*+(?!\S))\S++"""
+#: Shapes of table lines, each looked for only in lines that hold its mark.
+_RULE = r"^[|\-+=: ]{3,}$"
+_TABLES = (
+    ("|", r"\|[^|]*\||" + _RULE),
+    ("   ", r"\S {3,}\S+(?: {2,}\S+)+"),
+    (";", r"^[^;]{0,50}(?:;[^;]{0,50})+;\s*-?\d+(?:[.,]\d+)?$"),
+    (",", r"^[^;,]{0,50}(?:,[^;,]{0,50})+,\s*-?\d+(?:\.\d+)?$"),
+    ("....", r"\.{4,}\s*\d*$"),
+    ("---", _RULE),
+    ("===", _RULE),
+)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -61,29 +69,41 @@ def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     lines = F.filter(F.transform(F.split(t, r"\n"), lambda x: F.regexp_replace(F.trim(x), r"^[>\s]+", "")), lambda x: F.trim(x) != "")
     d = documents.withColumn("_t", t).withColumn("_w", words).withColumn("_l", lines)
+    d = d.withColumn("_longest", F.aggregate("_w", F.lit(0), lambda a, w: F.greatest(a, F.length(w))))
 
-    def line(x: Column) -> Column:
+    def base(x: Column) -> Column:
+        # every pattern once a line: the next step names what it finds
         n = F.length(x)
-        parts = F.split(F.trim(x), r"\s+")
-        ended = x.rlike(_END)
-        clean = F.size(F.filter(parts, lambda w: w.rlike(_CLEAN)))
-        markup = F.length(F.regexp_replace(x, r"<[^<>]*>|\{[^{}]*\}|&[a-z]+;", "")) < n * 0.7
-        tabular = x.rlike(_TABLE) | markup
-        bare = (F.size(parts) <= 4) & ~ended & ~x.rlike(r"[,\-]$")
-        # names or things one after another: three or more parts of about two words each
-        between = F.size(F.split(x, r",\s"))
-        roll = (between >= 3) & (F.size(parts) <= 2.6 * between) & (F.size(F.filter(parts, lambda w: F.lower(w).isin(*COMMON))) <= 0.1 * F.size(parts))
-        listed = ((x.rlike(_BULLET) & (~ended | (F.size(parts) <= 6))) | bare | roll) & ~tabular
-        machine = x.rlike(r"\S{36,}|^\S{20,}$")
-        garbled = (clean < 0.55 * F.size(parts)) & ~tabular & ~machine & ~listed
+        table = x.contains("\t")
+        for mark, pattern in _TABLES:
+            table |= x.contains(mark) & x.rlike(pattern)
+        marked = x.contains("<") | x.contains("{") | x.contains("&")
+        markup = marked & (F.length(F.regexp_replace(x, r"<[^<>]*>|\{[^{}]*\}|&[a-z]+;", "")) < n * 0.7)
+        commas = F.floor((n - F.length(F.replace(x, F.lit(", "), F.lit("")))) / 2)
         return F.struct(
-            n.alias("n"), F.size(parts).alias("words"), ended.alias("ended"), tabular.alias("tabular"), listed.alias("listed"), machine.alias("machine"), garbled.alias("garbled"),
-            (tabular | listed | machine | garbled).alias("odd"),
+            x.alias("x"), n.alias("n"), (n - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), F.right(x, F.lit(24)).rlike(_END).alias("ended"), (table | markup).alias("tabular"),
+            F.regexp_count(x, F.lit(_STRANGE)).alias("strange"), ((F.col("_longest") >= 20) & (n >= 20) & x.rlike(r"(?<!\S)\S{36}|^\S{20,35}$")).alias("machine"), (commas + 1).alias("between"),
         )
 
-    d = d.withColumn("_s", F.transform("_l", line))
+    def list_like(s: Column) -> Column:
+        x, words = s["x"], s["words"]
+        bare = (words <= 4) & ~s["ended"] & ~x.rlike(r"[,\-]$")
+        # names or things one after another: three or more parts of about two words each
+        common = F.size(F.filter(F.split(F.lower(F.trim(x)), r"\s+"), lambda w: w.isin(*COMMON)))
+        roll = (s["between"] >= 3) & (words <= 2.6 * s["between"]) & (common <= 0.1 * words)
+        return ~s["tabular"] & (bare | ((~s["ended"] | (words <= 6)) & x.rlike(_BULLET)) | roll)
+
+    def kinds(s: Column) -> Column:
+        return F.struct(*[s[k].alias(k) for k in ("n", "words", "ended", "tabular", "strange", "machine")], list_like(s).alias("listed"))
+
+    def judged_line(s: Column) -> Column:
+        garbled = (s["strange"] > 0.45 * s["words"]) & ~s["tabular"] & ~s["machine"] & ~s["listed"]
+        odd = s["tabular"] | s["listed"] | s["machine"] | garbled
+        return F.struct(*[s[k].alias(k) for k in ("n", "ended", "tabular", "listed", "machine", "strange")], garbled.alias("garbled"), odd.alias("odd"))
+
+    d = d.withColumn("_s", F.transform(F.transform(F.transform("_l", base), kinds), judged_line))
     n_lines, n_words, n_chars = F.size("_l"), F.size("_w"), F.length("_t")
-    spoken = F.transform("_w", lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}'’]+", "")))
+    spoken = F.split(F.lower(F.regexp_replace("_t", r"[^\p{L}'’\s]+", "")), r"\s+")
     line_chars = F.aggregate("_s", F.lit(0), lambda a, x: a + x["n"])
 
     def share(field: str) -> Column:
@@ -92,18 +112,18 @@ def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
     def kept(pattern: str) -> Column:
         return F.length(F.regexp_replace("_t", pattern, ""))
 
-    again = r"(?:(?<=\s)|^)(\S{1,40})(?:\s+\1(?=\s|$)){3,}"
+    again = r"(?:(?<=\s)|^)(\S{1,40}+)(?:\s+\1(?=\s|$)){3,}"
     out = {
         "words": n_words.cast("double"),
-        "mean_word_length": _ratio(F.aggregate("_w", F.lit(0), lambda a, w: a + F.length(w)), n_words),
+        "mean_word_length": _ratio(kept(r"\s+"), n_words),
         "symbol_ratio": _ratio(kept(r"[\p{L}\p{N}\s]+"), n_chars),
         "punctuated_line_share": _ratio(F.size(F.filter("_s", lambda x: x["ended"])), n_lines),
         "common_word_share": _ratio(F.size(F.filter(spoken, lambda w: w.isin(*COMMON))), n_words),
         "digit_ratio": _ratio(kept(r"[^\p{N}]+"), n_chars),
         "upper_ratio": _ratio(kept(r"[^\p{Lu}]+"), n_chars),
         "unique_word_ratio": _ratio(F.size(F.array_distinct("_w")), n_words),
-        "clean_word_share": _ratio(F.size(F.filter("_w", lambda w: w.rlike(_CLEAN))), n_words),
-        "longest_word": F.aggregate("_w", F.lit(0), lambda a, w: F.greatest(a, F.length(w))).cast("double"),
+        "strange_word_share": _ratio(F.aggregate("_s", F.lit(0), lambda a, x: a + x["strange"]), n_words),
+        "longest_word": F.col("_longest").cast("double"),
         "words_a_line": _ratio(n_words, n_lines),
         "tabular_share": share("tabular"),
         "listed_share": share("listed"),
@@ -114,7 +134,7 @@ def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         "repeated_line_share": 1 - _ratio(F.size(F.array_distinct("_l")), F.greatest(n_lines, F.lit(1))),
     }
     out["repeated_line_share"] = F.when(n_lines > 0, out["repeated_line_share"]).otherwise(0.0)
-    return d.withColumns(out).drop("_t", "_w", "_l", "_s")
+    return d.withColumns(out).drop("_t", "_w", "_l", "_s", "_longest")
 
 
 def weak_label(stats: DataFrame) -> DataFrame:
@@ -126,8 +146,20 @@ def weak_label(stats: DataFrame) -> DataFrame:
     return stats.withColumn("label", F.when(junk, 1.0).when(prose, 0.0))
 
 
+_SHARES = tuple(c for c in STATISTICS if c.endswith(("_share", "_ratio")))
+
+
 def _assembled(stats: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(STATISTICS), outputCol="features", handleInvalid="keep").transform(stats)
+    """stats with `features`: shares in hundredths, so that trees weigh every one of their thresholds.
+
+    Trees bin a column by its quantiles, and nearly all documents have shares of 0 or 1: in full, the few in
+    between would share a bin with either.
+    """
+    seen = {c: (F.round(c, 2) if c in _SHARES else F.col(c)) for c in STATISTICS} | {"odd_or_repeated": F.round(F.greatest("odd_share", "repeated_share"), 2)}
+    rows = stats.withColumn("_f", F.struct(*[v.alias(k) for k, v in seen.items()]))
+    vectors = VectorAssembler(inputCols=[f"_{k}" for k in seen], outputCol="features", handleInvalid="keep")
+    named = rows.select(*stats.columns, *[F.col(f"_f.{k}").alias(f"_{k}") for k in seen])
+    return vectors.transform(named).drop(*[f"_{k}" for k in seen])
 
 
 def _raw(model: GBTClassificationModel, stats: DataFrame) -> DataFrame:
@@ -142,7 +174,7 @@ def fit(stats: DataFrame, total: int, labelled: int = LABELLED) -> GBTClassifica
     kinds = {r[0] for r in sample.select("label").distinct().collect()}
     if len(kinds) < 2:
         return None
-    trees = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, maxBins=64, seed=11, labelCol="label")
+    trees = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, maxBins=128, seed=11, labelCol="label")
     return trees.fit(_assembled(sample))
 
 
