@@ -9,8 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from pelorus.functions.geodesy import destination, geodesic
+from pelorus.operators.grouped import over_groups
 
 AGE_S, PROPAGATE_S, STILL_S = 300.0, 120.0, 60.0
 PLAUSIBLE_KNOTS = 60.0
@@ -150,18 +152,19 @@ def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost:
     A block is a scene: its size is that of what one image shows, not of the tables.
     """
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([left, right]).reset_index(drop=True)
+    def solve(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         a, b = pd.factorize(frame[left])[0], pd.factorize(frame[right])[0]
+        c = frame[cost].to_numpy(float)
         chosen = np.zeros(len(frame), bool)
-        chosen[best_pairs(a, b, frame[cost].to_numpy(float), alone)] = True
-        frame["selected"] = chosen
-        return frame
-
-    from pyspark.sql.types import BooleanType, StructField, StructType
-
-    schema = StructType([*pairs.schema.fields, StructField("selected", BooleanType())])
-    return pairs.groupBy(*block).applyInPandas(solve, schema)
+        for lo, hi in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
+            if hi - lo == 1:
+                chosen[lo] = alone is None or c[lo] < alone
+            else:
+                chosen[lo + best_pairs(a[lo:hi], b[lo:hi], c[lo:hi], alone)] = True
+        return frame.assign(selected=chosen)
+
+    fields = [*pairs.schema.fields, StructField("selected", BooleanType())]
+    return over_groups(pairs, block, [left, right], solve, StructType(fields))
 
 
 def covariance(speed_m_s: Column, course_deg: Column, age_s: Column, base_m: float = 100.0, along: float = 0.15, across: float = 0.05) -> Column:

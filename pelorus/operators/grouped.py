@@ -9,6 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows that a Python worker gathers before it works on them; a single larger group is still kept whole.
 BUFFER_ROWS = 60_000
@@ -27,7 +29,7 @@ def in_time_buckets(df: DataFrame, time_s: str, width_s: float, halo_s: float) -
 
 
 def over_groups(
-    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str | StructType
 ) -> DataFrame:
     """work(frame, starts) over frames that hold whole groups, sorted by keys and order.
 
@@ -50,8 +52,6 @@ def over_groups(
             if len(out):
                 yield from pa.Table.from_pandas(out, schema=target, preserve_index=False).to_batches()
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         target = to_arrow_schema(struct)
         for batch in batches:
             if not batch.num_rows:
@@ -72,11 +72,9 @@ def over_groups(
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    from pyspark.sql.types import StructType
-
-    struct = StructType.fromDDL(schema)
+    struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(run, struct)
 
 
 def windows(values: np.ndarray, group: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pelorus.functions import cleaning, geodesy, radar
 from pelorus.operators import alignment, catalogue, detection, proximity, regions, reports, statistics
-from pelorus.session import shared_path
+from pelorus.session import shared_path, stored
 
 #: (query, SQL) by name; filled by the decorator.
 ALL: dict[str, tuple] = {}
@@ -204,7 +204,7 @@ _FARTHEST_M = _GATE_M + alignment.BASE_M + alignment.DRIFT_M_S * alignment.AGE_S
 
 def _gated(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
     """Every target within the gate of a vessel aligned to a scene, by grid cells."""
-    where = alignment.aligned(scenes(m), reports.clean(r)).select("scene_id", "user_id", "lat", "lon", "uncertainty_m")
+    where = stored(alignment.aligned(scenes(m), reports.clean(r)).select("scene_id", "user_id", "lat", "lon", "uncertainty_m"), "aligned")
     targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
     placed = proximity.points(where, F.struct("scene_id", "user_id", "uncertainty_m"), F.col("lat"), F.col("lon"), "r")
     near = proximity.within_distance(targets, placed, _FARTHEST_M)
@@ -231,7 +231,7 @@ def scene_covariance(m, r):
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
-    w = alignment.aligned(scenes(m), reports.clean(r))
+    w = stored(alignment.aligned(scenes(m), reports.clean(r)), "aligned")
     c = alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s"))
     targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
     placed = proximity.points(w.withColumn("c", c), F.struct("scene_id", "user_id", "c", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon")), F.col("lat"), F.col("lon"), "r")
