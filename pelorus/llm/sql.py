@@ -40,6 +40,16 @@ SQL = {
             where a.vessel between 100000000 and 999999999)
         select area_id, report_id from m where n = 1
     """,
+    "p2_offsets": f"""
+        with a as ({_AREAS}), m as (
+            select a.area_id, r.report_id, (epoch_us(r.time_utc) - a.mid) / 1e6 as off, row_number() over (partition by a.area_id
+                order by abs(epoch_us(r.time_utc) - a.mid), epoch_us(r.time_utc), r.report_id) as n
+            from a join position_reports r on r.user_id = a.vessel and abs(epoch_us(r.time_utc) - a.mid) <= 300000000
+            where a.vessel between 100000000 and 999999999)
+        select m.area_id, m.report_id, m.off as offset_s, abs(m.off) as absolute_offset_s, f.absolute_offset_s as stated_offset_s,
+            coalesce(abs(abs(m.off) - f.absolute_offset_s) > 0.001, true) as corrected
+        from m join manifest f on f.area_id = m.area_id where n = 1
+    """,
     "p4_found": _CHAINS + "select area_id from comp where component in (select component from comp group by component having count(distinct split) > 1)",
     "p10_statistics": f"""
         with d as (select doc_id, coalesce(text, '') as t from documents),
