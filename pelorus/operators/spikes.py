@@ -2,7 +2,7 @@
 
 Each field is judged against the vessel's own readings: a Hampel filter (rolling median and median absolute
 deviation) proposes leaps, which are then held against where the positions say the vessel went; stuck values
-are runs of equal readings; bounds are physical.
+are runs of equal readings under way, by the path sailed and not by how far apart its ends are; bounds are physical.
 
 Defined cases: nulls are no readings; a reading out of bounds needs no time; reports without a time are
 judged by bounds alone; a report delivered twice is judged once and flagged under every id; reports of
@@ -26,6 +26,11 @@ METRES_A_DEGREE = 111_195.0
 HALF = 4
 STUCK = 10
 LEAP = 3
+UNDER_WAY = 0.8
+#: Legs of a path are at least this long, so that the noise of positions at anchor adds up to none.
+LEG_M = 50.0
+#: A report this long before or after is no neighbour.
+NEAR_S = 1800.0
 FIELDS = ("sog", "cog", "latitude")
 BOUNDS = {"sog": (0.0, 102.2), "cog": (0.0, 360.0), "latitude": (-90.0, 90.0)}
 
@@ -135,7 +140,7 @@ def judge(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     at = np.arange(len(t))
     before, after = np.maximum(at - 1, 0), np.minimum(at + 1, len(t) - 1)
     legs = np.stack([speed(before, at), speed(at, after), speed(before, after)], axis=1)
-    legs[(t - t[before] > 1800) | (t[after] - t > 1800)] = np.nan
+    legs[(t - t[before] > NEAR_S) | (t[after] - t > NEAR_S)] = np.nan
     with np.errstate(all="ignore"):
         slowest = np.where(np.isnan(legs).all(1), np.nan, np.nanmin(np.where(np.isnan(legs), np.inf, legs), axis=1))
         fastest = np.where(np.isnan(legs).all(1), np.nan, np.nanmax(np.where(np.isnan(legs), -np.inf, legs), axis=1))
@@ -143,7 +148,7 @@ def judge(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
     flags["sog"] |= _sog_leaps(sog, group, legs, slowest, fastest)
     flags["cog"] |= _cog_leaps(cog, sog, flags["sog"], group, x, y, scale, legs, slowest)
     for f, v in (("sog", sog), ("cog", cog), ("latitude", lat)):
-        flags[f] |= _stuck(f, v, t, group, x, y, scale)
+        flags[f] |= _stuck(f, v, t, group, x, y, scale, np.where(_in_bounds("sog", sog) & ~flags["sog"], sog, np.nan))
 
     out = []
     core = frame["core"].to_numpy(bool)
@@ -218,8 +223,27 @@ def _cog_leaps(cog, sog, false_sog, group, x, y, scale, legs, slowest) -> np.nda
     return out
 
 
-def _stuck(field: str, value, t, group, x, y, scale) -> np.ndarray:
-    """Ten or more equal readings in a row while the positions say the vessel is under way."""
+def _path_m(x: np.ndarray, y: np.ndarray, scale: float) -> float:
+    """Metres sailed along a run of positions, in legs of LEG_M or more; single wrong positions are smoothed out."""
+    x = (x - x[0] + 180.0) % 360.0 - 180.0
+    one = np.zeros(len(x), int)
+    east = masked_median(windows(x, one, 2)[0]) * scale * METRES_A_DEGREE
+    north = masked_median(windows(y - y[0], one, 2)[0]) * METRES_A_DEGREE
+    path, k = 0.0, 0
+    for i in range(1, len(x)):
+        leg = np.hypot(east[i] - east[k], north[i] - north[k])
+        if leg >= LEG_M:
+            path, k = path + leg, i
+    return path
+
+
+def _stuck(field: str, value, t, group, x, y, scale, sog) -> np.ndarray:
+    """Ten or more equal readings in a row while the vessel is under way.
+
+    That is so by the positions, from end to end or along the path. A stuck latitude hides the way north and south,
+    so there the speeds reported count too (sog, NaN where unusable), or if there are few or all are one, the way
+    from the report before the run to the one after.
+    """
     out = np.zeros(len(value), bool)
     r = np.flatnonzero(_in_bounds(field, value))
     if len(r) < STUCK:
@@ -229,12 +253,31 @@ def _stuck(field: str, value, t, group, x, y, scale) -> np.ndarray:
     new[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
     first = np.flatnonzero(new)
     length = np.diff(np.r_[first, len(r)])
-    last = first + length - 1
-    a, b = r[first], r[last]
-    dx = ((x[b] - x[a] + 180.0) % 360.0 - 180.0) * scale[a]
-    dy = np.zeros(len(a)) if field == "latitude" else y[b] - y[a]
-    knots = np.hypot(dx, dy) * METRES_A_DEGREE / np.maximum(t[b] - t[a], 1.0) / KNOT
-    stuck = (length >= STUCK) & (knots > 0.8)
+    long = length >= STUCK
+    stuck = np.zeros(len(first), bool)
+    for k in np.flatnonzero(long):
+        run = r[first[k] : first[k] + length[k]]
+        a, b = run[0], run[-1]
+
+        def knots(a: int, b: int, north: bool = True) -> float:
+            dx = ((x[b] - x[a] + 180.0) % 360.0 - 180.0) * scale[a]
+            return np.hypot(dx, y[b] - y[a] if north else 0.0) * METRES_A_DEGREE / max(t[b] - t[a], 1.0) / KNOT
+
+        ahead = field != "latitude"
+        under_way = knots(a, b, ahead) > UNDER_WAY
+        under_way |= _path_m(x[run], y[run] if ahead else np.zeros(len(run)), scale[a]) / max(t[b] - t[a], 1.0) / KNOT > UNDER_WAY
+        if not ahead and not under_way:
+            told = sog[run][~np.isnan(sog[run])]
+            if 2 * len(told) >= len(run) and told.min() < told.max():
+                under_way = np.median(told) > UNDER_WAY
+            else:
+                before, after = first[k] - 1, first[k] + length[k]
+                if before >= 0 and g[before] == g[first[k]] and t[a] - t[r[before]] <= NEAR_S:
+                    a = r[before]
+                if after < len(r) and g[after] == g[first[k]] and t[r[after]] - t[b] <= NEAR_S:
+                    b = r[after]
+                under_way = knots(a, b) > UNDER_WAY
+        stuck[k] = under_way
     out[r] = np.repeat(stuck, length)
     return out
 

@@ -101,3 +101,38 @@ def test_turns_halts_and_nulls_are_none(spark):
 def test_out_of_bounds_needs_no_time_and_other_numbers_are_left_out(spark):
     rows = [[123_456_789, 1.0, 1.0, 204.0, 1.0, None], [5, 1.0, 1.0, 204.0, 1.0, T0], [123_456_789, None, None, None, None, None]]
     assert flagged(spark, rows) == [(0, "sog")]
+
+
+def test_latitudes_stuck_on_the_way_north_or_out_and_back(spark):
+    def stuck(rows, first, last):
+        for k in range(first, last):
+            rows[k][1] = rows[first][1]
+        return [(k, "latitude") for k in range(first, last)]
+
+    north = track([(60, 3, 10)])
+    assert flagged(spark, north) == []
+    want = stuck(north, 20, 33)
+    assert flagged(spark, north) == want
+    for r in north:  # without speeds the positions before and after tell it
+        r[3] = None
+    assert flagged(spark, north) == want
+    back = track([(30, 4, 90), (30, 4, 270)])
+    want = stuck(back, 23, 38)
+    for r in back:
+        r[3] = None
+    assert flagged(spark, back) == want
+    there = track([(27, 3, 10), (33, 3, 190)])  # back where it was: only its speeds tell it
+    want = stuck(there, 20, 34)
+    assert flagged(spark, there) == want
+
+
+def test_speeds_and_courses_stuck_out_and_back_but_not_at_anchor(spark):
+    rows = track([(30, 5, 60), (30, 5, 240)])
+    for k in range(24, 36):
+        rows[k][3] = 5.1
+    assert flagged(spark, rows) == [(k, "sog") for k in range(24, 36)]
+    still = track([(30, 0, 0)], step=20)
+    for k in range(20, 60):
+        still[k][1], still[k][3], still[k][4] = still[20][1], 0.1, 77.0
+    still[30][2] += 0.2
+    assert flagged(spark, still) == []
