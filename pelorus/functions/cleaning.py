@@ -39,6 +39,22 @@ def utc(text: Column, allow_naive: bool = False) -> Column:
     return F.when(has, s.try_cast("timestamp")).when(naive, F.concat(s, F.lit("Z")).try_cast("timestamp"))
 
 
+def instant_us(text: Column) -> Column:
+    """Microseconds since 1970 of an instant as text, null if it denotes none.
+
+    An instant without offset is UTC, a bare number is seconds since 1970, a trailing zone name UTC or GMT
+    after an offset is left out.
+    """
+    s = F.upper(F.trim(text))
+    number = F.when(s.rlike(r"^[+-]?\d+(\.\d+)?$"), F.round(s.try_cast("decimal(38,9)") * 1_000_000).cast("bigint"))
+    iso = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})[T ]+", "$1T")
+    iso = F.regexp_replace(iso, r"\s*(?:UTC|GMT|Z)$", "Z")
+    iso = F.regexp_replace(iso, r"\s*([+-]\d{2}):?(\d{2})Z?$", "$1:$2")
+    iso = F.when(iso.rlike(r"(?:Z|[+-]\d{2}:\d{2})$") & iso.contains("T"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    whole = iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$")
+    return F.coalesce(number, F.when(whole, F.unix_micros(iso.try_cast("timestamp"))))
+
+
 def utc_text(instant: Column) -> Column:
     return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 

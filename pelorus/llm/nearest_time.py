@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from pelorus.functions.cleaning import instant_us  # noqa: F401  the queries and tests take it from here
 from pelorus.session import shared_path
 
 STATE = ", ".join(f"{c} array<bigint>" for c in ("le", "lt", "li", "re", "rt", "ri"))
@@ -170,22 +171,6 @@ def reachable(left: DataFrame, tolerance_s: float, slice_s: int = 3600) -> DataF
 # ---- reading the two sides ----
 
 
-def instant_us(text):
-    """Microseconds since 1970 of an instant as text, null if it denotes none.
-
-    An instant without offset is UTC, a bare number is seconds since 1970, a trailing zone name UTC or GMT
-    after an offset is left out.
-    """
-    s = F.upper(F.trim(text))
-    number = F.when(s.rlike(r"^[+-]?\d+(\.\d+)?$"), F.round(s.try_cast("decimal(38,9)") * MICRO).cast("bigint"))
-    iso = F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})[T ]+", "$1T")
-    iso = F.regexp_replace(iso, r"\s*(?:UTC|GMT|Z)$", "Z")
-    iso = F.regexp_replace(iso, r"\s*([+-]\d{2}):?(\d{2})Z?$", "$1:$2")
-    iso = F.when(iso.rlike(r"(?:Z|[+-]\d{2}:\d{2})$") & iso.contains("T"), iso).otherwise(F.concat(iso, F.lit("Z")))
-    whole = iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$")
-    return F.coalesce(number, F.when(whole, F.unix_micros(iso.try_cast("timestamp"))))
-
-
 def vessel_number(text):
     """A nine-digit vessel number as text of several spellings, null if it is none."""
     s = F.regexp_replace(F.upper(F.trim(text)), r"^MMSI[\s:#]*", "")

@@ -155,9 +155,8 @@ _PAIRS = f"""
 
 
 def scenes(manifest: DataFrame) -> DataFrame:
-    text = F.col("reference_midpoint_utc")
-    strict = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+(Z|[+-]\d\d:\d\d)$")
-    at = F.unix_micros(cleaning.utc(F.when(strict, text)))
+    """Each area whose midpoint denotes an instant, in any spelling of the table; _SCENES reads only one of them."""
+    at = cleaning.instant_us(F.col("reference_midpoint_utc"))
     return manifest.select(F.col("area_id").alias("scene_id"), at.alias("at_us")).where("at_us is not null")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pelorus.functions import geodesy, radar
 from pelorus.operators import alignment, catalogue, detection, reports, statistics
+from pelorus.plans import survey_queries
 
 T = dt.datetime(2017, 1, 2, 12, tzinfo=dt.UTC)
 CLEAN = "report_id bigint, user_id bigint, lat double, lon double, speed_knots double, course_deg double, time_utc timestamp"
@@ -134,3 +135,11 @@ def test_calibration_table_and_rings(spark):
     ring = [(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
     df = spark.createDataFrame([(ring,)], "r array<struct<x: double, y: double>>")
     assert df.select(radar.ring_area(F.col("r")).alias("a")).first().a == 2.0
+
+
+def test_scenes_in_every_spelling_of_an_instant(spark):
+    texts = ["2017-01-02T12:00:00.5Z", "2017-01-02T09:30:00.5-02:30", "2017-01-02 12:00:00.500000 +0000 UTC", "2017-01-02T12:00:00.5", "1483358400.5", "2017-01-02T12:00:00Z"]
+    rows = list(enumerate([*texts, "unknown", "", None, "2017-13-02T12:00:00Z"]))
+    m = spark.createDataFrame(rows, "area_id bigint, reference_midpoint_utc string")
+    got = {r.scene_id: r.at_us for r in survey_queries.scenes(m).collect()}
+    assert got == {0: 1483358400500000, 1: 1483358400500000, 2: 1483358400500000, 3: 1483358400500000, 4: 1483358400500000, 5: 1483358400000000}
