@@ -180,17 +180,17 @@ def consistent_table(rows: DataFrame, columns: dict[str, list[str]], typed: dict
     """row_id, feed, file_no, file_id, the columns, and failed_casts (names of columns that didn't fit).
 
     Values are taken from whichever name a row has them under; a value wrapped in a list of one or in an
-    object of one key is unwrapped. No shuffle.
+    object of one key is unwrapped; longer ones stay as JSON, or fail the cast. No shuffle.
     """
     body = F.from_json("payload", "map<string,string>")
     out = rows.select("row_id", "feed", "file_no", "file_id", body.alias("m"))
     made, failed = [], []
     for name, names in columns.items():
         raw = F.coalesce(*[F.col("m")[n] for n in names])
-        inner = F.coalesce(
-            F.get_json_object(raw, "$[0]"), F.get_json_object(raw, "$.value"), F.get_json_object(raw, "$.name"), raw
+        inner = F.when(F.json_array_length(raw) == 1, F.get_json_object(raw, "$[0]")).when(
+            F.size(F.json_object_keys(raw)) == 1, F.get(F.map_values(F.from_json(raw, "map<string,string>")), F.lit(0))
         )
-        plain = F.when(raw.rlike(r"^\s*[\[{]"), inner).otherwise(raw)
+        plain = F.when(raw.rlike(r"^\s*[\[{]"), F.coalesce(inner, raw)).otherwise(raw)
         value = plain if typed[name] == "string" else plain.try_cast(typed[name])
         made.append(value.alias(name))
         failed.append(F.when(plain.isNotNull() & value.isNull(), F.lit(name)))

@@ -60,3 +60,12 @@ def test_consistent_table_reports_failed_casts(spark):
 def test_nested_paths(spark):
     got = {(r.path, r.kind) for r in D.nested_paths(frame(spark, [(1, [{"a": {"b": [1, "x"]}}])])).collect()}
     assert got == {("$.a", "object"), ("$.a.b", "array"), ("$.a.b[*]", "number"), ("$.a.b[*]", "string")}
+
+
+def test_only_lists_of_one_and_objects_of_one_key_are_unwrapped(spark):
+    docs = [{"n": 1, "s": "a"}, {"n": [2], "s": {"value": "b"}}, {"n": {"metres": 3}, "s": ["c"]}, {"n": [1, 2, 3], "s": [4, 5]}, {"n": {"value": 1, "unit": "m"}, "s": {"name": "d", "no": 6}}, {"n": [], "s": {}}]
+    rows = frame(spark, [(1, docs)])
+    out = D.consistent_table(rows, {"n": ["n"], "s": ["s"]}, {"n": "double", "s": "string"}).orderBy("row_id").collect()
+    assert [r.n for r in out] == [1.0, 2.0, 3.0, None, None, None]
+    assert [r.failed_casts for r in out] == [[], [], [], ["n"], ["n"], ["n"]]
+    assert [r.s for r in out] == ["a", "b", "c", "[4,5]", '{"name":"d","no":6}', "{}"]
