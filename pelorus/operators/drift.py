@@ -160,7 +160,9 @@ def column_names(changes: DataFrame, values: DataFrame) -> tuple[dict[str, list[
             f = up[f]
         return f
 
-    pairs = changes.where("change = 'renamed'").groupBy("old_field", "new_field").count().limit(MAX_NAMES * 10).collect()
+    pairs = changes.where("change = 'renamed'").groupBy("old_field", "new_field").count().limit(MAX_NAMES * 10 + 1).collect()
+    if len(pairs) > MAX_NAMES * 10:
+        raise ValueError(f"more than {MAX_NAMES * 10} pairs of names in renamings")
     for r in sorted(pairs, key=lambda r: (r["old_field"], r["new_field"])):
         if r["old_field"] in up and r["new_field"] in up:
             up[top(r["old_field"])] = top(r["new_field"])

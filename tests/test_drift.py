@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pelorus.operators import drift as D
 
 
@@ -69,3 +71,13 @@ def test_only_lists_of_one_and_objects_of_one_key_are_unwrapped(spark):
     assert [r.n for r in out] == [1.0, 2.0, 3.0, None, None, None]
     assert [r.failed_casts for r in out] == [[], [], [], ["n"], ["n"], ["n"]]
     assert [r.s for r in out] == ["a", "b", "c", "[4,5]", '{"name":"d","no":6}', "{}"]
+
+
+def test_too_many_renamings_are_an_error_not_left_out(spark, monkeypatch):
+    monkeypatch.setattr(D, "MAX_NAMES", 1)
+    values = spark.createDataFrame([("a", "number")], "field string, kind string")
+    pairs = [("renamed", f"o{k}", "a") for k in range(11)]
+    schema = "change string, old_field string, new_field string"
+    assert D.column_names(spark.createDataFrame(pairs[:10], schema), values) == ({"a": ["a"]}, {"a": "double"})
+    with pytest.raises(ValueError, match="renamings"):
+        D.column_names(spark.createDataFrame(pairs, schema), values)
