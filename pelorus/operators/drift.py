@@ -50,22 +50,28 @@ def field_values(rows: DataFrame) -> DataFrame:
 
 
 def nested_paths(rows: DataFrame, depth: int = 6) -> DataFrame:
-    """Path statistics by file down to `depth` levels: feed, file_no, file_id, path, kind, n."""
+    """Path statistics by file, however deep: feed, file_no, file_id, path, kind, n.
+
+    `depth` levels are planned at once; if objects or arrays are left below them, these are written and gone on from.
+    """
     spark = rows.sparkSession
     level = rows.select("file_id", "feed", "file_no", F.try_parse_json("payload").alias("v"), F.lit("$").alias("path"))
     level = level.where(F.schema_of_variant("v").startswith("OBJECT"))
     found = None
-    for _ in range(depth):
-        spread = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
-        step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[*]"))
-        spread = (
-            spread.withColumn("path", F.concat("path", step)).withColumn("t", F.schema_of_variant("value"))
-            .withColumn("kind", F.expr(_KIND)).select("feed", "file_no", "file_id", "path", "kind", F.col("value").alias("v"))
-        )
-        counted = spread.groupBy("feed", "file_no", "file_id", "path", "kind").agg(F.count("*").alias("n"))
-        found = counted if found is None else found.unionByName(counted)
-        level = spread.where(F.col("kind").isin("object", "array")).drop("kind")
-    return found
+    while True:
+        for _ in range(depth):
+            spread = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+            step = F.coalesce(F.concat(F.lit("."), F.col("key")), F.lit("[*]"))
+            spread = (
+                spread.withColumn("path", F.concat("path", step)).withColumn("t", F.schema_of_variant("value"))
+                .withColumn("kind", F.expr(_KIND)).select("feed", "file_no", "file_id", "path", "kind", F.col("value").alias("v"))
+            )
+            counted = spread.groupBy("feed", "file_no", "file_id", "path", "kind").agg(F.count("*").alias("n"))
+            found = counted if found is None else found.unionByName(counted)
+            level = spread.where(F.col("kind").isin("object", "array")).drop("kind")
+        level = cut(level)
+        if level.isEmpty():
+            return found
 
 
 def file_order(rows: DataFrame) -> DataFrame:

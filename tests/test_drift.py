@@ -81,3 +81,12 @@ def test_too_many_renamings_are_an_error_not_left_out(spark, monkeypatch):
     assert D.column_names(spark.createDataFrame(pairs[:10], schema), values) == ({"a": ["a"]}, {"a": "double"})
     with pytest.raises(ValueError, match="renamings"):
         D.column_names(spark.createDataFrame(pairs, schema), values)
+
+
+def test_nested_paths_go_on_to_the_last_level(spark):
+    doc = 7
+    for k in range(13, 0, -1):
+        doc = [doc] if k == 9 else {f"k{k}": doc}
+    got = {r.path: (r.kind, r.n) for r in D.nested_paths(frame(spark, [(1, [doc, {"a": 1}])])).collect()}
+    deepest = "$.k1.k2.k3.k4.k5.k6.k7.k8[*].k10.k11.k12.k13"
+    assert len(got) == 14 and got[deepest] == ("number", 1) and got["$.a"] == ("number", 1)
