@@ -144,10 +144,14 @@ def moving_vessels(r):
 
 # ---- scenes and reports ----
 
-_SCENES = """
-    select area_id as scene_id, epoch_us(cast(reference_midpoint_utc as timestamptz)) as at_us from manifest
-    where regexp_full_match(reference_midpoint_utc, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d+(Z|[+-]\\d\\d:\\d\\d)')
+#: Microseconds of an instant in any spelling of the manifest: a bare number is seconds, one without offset is UTC.
+_AT_US = """
+    case when regexp_full_match(trim(reference_midpoint_utc), '[+-]?\\d+(\\.\\d+)?') then cast(round(try_cast(trim(reference_midpoint_utc) as decimal(38, 9)) * 1000000) as bigint)
+        when regexp_matches(trim(reference_midpoint_utc), '^\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d') then epoch_us(try_cast(regexp_replace(regexp_replace(
+            case when regexp_matches(trim(reference_midpoint_utc), '(Z|[+-]\\d\\d:?\\d\\d( UTC)?)$') then trim(reference_midpoint_utc) else trim(reference_midpoint_utc) || 'Z' end,
+            ' UTC$', ''), ' ([+-]\\d\\d)(\\d\\d)$', '\\1:\\2') as timestamptz)) end
 """
+_SCENES = f"select scene_id, at_us from (select area_id as scene_id, {_AT_US} as at_us from manifest) where at_us is not null"
 _PAIRS = f"""
     select scene_id, report_id, user_id, lat, lon, speed_knots, course_deg, epoch_us(time_utc) as t, (epoch_us(time_utc) - at_us) / 1e6 as dt
     from ({_SCENES}) join ({_CLEAN}) on epoch_us(time_utc) between at_us - 300000000 and at_us + 300000000
@@ -155,13 +159,13 @@ _PAIRS = f"""
 
 
 def scenes(manifest: DataFrame) -> DataFrame:
-    """Each area whose midpoint denotes an instant, in any spelling of the table; _SCENES reads only one of them."""
+    """Each area whose midpoint denotes an instant, in any spelling of the table."""
     at = cleaning.instant_us(F.col("reference_midpoint_utc"))
     return manifest.select(F.col("area_id").alias("scene_id"), at.alias("at_us")).where("at_us is not null")
 
 
 @query(
-    f"""select scene_id, count(*) as reports, count(distinct user_id) as vessels, round(min(abs(dt)), 4) as nearest_s,
+    f"""select scene_id, count(*) as reports, count(distinct user_id) as vessels, min(abs(dt)) as nearest_s,
         case when min(abs(dt)) <= 120 then 'temporal_candidate' else 'sparse_support_only' end as status from ({_PAIRS}) group by scene_id""",
     "manifest", "position_reports",
 )
@@ -169,7 +173,7 @@ def scene_support(m, r):
     pairs = alignment.near_scenes(scenes(m), reports.clean(r), 300.0)
     away = F.min(F.abs((F.col("t_us") - F.col("at_us")) / 1e6))
     status = F.when(away <= 120, "temporal_candidate").otherwise("sparse_support_only")
-    return pairs.groupBy("scene_id").agg(F.count("*").alias("reports"), F.countDistinct("user_id").alias("vessels"), F.round(away, 4).alias("nearest_s"), status.alias("status"))
+    return pairs.groupBy("scene_id").agg(F.count("*").alias("reports"), F.countDistinct("user_id").alias("vessels"), away.alias("nearest_s"), status.alias("status"))
 
 
 _ALIGN = f"""
@@ -178,12 +182,12 @@ _ALIGN = f"""
         and (scene_id, user_id) not in (select (scene_id, user_id) from torn)),
     k as (select scene_id, user_id, count(*) as reports, max_by(lat, t) filter (dt <= 0) as la, max_by(lon, t) filter (dt <= 0) as lo, max(dt) filter (dt <= 0) as ld,
         min_by(lat, t) filter (dt >= 0) as ra, min_by(lon, t) filter (dt >= 0) as ro, min(dt) filter (dt >= 0) as rd,
-        min_by(speed_knots, (abs(dt), t)) as sp, min_by(course_deg, (abs(dt), t)) as co, min(abs(dt)) as near from one group by 1, 2),
-    d as (select *, radians((la + ra) / 2) as mid from k),
+        min_by({'sp': speed_knots, 'co': course_deg}, (abs(dt), t)) as m, min(abs(dt)) as near from one group by 1, 2),
+    d as (select *, m.sp as sp, m.co as co, radians((la + ra) / 2) as mid from k),
     e as (select *, 1 - 0.0066943799901413165 * sin(mid) * sin(mid) as w from d),
     f as (select *, case when ld < 0 and rd > 0 then sqrt(pow(radians(ra - la) * 6378137.0 * (1 - 0.0066943799901413165) / (w * sqrt(w)), 2)
         + pow(radians(ro - lo) * 6378137.0 / sqrt(w) * cos(mid), 2)) / (rd - ld) end as v from e)
-    select * from (select scene_id, user_id, reports, round(case when near = 0 or v is null then near else greatest(-ld, rd) end, 4) as report_age_s,
+    select * from (select scene_id, user_id, reports, case when near = 0 or v is null then near else greatest(-ld, rd) end as report_age_s,
         case when near = 0 then 'observed' when v is not null then case when v <= 60 * 1852.0 / 3600 then 'interpolated' end
             when near <= 120 and sp <= 60 and co is not null then 'velocity_propagated' when near <= 60 then 'nearest' end as method from f)
     where method is not null
@@ -193,7 +197,7 @@ _ALIGN = f"""
 @query(_ALIGN, "manifest", "position_reports")
 def scene_alignment(m, r):
     out = alignment.aligned(scenes(m), reports.clean(r))
-    return out.select("scene_id", "user_id", "reports", F.round("report_age_s", 4).alias("report_age_s"), "method")
+    return out.select("scene_id", "user_id", "reports", "report_age_s", "method")
 
 
 #: A vessel may be this far from a target besides its own uncertainty, which is at most that of AGE_S.
@@ -645,11 +649,7 @@ def native_groups(m):
     return m.where("product_name is not null").select("area_id", g[0].alias("satellite"), g[1].cast("int").alias("orbit"))
 
 
-@query(
-    """select area_id, round((epoch_us(cast(reference_midpoint_utc as timestamptz)) - epoch_us(timestamptz '2000-01-01 00:00:00+00')) / 86400e6, 8) as mjd2000 from manifest
-    where regexp_full_match(reference_midpoint_utc, '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d\\.\\d+(Z|[+-]\\d\\d:\\d\\d)')""",
-    "manifest",
-)
+@query(f"select scene_id as area_id, round((at_us - 946684800000000) / 86400e6, 8) as mjd2000 from ({_SCENES})", "manifest")
 def days_since_2000(m):
     s = scenes(m)
     return s.select(F.col("scene_id").alias("area_id"), F.round((F.col("at_us") - 946684800000000) / 86400e6, 8).alias("mjd2000"))
@@ -679,7 +679,9 @@ def whole_tiles(s):
 
 
 def _boxes(a: DataFrame) -> DataFrame:
-    b = a.where(F.size("bbox_px") == 4).select(F.coalesce("roi_id", F.lit("?")).alias("image"), F.coalesce("object_class", F.lit("?")).alias("kind"), "annotation_id", *[F.col("bbox_px")[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    # boxes without a region lie in no image that is known, so each is an image of its own
+    own = F.concat(F.lit("?"), F.col("annotation_id").cast("string"))
+    b = a.where(F.size("bbox_px") == 4).select(F.coalesce("roi_id", own).alias("image"), F.coalesce("object_class", F.lit("?")).alias("kind"), "annotation_id", *[F.col("bbox_px")[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
     return b.withColumn("score", F.pmod(F.col("annotation_id") * 7919, F.lit(1000)) / 1000.0)
 
 
