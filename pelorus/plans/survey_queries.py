@@ -182,7 +182,7 @@ _ALIGN = f"""
         and (scene_id, user_id) not in (select (scene_id, user_id) from torn)),
     k as (select scene_id, user_id, count(*) as reports, max_by(lat, t) filter (dt <= 0) as la, max_by(lon, t) filter (dt <= 0) as lo, max(dt) filter (dt <= 0) as ld,
         min_by(lat, t) filter (dt >= 0) as ra, min_by(lon, t) filter (dt >= 0) as ro, min(dt) filter (dt >= 0) as rd,
-        min_by({'sp': speed_knots, 'co': course_deg}, (abs(dt), t)) as m, min(abs(dt)) as near from one group by 1, 2),
+        min_by({{'sp': speed_knots, 'co': course_deg}}, (abs(dt), t)) as m, min(abs(dt)) as near from one group by 1, 2),
     d as (select *, m.sp as sp, m.co as co, radians((la + ra) / 2) as mid from k),
     e as (select *, 1 - 0.0066943799901413165 * sin(mid) * sin(mid) as w from d),
     f as (select *, case when ld < 0 and rd > 0 then sqrt(pow(radians(ra - la) * 6378137.0 * (1 - 0.0066943799901413165) / (w * sqrt(w)), 2)
