@@ -66,3 +66,37 @@ def test_a_very_long_document_and_empty_tables(spark):
 def test_slips():
     assert L.slip("register", "regitser") and L.slip("reached", "rached") and L.slip("pensioners", "penisonres")
     assert not L.slip("reached", "bench") and not L.slip("537", "547") and not L.slip("a", "b")
+
+
+def test_notes_of_any_length_and_depth_and_brackets_without_partner(spark):
+    item, other = passage(7, 40), " ".join(passage(8, 30))
+    half = " ".join(item[:20]), " ".join(item[20:])
+    notes = ("[" + "x y z " * 50 + "]", "[An hon. Member (Mr. Foo [sic]): Shame!]", "(" + "hear " * 3000 + "(so it was [noted])" + ")", "a) ")
+    docs = [(k, f"{other} {half[0]} {note} {half[1]} {other}") for k, note in enumerate(notes[:3])]
+    docs += [(3, f"( {other} {half[0]} {half[1]} a) {other}"), (4, f"({' '.join(item)})"), (5, f"[ {other} {' '.join(item)} ] {other}")]
+    assert found(spark, docs, [(1, " ".join(item))]) == [(k, 1) for k in range(6)]
+    assert L.without_notes("a (b) c) d [e (f] g").split() == ["a", "c)", "d", "g"]
+
+
+@pytest.mark.parametrize("slips", [0, 5, 8, 12, 20])
+def test_recall_however_many_words_have_slips(slips):
+    r = random.Random(slips)
+    index = L.Index([(k, " ".join(passage(100 + k, 120))) for k in range(20)], 30)
+    texts, want = [], []
+    for _ in range(200):
+        k = r.randrange(20)
+        at = r.randrange(90)
+        ws = index.words[k][at : at + 30]
+        for i in r.sample(range(30), slips):
+            w, j = ws[i], r.randrange(len(ws[i]) - 1)
+            ws[i] = (w[:j] + w[j + 1 :], w[:j] + w[j + 1] + w[j] + w[j + 2 :], w[:j] + "z" + w[j + 1 :], w[:j] + "w" + w[j:])[r.randrange(4)]
+        texts.append(passage(r.random(), 20) + ws + passage(r.random(), 20))
+        want.append(k)
+    got = index.search(texts, L._Seen(index.vocabulary))
+    assert sum((d, k) in got for d, k in enumerate(want)) >= 0.9 * len(want)
+
+
+def test_items_of_few_words_with_a_slip(spark):
+    items = [(1, "governor"), (2, "quarry tender"), (3, "the harbour pilots refused"), (4, "we shall mend every lantern along this quay before winter comes"), (5, "of it")]
+    docs = [(1, "the governr spoke"), (2, "a quarry tendr here"), (3, "so the harbuor pilots refused it"), (4, "We shall mend evry lantern along thsi quay before wintr comes."), (5, "of it"), (6, "it of")]
+    assert found(spark, docs, items) == [(d, d) for d in range(1, 6)]
