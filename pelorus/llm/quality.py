@@ -1,12 +1,15 @@
 """Text quality statistics of documents, and prose told from lists, tables and junk.
 
-The statistics are built-in column expressions over whole texts: no shuffle, no Python. Gradient-boosted
-trees are fitted on them, on at most about LABELLED rows that two plain rules label weakly (the rules
-abstain in between), and their scores are calibrated on a holdout of texts checked by hand.
-
-Defined cases: a null or empty text has no words, ratios of 0, and counts as prose; blank lines are no
-lines; quotation marks of mail (">") before a line are left out; repeated documents get the same verdict.
-If weak labels are of one kind only, the rule itself is the verdict.
+The statistics are counts of characters and words over whole texts and their lines, as built-in column expressions:
+no shuffle, no Python. Which words are common is counted from the corpus: those in COMMON_SHARE of all documents
+of a language. Gradient-boosted trees are fitted on the statistics, on at most about LABELLED rows that rules on
+the shapes of lines label weakly (the rules abstain in between, and are no statistic the trees see), and their scores
+are calibrated on a holdout of texts checked by hand.
+
+Defined cases: a null or empty text has no words, ratios of 0, and counts as prose; blank lines are no lines; quotation
+marks of mail (">") before a line are left out; repeated documents get the same verdict; documents without a language,
+or of one with few documents, count no common words of their own, unless all are so, and then all together do. Texts
+of both kinds come with the package (TAUGHT), so that there is always something of either to learn from.
 """
 
 from __future__ import annotations
@@ -16,63 +19,151 @@ import math
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.llm.holdout import checked_texts
+from pelorus.llm.holdout import checked_texts, taught_texts
 from pelorus.session import stored
 
 #: Weakly labelled rows that the trees are fitted on, about at most; all rows are scored.
-LABELLED = 20_000
-
-#: Words common in the languages of the documents (a plain list; it needs only to tell running text).
-COMMON = (
-    "the a an of and to in that is not was for on it be have has which by with as had at this are from what one were will "
-    "said shall we i my he she they no nor their but who when can could would been or there if so let than all out up our "
-    "le la les de des du et que qui à est un une dans pour ont en ne sur pas ce nous il elle au aux par se son sa ses plus "
-    "avec ni on si mais ou leur cette dont y a été "
-    "der die das und ist nicht ein eine einen einem von zu den dem des im mit für auf wir es dass hat haben sich auch als "
-    "wie werden wird noch nur oder aber sie er ich man "
-    "el los las no una por con para su al del hemos lo como más pero sus este esta ha han sin sobre se"
-).split()
+LABELLED = 10_000
+#: A word is common if it is in this share of the documents of a language, one with so many documents and such a share of all.
+COMMON_SHARE, LANGUAGE_DOCUMENTS, LANGUAGE_SHARE = 0.4, 50, 0.005
 
 STATISTICS = (
-    "words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "digit_ratio", "upper_ratio",
-    "unique_word_ratio", "strange_word_share", "longest_word", "words_a_line", "tabular_share", "listed_share", "machine_share",
-    "garbled_share", "repeated_share", "odd_share", "repeated_line_share",
+    "words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "digit_ratio", "upper_ratio", "blank_ratio",
+    "unique_word_ratio", "longest_word", "words_a_line", "repeated_line_share",
+    # the share of all characters that lie in lines of a kind
+    "in_ended", "in_common", "in_few_words", "in_digits", "in_symbols", "in_blanks", "in_long_words", "in_same_words", "in_small_start", "in_sign_start",
+    "in_sentences", "in_scraps",
 )
 
-_END = r"""[.!?…:;][")\]»”’']*\s*$"""
+#: What a line ends in, and what may follow it; blanks may stand anywhere among these.
+ENDS, CLOSERS = ".!?…:;", "\")]»”’'"
+_BLANK = " \t\r\u00a0"
+
+
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def _spoken(text: Column) -> Column:
+    """Words in small letters without signs; the break of a line stays."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}'’\n]+", " ")
+
+
+def _filled(words: Column) -> Column:
+    return F.filter(words, lambda w: w != "")
+
+
+def common_words(documents: DataFrame, text: str = "text", lang: str = "lang") -> list[str]:
+    """The words in COMMON_SHARE of the documents of a language, in order.
+
+    Counted over all documents. Only these words reach the driver: as each is in two fifths of a language's
+    documents, there are at most two and a half times as many as a document of it has different words on average.
+    """
+    label = F.col(lang) if lang in documents.columns else F.lit(None).cast("string")
+    rows = documents.select(label.alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("t <> ''")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).where("lang is not null").orderBy(F.desc("n")).limit(1 + int(1 / LANGUAGE_SHARE)).collect()
+    total = rows.count()
+    large = {r["lang"]: r["n"] for r in sizes if r["n"] >= max(LANGUAGE_DOCUMENTS, LANGUAGE_SHARE * total)}
+    if large:
+        rows = rows.where(F.col("lang").isin(*large))
+        least = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, math.ceil(COMMON_SHARE * n))])[F.col("lang")]
+    else:
+        rows, least = rows.withColumn("lang", F.lit("")), F.lit(math.ceil(COMMON_SHARE * total))
+    words = rows.select("lang", F.explode(F.array_distinct(_filled(F.split(F.translate(_spoken(F.col("t")), "\n", " "), " ")))).alias("w"))
+    seen = words.groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return sorted({r["w"] for r in seen.select("w").collect()})
+
+
+def statistics(documents: DataFrame, common: list[str], text: str = "text") -> DataFrame:
+    """documents with a column for each of STATISTICS."""
+    known = (lambda w: w.isin(*common)) if common else (lambda w: F.lit(False))
+    t = F.coalesce(F.col(text), F.lit(""))
+    d = documents.withColumn("_t", t).withColumn("_a", F.regexp_replace("_t", r"\p{L}+", "")).withColumn("_b", F.regexp_replace("_a", r"\p{N}+", ""))
+    d = d.withColumn("_c", F.regexp_replace("_b", r"\s+", "")).withColumn("_w", _filled(F.split("_t", r"\s+")))
+    by_line = F.arrays_zip(*[F.split(c, "\n").alias(n) for c, n in ((F.col("_t"), "x"), (F.col("_a"), "a"), (F.col("_b"), "b"), (_spoken(F.col("_t")), "k"))])
+
+    def counts(z: Column) -> Column:
+        x = F.rtrim(F.ltrim(z["x"], F.lit(_BLANK + ">")), F.lit(_BLANK))
+        words = _filled(F.split(F.translate(x, "\t\r\u00a0", "   "), " "))
+        last = F.right(F.rtrim(x, F.lit(_BLANK + CLOSERS)), F.lit(1))
+        first = F.left(x, F.lit(1))
+        return F.struct(
+            x.alias("x"), F.length(x).alias("n"), F.size(words).alias("words"), F.size(F.array_distinct(words)).alias("different"),
+            F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).alias("longest"), last.isin(*ENDS).alias("ended"),
+            (F.length(z["a"]) - F.length(z["b"])).alias("digits"), F.length(F.translate(F.ltrim(z["b"], F.lit(_BLANK + ">")), _BLANK, "")).alias("symbols"),
+            (F.length(x) - F.length(F.translate(x, _BLANK, ""))).alias("blanks"), F.size(F.filter(F.split(z["k"], " "), known)).alias("common"),
+            (F.upper(first) != first).alias("small"), (F.upper(first) == F.lower(first)).alias("sign"),
+        )
+
+    d = d.withColumn("_s", F.filter(F.transform(by_line, counts), lambda s: s["words"] > 0))
+    n_lines, n_words, n_chars = F.size("_s"), F.size("_w"), F.length("_t")
+    line_chars = F.aggregate("_s", F.lit(0), lambda a, s: a + s["n"])
+    total = lambda field: F.aggregate("_s", F.lit(0), lambda a, s: a + s[field])
+    spoken = lambda s: s["common"] >= 0.08 * s["words"]
+
+    def share(kind) -> Column:
+        return _ratio(F.aggregate("_s", F.lit(0), lambda a, s: a + F.when(kind(s), s["n"]).otherwise(0)), line_chars)
+
+    lines = F.transform("_s", lambda s: s["x"])
+    out = {
+        "words": n_words.cast("double"),
+        "mean_word_length": _ratio(n_chars - F.length("_b") + F.length("_c"), n_words),
+        "symbol_ratio": _ratio(F.length("_c"), n_chars),
+        "punctuated_line_share": _ratio(F.size(F.filter("_s", lambda s: s["ended"])), n_lines),
+        "common_word_share": _ratio(total("common"), n_words),
+        "digit_ratio": _ratio(F.length("_a") - F.length("_b"), n_chars),
+        "upper_ratio": _ratio(n_chars - F.length(F.regexp_replace("_t", r"\p{Lu}+", "")), n_chars),
+        "blank_ratio": _ratio(F.length("_b") - F.length("_c"), n_chars),
+        "unique_word_ratio": _ratio(F.size(F.array_distinct("_w")), n_words),
+        "longest_word": F.coalesce(F.array_max(F.transform("_w", F.length)), F.lit(0)).cast("double"),
+        "words_a_line": _ratio(n_words, n_lines),
+        "repeated_line_share": F.when(n_lines > 0, 1 - _ratio(F.size(F.array_distinct(lines)), n_lines)).otherwise(0.0),
+        "in_ended": share(lambda s: s["ended"]),
+        "in_common": share(spoken),
+        "in_few_words": share(lambda s: s["words"] <= 3),
+        "in_digits": share(lambda s: s["digits"] >= 0.1 * s["n"]),
+        "in_symbols": share(lambda s: s["symbols"] >= 0.1 * s["n"]),
+        "in_blanks": share(lambda s: s["blanks"] >= 0.25 * s["n"]),
+        "in_long_words": share(lambda s: s["longest"] >= 25),
+        "in_same_words": share(lambda s: (s["words"] >= 5) & (s["different"] <= 0.5 * s["words"])),
+        "in_small_start": share(lambda s: s["small"]),
+        "in_sign_start": share(lambda s: s["sign"]),
+        "in_sentences": share(lambda s: s["ended"] & spoken(s) & (s["words"] >= 4)),
+        "in_scraps": share(lambda s: ~s["ended"] & ~spoken(s)),
+    }
+    return d.withColumns(out).drop("_t", "_a", "_b", "_c", "_w", "_s")
+
+
+# ---- weak labels, by the shapes of lines ----
+
 _BULLET = r"^(?:[-*•·–—▪o]|\d{1,3}[.)]|\(?[a-z]\))\s+\S"
 #: Words with strange signs inside, counted over a line: few in prose, so that few matches are kept.
 _STRANGE = r"""(?<!\S)(?![("“«„‘'\[¿¡]*+\p{L}[\p{L}'’\-]*+[.,;:!?…)"”»’'\]]*+(?!\S))\S++"""
-#: Shapes of table lines, each looked for only in lines that hold its mark.
 _RULE = r"^[|\-+=: ]{3,}$"
+#: Shapes of table lines, each looked for only in lines that hold its mark.
 _TABLES = (
     ("|", r"\|[^|]*\||" + _RULE),
     ("   ", r"\S {3,}\S+(?: {2,}\S+)+"),
-    (";", r"^[^;]{0,50}(?:;[^;]{0,50})+;\s*-?\d+(?:[.,]\d+)?$"),
-    (",", r"^[^;,]{0,50}(?:,[^;,]{0,50})+,\s*-?\d+(?:\.\d+)?$"),
+    (";", r"^[^;]*+(?:;[^;]*+)*;\s*-?\d+(?:[.,]\d+)?$"),
+    (",", r"^[^;,]*+(?:,[^;,]*+)+,\s*-?\d+(?:\.\d+)?$"),
     ("....", r"\.{4,}\s*\d*$"),
     ("---", _RULE),
     ("===", _RULE),
 )
+#: A word four times in a row and more.
+_AGAIN = r"(?:(?<=\s)|^)(\S++)(?:\s+\1(?=\s|$)){3,}"
 
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
-
-def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents with a column for each of STATISTICS."""
+def weak_label(documents: DataFrame, common: list[str], text: str = "text") -> DataFrame:
+    """documents with `label`: 1 junk, 0 prose, null where the rules abstain; and `odd_share`, which they go by."""
+    known = (lambda w: w.isin(*common)) if common else (lambda w: F.lit(False))
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
     lines = F.filter(F.transform(F.split(t, r"\n"), lambda x: F.regexp_replace(F.trim(x), r"^[>\s]+", "")), lambda x: F.trim(x) != "")
-    d = documents.withColumn("_t", t).withColumn("_w", words).withColumn("_l", lines)
-    d = d.withColumn("_longest", F.aggregate("_w", F.lit(0), lambda a, w: F.greatest(a, F.length(w))))
 
-    def base(x: Column) -> Column:
-        # every pattern once a line: the next step names what it finds
+    def shaped(x: Column) -> Column:
         n = F.length(x)
         table = x.contains("\t")
         for mark, pattern in _TABLES:
@@ -81,72 +172,34 @@ def statistics(documents: DataFrame, text: str = "text") -> DataFrame:
         markup = marked & (F.length(F.regexp_replace(x, r"<[^<>]*>|\{[^{}]*\}|&[a-z]+;", "")) < n * 0.7)
         commas = F.floor((n - F.length(F.replace(x, F.lit(", "), F.lit("")))) / 2)
         return F.struct(
-            x.alias("x"), n.alias("n"), (n - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"), F.right(x, F.lit(24)).rlike(_END).alias("ended"), (table | markup).alias("tabular"),
-            F.regexp_count(x, F.lit(_STRANGE)).alias("strange"), ((F.col("_longest") >= 20) & (n >= 20) & x.rlike(r"(?<!\S)\S{36}|^\S{20,35}$")).alias("machine"), (commas + 1).alias("between"),
+            x.alias("x"), n.alias("n"), F.size(_filled(F.split(x, r"\s+"))).alias("words"), F.right(F.rtrim(x, F.lit(_BLANK + CLOSERS)), F.lit(1)).isin(*ENDS).alias("ended"),
+            (table | markup).alias("tabular"), F.regexp_count(x, F.lit(_STRANGE)).alias("strange"), ((n >= 20) & x.rlike(r"(?<!\S)\S{36}|^\S{20,}$")).alias("machine"), (commas + 1).alias("between"),
+            F.size(F.filter(F.split(_spoken(x), " "), known)).alias("common"),
         )
 
-    def list_like(s: Column) -> Column:
+    def odd(s: Column) -> Column:
         x, words = s["x"], s["words"]
         bare = (words <= 4) & ~s["ended"] & ~x.rlike(r"[,\-]$")
         # names or things one after another: three or more parts of about two words each
-        common = F.size(F.filter(F.split(F.lower(F.trim(x)), r"\s+"), lambda w: w.isin(*COMMON)))
-        roll = (s["between"] >= 3) & (words <= 2.6 * s["between"]) & (common <= 0.1 * words)
-        return ~s["tabular"] & (bare | ((~s["ended"] | (words <= 6)) & x.rlike(_BULLET)) | roll)
+        roll = (s["between"] >= 3) & (words <= 2.6 * s["between"]) & (s["common"] <= 0.1 * words)
+        listed = bare | ((~s["ended"] | (words <= 6)) & x.rlike(_BULLET)) | roll
+        return s["tabular"] | listed | s["machine"] | (s["strange"] > 0.45 * words)
 
-    def kinds(s: Column) -> Column:
-        return F.struct(*[s[k].alias(k) for k in ("n", "words", "ended", "tabular", "strange", "machine")], list_like(s).alias("listed"))
+    d = documents.withColumn("_s", F.transform(F.transform(lines, shaped), lambda s: F.struct(s["n"].alias("n"), odd(s).alias("odd"))))
+    line_chars = F.aggregate("_s", F.lit(0), lambda a, s: a + s["n"])
+    by_line = _ratio(F.aggregate("_s", F.lit(0), lambda a, s: a + F.when(s["odd"], s["n"]).otherwise(0)), line_chars)
+    again = _ratio(F.length(t) - F.length(F.regexp_replace(t, _AGAIN, "")), F.length(t))
+    spoken = _filled(F.split(F.translate(_spoken(t), "\n", " "), " "))
+    d = d.withColumn("odd_share", F.greatest(by_line, again)).withColumn("_words", F.size(spoken)).withColumn("_known", F.size(F.filter(spoken, known)))
+    short = F.size(_filled(F.split(t, r"\s+"))) <= 12
+    junk = (F.col("odd_share") > 0.62) & ~short
+    prose = (F.col("odd_share") < 0.38) & (short | (F.col("_known") > 0.12 * F.col("_words")))
+    return d.withColumn("label", F.when(junk, 1.0).when(prose, 0.0)).drop("_s", "_words", "_known")
 
-    def judged_line(s: Column) -> Column:
-        garbled = (s["strange"] > 0.45 * s["words"]) & ~s["tabular"] & ~s["machine"] & ~s["listed"]
-        odd = s["tabular"] | s["listed"] | s["machine"] | garbled
-        return F.struct(*[s[k].alias(k) for k in ("n", "ended", "tabular", "listed", "machine", "strange")], garbled.alias("garbled"), odd.alias("odd"))
 
-    d = d.withColumn("_s", F.transform(F.transform(F.transform("_l", base), kinds), judged_line))
-    n_lines, n_words, n_chars = F.size("_l"), F.size("_w"), F.length("_t")
-    spoken = F.split(F.lower(F.regexp_replace("_t", r"[^\p{L}'’\s]+", "")), r"\s+")
-    line_chars = F.aggregate("_s", F.lit(0), lambda a, x: a + x["n"])
+# ---- the trees ----
 
-    def share(field: str) -> Column:
-        return _ratio(F.aggregate("_s", F.lit(0), lambda a, x: a + F.when(x[field], x["n"]).otherwise(0)), line_chars)
-
-    def kept(pattern: str) -> Column:
-        return F.length(F.regexp_replace("_t", pattern, ""))
-
-    again = r"(?:(?<=\s)|^)(\S{1,40}+)(?:\s+\1(?=\s|$)){3,}"
-    out = {
-        "words": n_words.cast("double"),
-        "mean_word_length": _ratio(kept(r"\s+"), n_words),
-        "symbol_ratio": _ratio(kept(r"[\p{L}\p{N}\s]+"), n_chars),
-        "punctuated_line_share": _ratio(F.size(F.filter("_s", lambda x: x["ended"])), n_lines),
-        "common_word_share": _ratio(F.size(F.filter(spoken, lambda w: w.isin(*COMMON))), n_words),
-        "digit_ratio": _ratio(kept(r"[^\p{N}]+"), n_chars),
-        "upper_ratio": _ratio(kept(r"[^\p{Lu}]+"), n_chars),
-        "unique_word_ratio": _ratio(F.size(F.array_distinct("_w")), n_words),
-        "strange_word_share": _ratio(F.aggregate("_s", F.lit(0), lambda a, x: a + x["strange"]), n_words),
-        "longest_word": F.col("_longest").cast("double"),
-        "words_a_line": _ratio(n_words, n_lines),
-        "tabular_share": share("tabular"),
-        "listed_share": share("listed"),
-        "machine_share": share("machine"),
-        "garbled_share": share("garbled"),
-        "repeated_share": _ratio(n_chars - kept(again), n_chars),
-        "odd_share": share("odd"),
-        "repeated_line_share": 1 - _ratio(F.size(F.array_distinct("_l")), F.greatest(n_lines, F.lit(1))),
-    }
-    out["repeated_line_share"] = F.when(n_lines > 0, out["repeated_line_share"]).otherwise(0.0)
-    return d.withColumns(out).drop("_t", "_w", "_l", "_s", "_longest")
-
-
-def weak_label(stats: DataFrame) -> DataFrame:
-    """stats with `label`: 1 junk, 0 prose, null where the rules abstain."""
-    odd = F.greatest("odd_share", "repeated_share")
-    short = F.col("words") <= 12
-    junk = (odd > 0.62) & ~short
-    prose = (odd < 0.38) & ((F.col("common_word_share") > 0.12) | short)
-    return stats.withColumn("label", F.when(junk, 1.0).when(prose, 0.0))
-
-
-_SHARES = tuple(c for c in STATISTICS if c.endswith(("_share", "_ratio")))
+_SHARES = tuple(c for c in STATISTICS if c.endswith(("_share", "_ratio")) or c.startswith("in_"))
 
 
 def _assembled(stats: DataFrame) -> DataFrame:
@@ -155,27 +208,48 @@ def _assembled(stats: DataFrame) -> DataFrame:
     Trees bin a column by its quantiles, and nearly all documents have shares of 0 or 1: in full, the few in
     between would share a bin with either.
     """
-    seen = {c: (F.round(c, 2) if c in _SHARES else F.col(c)) for c in STATISTICS} | {"odd_or_repeated": F.round(F.greatest("odd_share", "repeated_share"), 2)}
-    rows = stats.withColumn("_f", F.struct(*[v.alias(k) for k, v in seen.items()]))
-    vectors = VectorAssembler(inputCols=[f"_{k}" for k in seen], outputCol="features", handleInvalid="keep")
-    named = rows.select(*stats.columns, *[F.col(f"_f.{k}").alias(f"_{k}") for k in seen])
-    return vectors.transform(named).drop(*[f"_{k}" for k in seen])
+    rows = stats.withColumn("_f", F.struct(*[(F.round(c, 2) if c in _SHARES else F.col(c)).alias(c) for c in STATISTICS]))
+    named = rows.select(*stats.columns, *[F.col(f"_f.{c}").alias(f"_{c}") for c in STATISTICS])
+    vectors = VectorAssembler(inputCols=[f"_{c}" for c in STATISTICS], outputCol="features", handleInvalid="keep")
+    return vectors.transform(named).drop(*[f"_{c}" for c in STATISTICS])
 
 
 def _raw(model: GBTClassificationModel, stats: DataFrame) -> DataFrame:
     return model.transform(_assembled(stats)).withColumn("raw", vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def fit(stats: DataFrame, total: int, labelled: int = LABELLED) -> GBTClassificationModel | None:
-    """Trees fitted on weakly labelled rows: those whose hash lies below the share that makes `labelled`."""
-    share = min(1.0, labelled / max(1, total))
-    drawn = stats.where(F.pmod(F.xxhash64(*STATISTICS), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = stored(weak_label(drawn).where("label is not null").select("label", *STATISTICS).coalesce(4), "labelled")
-    kinds = {r[0] for r in sample.select("label").distinct().collect()}
-    if len(kinds) < 2:
-        return None
-    trees = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, minInstancesPerNode=5, maxBins=128, seed=11, labelCol="label")
-    return trees.fit(_assembled(sample))
+def _mixed(weak: DataFrame) -> DataFrame:
+    """Text and label of texts of either kind put together, as far as one clearly outweighs the other.
+
+    Over the bounded sample: its rows are numbered in one task.
+    """
+    numbered = lambda kind, name: weak.where(F.col("label") == kind).select(
+        F.col("text").alias(name), F.row_number().over(Window.orderBy(F.xxhash64("text", F.lit("mixed")), "text")).alias("n")
+    )
+    both = numbered(0.0, "prose").join(numbered(1.0, "junk"), "n")
+    share = F.length("junk") / (F.length("junk") + F.length("prose"))
+    text = F.when(F.col("n") % 2 == 0, F.concat_ws("\n\n", "prose", "junk")).otherwise(F.concat_ws("\n\n", "junk", "prose"))
+    return both.select(text.alias("text"), F.when(share > 0.6, 1.0).when(share < 0.4, 0.0).alias("label")).where("label is not null")
+
+
+def fit(documents: DataFrame, common: list[str], labelled: int = LABELLED) -> GBTClassificationModel:
+    """Trees fitted on weakly labelled rows, those whose text's hash lies below the share that makes `labelled`."""
+    spark = documents.sparkSession
+    share = min(1.0, labelled / max(1, documents.count()))
+    drawn = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    weak = weak_label(drawn, common).where("label is not null").select("text", "label")
+    # a third of the prose in short lines: how it is broken into lines must not decide
+    broken = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("text", F.lit("lines")), F.lit(3)) == 0), F.regexp_replace("text", r"(\S.{40,60}?) ", "$1\n"))
+    weak = weak.withColumn("text", F.coalesce(broken, "text"))
+    weak = stored(weak, "weak").coalesce(4)
+    weak = weak.unionByName(_mixed(weak))
+    taught = spark.createDataFrame([(t, float(j)) for t, j in taught_texts()], "text string, label double")
+    sample = stored(statistics(weak.unionByName(taught), common).select("label", *STATISTICS), "labelled").coalesce(4).persist()
+    trees = GBTClassifier(maxIter=16, maxDepth=5, stepSize=0.3, minInstancesPerNode=2, maxBins=128, seed=11, labelCol="label")
+    try:
+        return trees.fit(_assembled(sample))
+    finally:
+        sample.unpersist()
 
 
 def calibrate(raw: list[float], truth: list[int], steps: int = 200) -> tuple[float, float]:
@@ -201,16 +275,14 @@ def calibrate(raw: list[float], truth: list[int], steps: int = 200) -> tuple[flo
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """doc_id, the statistics, junk_probability and junk of every document (doc_id, text)."""
+    """doc_id, the statistics, junk_probability and junk of every document (doc_id, text, and lang if there)."""
     spark = documents.sparkSession
-    stats = stored(statistics(documents.select("doc_id", "text")).drop("text"), "text-statistics")
-    model = fit(stats, stats.count())
-    if model is None:
-        by_rule = F.coalesce(F.greatest("odd_share", "repeated_share") > 0.5, F.lit(False))
-        return stats.withColumn("junk_probability", by_rule.cast("double")).withColumn("junk", by_rule)
-    checked = spark.createDataFrame([(i, t, j) for i, (t, j) in enumerate(checked_texts())], "doc_id bigint, text string, truth int")
-    scored = _raw(model, statistics(checked)).select("raw", "truth").collect()
+    common = common_words(documents)
+    model = fit(documents, common)
+    checked = spark.createDataFrame([(t, j) for t, j in checked_texts()], "text string, truth int")
+    scored = _raw(model, statistics(checked, common)).select("raw", "truth").collect()
     a, b = calibrate([r["raw"] for r in scored], [r["truth"] for r in scored])
     probability = 1 / (1 + F.exp(-(F.col("raw") * a + b)))
+    stats = statistics(documents.select("doc_id", "text"), common).drop("text")
     out = _raw(model, stats).withColumn("junk_probability", F.when(F.col("words") > 0, probability).otherwise(0.0))
     return out.withColumn("junk", F.col("junk_probability") > 0.5).drop("raw")

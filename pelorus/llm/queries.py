@@ -113,7 +113,8 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five plain statistics of each speech."""
-    stats = quality.statistics(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = read(spark, sf_dir, "documents")
+    stats = quality.statistics(documents.select("doc_id", "text"), quality.common_words(documents))
     five = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
     return stats.select("doc_id", F.col("words").cast("bigint").alias("words"), *[F.round(c, 6).alias(c) for c in five])
 

@@ -1,9 +1,6 @@
 """The SQL that each query of this folder is checked by, where SQL can say it."""
 
-from pelorus.llm.quality import _END as _LINE_END
-from pelorus.llm.quality import COMMON
-
-_END = _LINE_END.replace("'", "''")
+from pelorus.llm.quality import COMMON_SHARE, LANGUAGE_DOCUMENTS, LANGUAGE_SHARE
 
 _AREAS = """
     select area_id, split, geographic_group, native_acquisition_group, product_name,
@@ -52,14 +49,20 @@ SQL = {
     """,
     "p4_found": _CHAINS + "select area_id from comp where component in (select component from comp group by component having count(distinct split) > 1)",
     "p10_statistics": f"""
-        with d as (select doc_id, coalesce(text, '') as t from documents),
+        with d as (select doc_id, lang, coalesce(text, '') as t from documents),
+        k as (select doc_id, lang, t, list_filter(string_split_regex(regexp_replace(lower(t), '[^\\p{{L}}''’\\n]+', ' ', 'g'), '[ \\n]'), lambda x: x <> '') as spoken from d),
+        big as (select lang, count(*) as n from d where t <> '' and lang is not null group by 1 having count(*) >= greatest({LANGUAGE_DOCUMENTS}, {LANGUAGE_SHARE} * (select count(*) from d where t <> ''))),
+        g as (select case when (select count(*) from big) > 0 then lang else '' end as lang, spoken from k where t <> '' and ((select count(*) from big) = 0 or lang in (select lang from big))),
+        size as (select lang, ceil({COMMON_SHARE} * count(*)) as least from g group by 1),
+        common as (select distinct w from (select lang, w, count(*) as c from (select lang, unnest(list_distinct(spoken)) as w from g) group by 1, 2) join size using (lang) where c >= least),
+        c as (select k.doc_id, count(*) as n from (select doc_id, unnest(spoken) as w from k) k join common using (w) group by 1),
         w as (select doc_id, t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') as words,
-            list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(trim(x), '^[>\\s]+', '')), lambda x: trim(x) <> '') as lines from d)
+            list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\x{{00a0}}>]+', '')), lambda x: x <> '') as lines from d)
         select doc_id, len(words) as words,
             round(coalesce(list_sum(list_transform(words, lambda x: length(x))) / nullif(len(words), 0), 0), 6) as mean_word_length,
             round(coalesce(length(regexp_replace(t, '[\\p{{L}}\\p{{N}}\\s]+', '', 'g')) / nullif(length(t), 0), 0), 6) as symbol_ratio,
-            round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '{_END}'))) / nullif(len(lines), 0), 0), 6) as punctuated_line_share,
-            round(coalesce(len(list_filter(words, lambda x: list_contains({list(COMMON)!r}, lower(regexp_replace(x, '[^\\p{{L}}''’]+', '', 'g'))))) / nullif(len(words), 0), 0), 6) as common_word_share
-        from w
+            round(coalesce(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;][ \\t\\r\\x{{00a0}}")\\]»”’'']*$'))) / nullif(len(lines), 0), 0), 6) as punctuated_line_share,
+            round(coalesce(c.n, 0) / greatest(len(words), 1), 6) as common_word_share
+        from w left join c using (doc_id)
     """,
 }

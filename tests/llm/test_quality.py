@@ -7,9 +7,12 @@ from pelorus.llm.holdout import _ODD, _PROSE, checked_texts  # noqa: E402
 SCHEMA = "doc_id bigint, text string, words string"
 
 
-def stats(spark, texts):
+COMMON = "the of and to a is in it that was le la de et der die und que el".split()
+
+
+def stats(spark, texts, work=None):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    return {r.doc_id: r for r in Q.statistics(df).collect()}
+    return {r.doc_id: r for r in (work or Q.statistics)(df, COMMON).collect()}
 
 
 def test_plain_statistics(spark):
@@ -17,15 +20,37 @@ def test_plain_statistics(spark):
     assert r[0].words == 10 and round(r[0].punctuated_line_share, 4) == round(2 / 3, 4)
     assert r[0].mean_word_length == sum(map(len, "The cat sat. No end here > It is done!".split())) / 10
     for k in (1, 2, 3):
-        assert all(r[k][c] == 0 for c in Q.STATISTICS)
+        assert all(r[k][c] == 0 for c in Q.STATISTICS if c != "blank_ratio")
+
+
+def test_the_share_of_lines_that_end_in_punctuation_sees_whole_lines(spark):
+    r = stats(spark, ["He said it was done." + '"' * 30, "He said it was done" + '"' * 30, "x.” »  )", "what;\nfor"])
+    assert [r[k].punctuated_line_share for k in range(4)] == [1.0, 0.0, 1.0, 0.5]
+
+
+def test_weak_labels_by_the_shapes_of_lines(spark):
+    wide = "\n".join(f"{'long cell ' * 9}{k};{k}" for k in range(5))
+    r = stats(spark, [*_ODD, wide, *_PROSE], Q.weak_label)
+    assert all(r[k].odd_share > 0.62 for k in range(len(_ODD) + 1))
+    assert all(r[k].odd_share < 0.3 and r[k].label == 0 for k in range(len(_ODD) + 1, len(r)))
+
+
+def test_common_words_are_counted_from_the_corpus(spark):
+    rows = [(k, "the cat of many" if k % 2 else "the dog of few", "en") for k in range(60)] + [(100 + k, "le chat", "fr") for k in range(60)] + [(900, "odd words", "xx")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert Q.common_words(df) == ["cat", "chat", "dog", "few", "le", "many", "of", "the"]
+    assert Q.common_words(df.drop("lang")) == ["chat", "le", "of", "the"]
+    assert Q.common_words(df.limit(0)) == []
 
 
-def test_shapes_of_lines(spark):
-    r = stats(spark, [*_ODD, *_PROSE])
-    for k in range(len(_ODD)):
-        assert max(r[k].odd_share, r[k].repeated_share) > 0.6, _ODD[k]
-    for k in range(len(_ODD), len(r)):
-        assert max(r[k].odd_share, r[k].repeated_share) < 0.3, _PROSE[k - len(_ODD)]
+def test_verdicts_do_not_hang_on_how_prose_is_broken_into_lines(spark):
+    plain = " ".join(p.replace("\n", " ").replace("> ", "") for p in _PROSE)
+    words = plain.split()
+    rows = [(0, "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)))]
+    rows += [(k, " ".join(words[k : k + 20]) + ".", ) for k in range(1, 60)] + [(100 + k, o) for k, o in enumerate(_ODD)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.junk for r in Q.judged(df).select("doc_id", "junk").collect()}
+    assert not got[0] and sum(got[100 + k] for k in range(len(_ODD))) >= len(_ODD) - 1
 
 
 def test_classifier_on_the_held_out_texts(spark):
