@@ -47,6 +47,24 @@ def release(spark: SparkSession, *paths: str) -> None:
         fs.delete(at, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.mkdirs(at)
+
+
+def move_files(spark: SparkSession, source: str, target: str, prefix: str) -> int:
+    """Moves the data files of one folder into another under a prefix; how many there were, none without the folder."""
+    fs, at = _folder(spark, source)
+    if not fs.exists(at):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isFile()]
+    names = [n for n in names if not n.startswith(("_", "."))]
+    for n in names:
+        if not fs.rename(_folder(spark, f"{source}/{n}")[1], _folder(spark, f"{target}/{prefix}{n}")[1]):
+            raise OSError(f"could not move {source}/{n}")
+    return len(names)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
