@@ -8,13 +8,15 @@ right row, and candidates that no open left row can still reach are evicted.
 
 Defined cases: rows without entity or time take no part; offsets count in whole microseconds, the
 tolerance is inclusive; of two equally near instants the earlier wins, of several rows at that instant the
-smallest id; left rows without a match are not returned; repeated left rows with the same id are one; a
-row later than the watermark is dropped by the engine, so the lateness must cover the delay of either side.
+smallest id; left rows without a match are not returned; repeated left rows with the same id are one; in a live
+stream a row later than the watermark, or before 1970, is dropped by the engine, so the lateness must cover the
+delay of either side; a replay drops none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -24,13 +26,15 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from pelorus.functions.cleaning import instant_us  # noqa: F401  the queries and tests take it from here
-from pelorus.session import shared_path
+from pelorus.session import make_folder, move_files, shared_path
 
 STATE = ", ".join(f"{c} array<bigint>" for c in ("le", "lt", "li", "re", "rt", "ri"))
 OUT = "left_id bigint, right_id bigint, offset_us bigint, right_us bigint"
 #: The last instant an end marker may carry; far beyond data, within the range of timestamps.
 END_US = 4_102_444_800_000_000
 MICRO = 1_000_000
+#: Triggers that a replay takes at least; each holds the rows of one stretch of time.
+TRIGGERS = 4
 _NONE = np.zeros(0, "int64")
 
 
@@ -78,7 +82,7 @@ def _compact(rows: np.ndarray) -> np.ndarray:
     return rows[:, first]
 
 
-def _step(tolerance_us: int):
+def _step(tolerance_us: int, origin_us: int):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [np.array(x, dtype="int64") for x in state.get] if state.exists else [_NONE] * 6
         lefts, rights = [np.stack(held[:3])], [np.stack(held[3:])]
@@ -88,7 +92,7 @@ def _step(tolerance_us: int):
             lefts.append(rows[:, is_left])
             rights.append(rows[:, ~is_left])
         left, right = np.concatenate(lefts, axis=1), _compact(np.concatenate(rights, axis=1))
-        mark = state.getCurrentWatermarkMs() * 1000
+        mark = state.getCurrentWatermarkMs() * 1000 + origin_us
         ready = left[1] + tolerance_us < mark
         yield nearest(left[:, ready], right, tolerance_us)
         left = left[:, ~ready]
@@ -99,7 +103,7 @@ def _step(tolerance_us: int):
             return
         state.update(tuple(x.tolist() for x in (*left, *right)))
         horizon = left[1].min() if left.shape[1] else right[1].max()
-        state.setTimeoutTimestamp(int(max((horizon + tolerance_us) // 1000 + 2, state.getCurrentWatermarkMs() + 1)))
+        state.setTimeoutTimestamp(int(max((horizon + tolerance_us - origin_us) // 1000 + 2, state.getCurrentWatermarkMs() + 1)))
 
     return step
 
@@ -112,18 +116,22 @@ def nearest_join(
     Returns a stream of left_id, right_id, offset_us, right_us: up to one row for each slice of a left row.
     shards: states that the slices are spread over; it should grow with the rows open at a time.
     """
-    tolerance_us, slice_us = int(round(tolerance_s * MICRO)), slice_s * MICRO
 
     def side(df: DataFrame, is_left: bool) -> DataFrame:
         return df.where("entity is not null and t is not null and id is not null").select(F.lit(is_left).alias("is_left"), "entity", "t", "id")
 
-    low, high = F.floor((F.col("t") - tolerance_us) / slice_us), F.floor((F.col("t") + tolerance_us) / slice_us)
-    lefts = side(left, True).withColumn("slot", F.explode(F.sequence(low, high)))
-    rights = side(right, False).withColumn("slot", F.floor(F.col("t") / slice_us))
-    both = lefts.unionByName(rights).withColumn("at", F.timestamp_micros("t")).withWatermark("at", lateness)
+    return tagged_join(side(left, True).unionByName(side(right, False)), tolerance_s, lateness, slice_s, shards)
+
+
+def tagged_join(rows: DataFrame, tolerance_s: float, lateness: str, slice_s: int, shards: int, origin_us: int = 0) -> DataFrame:
+    """nearest_join of one stream that holds both sides, told apart by is_left; event time counts from origin_us."""
+    tolerance_us, slice_us = int(round(tolerance_s * MICRO)), slice_s * MICRO
+    reach = F.when(F.col("is_left"), tolerance_us).otherwise(0)
+    low, high = F.floor((F.col("t") - reach) / slice_us), F.floor((F.col("t") + reach) / slice_us)
+    both = rows.withColumn("slot", F.explode(F.sequence(low, high))).withColumn("at", F.timestamp_micros(F.col("t") - origin_us)).withWatermark("at", lateness)
     both = both.withColumn("shard", F.pmod(F.xxhash64("entity", "slot"), F.lit(shards)).cast("int")).drop("slot")
     return both.groupBy("shard").applyInPandasWithState(
-        _step(tolerance_us), StructType.fromDDL(OUT), StructType.fromDDL(STATE), "append", GroupStateTimeout.EventTimeTimeout
+        _step(tolerance_us, origin_us), StructType.fromDDL(OUT), StructType.fromDDL(STATE), "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -134,30 +142,70 @@ def best_of_slices(matched: DataFrame) -> DataFrame:
     return best.select("left_id", F.col("m.right_id").alias("right_id"), F.col("m.offset_us").alias("offset_us"))
 
 
+def _in_order(left: DataFrame, right: DataFrame, triggers: int) -> tuple[DataFrame, int]:
+    """Both sides as one table with `chunk`: stretches of time in order, of equal length over the bulk of the left rows.
+
+    And the first instant of a left row.
+    """
+    bulk, first = left.agg(F.percentile_approx("t", F.array(F.lit(0.01), F.lit(0.99))), F.min("t")).first()
+    low, high = bulk or (0, 0)
+    width = max(1, (high - low) // triggers + 1)
+    tagged = lambda df, is_left: df.where("entity is not null and t is not null and id is not null").select(F.lit(is_left).alias("is_left"), "entity", "t", "id")
+    chunk = F.least(F.lit(triggers - 1), F.greatest(F.lit(0), F.floor((F.col("t") - low) / width))).cast("int")
+    return tagged(left, True).unionByName(tagged(right, False)).withColumn("chunk", chunk), first or 0
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    names = {f"spark.sql.streaming.stateStore.{k}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def replay(
-    left_files: DataFrame, right_files: DataFrame, tolerance_s: float, lateness: str = "7 days", slice_s: int = 3600, shards: int = 64
+    left: DataFrame, right: DataFrame, tolerance_s: float, slice_s: int = 3600, shards: int = 64, triggers: int = TRIGGERS, seen: list | None = None
 ) -> DataFrame:
-    """Bounded tables through the streaming join, to their end.
+    """Bounded tables (entity, t, id) through the streaming join, a stretch of time at a trigger.
 
-    left_files, right_files: streaming DataFrames over files, with entity, t, id. All there is is read as
-    one trigger, so no row is late whatever the order of the files; a marker row far in the future then
-    moves the watermark past every horizon, and all open rows come out. State and output lie in the shared
-    folder.
+    The rows are written by stretches; each is then put into the folder the stream watches and taken up in one
+    trigger, so no row is late, and the watermark follows the data: pairs come out and buffers are evicted as it
+    passes. A marker row far in the future moves it past the last horizons. The stream goes on from its checkpoint
+    at each stretch, as it would after the loss of the driver. State (RocksDB) and output lie in the shared folder.
+    seen: takes the progress of every trigger.
     """
-    spark: SparkSession = left_files.sparkSession
+    spark: SparkSession = left.sparkSession
     where = shared_path(spark, "nearest")
-    end = spark.range(1).select(F.lit(-1).cast("bigint").alias("entity"), F.lit(END_US).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("id"))
-    end.coalesce(1).write.parquet(f"{where}/end")
-    marker = spark.readStream.schema(end.schema).parquet(f"{where}/end")
-    joined = nearest_join(left_files, right_files.unionByName(marker), tolerance_s, lateness, slice_s, shards)
-    running = (
-        joined.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
-        .trigger(availableNow=True).start()
-    )
-    try:
-        running.awaitTermination()
-    finally:
-        running.stop()
+    chunked, first = _in_order(left, right, triggers)
+    chunked.write.partitionBy("chunk").parquet(f"{where}/staged")
+    plain = chunked.drop("chunk")
+    marker = spark.range(1).select(F.lit(False).alias("is_left"), *[F.lit(x).cast("bigint").alias(c) for c, x in (("entity", -1), ("t", END_US), ("id", -1))])
+    marker.coalesce(1).write.parquet(f"{where}/staged/chunk={triggers}")
+    make_folder(spark, f"{where}/live")
+    rows = spark.readStream.schema(plain.schema).parquet(f"{where}/live")
+    # an event time before 1970 would be late from the start; right rows before all left ones' reach match nothing
+    origin = min(0, first - int(round(tolerance_s * MICRO)) - MICRO)
+    joined = tagged_join(rows, tolerance_s, "1 second", slice_s, shards, origin)
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    with _settings(spark, **{"providerClass": provider, "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "256"}):
+        for k in range(triggers + 1):
+            if not move_files(spark, f"{where}/staged/chunk={k}", f"{where}/live", f"{k}-"):
+                continue
+            running = (
+                joined.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
+                .trigger(availableNow=True).start()
+            )
+            try:
+                running.awaitTermination()
+                if seen is not None:
+                    seen.extend((k, p) for p in running.recentProgress)
+            finally:
+                running.stop()
     return best_of_slices(spark.read.schema(OUT).parquet(f"{where}/out"))
 
 

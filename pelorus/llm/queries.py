@@ -13,13 +13,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The same table as a stream over its files."""
-    path = f"{sf_dir}/{table}.parquet"
-    # as a pattern: a file stream takes a single file only so
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
-
-
 TOLERANCE_S = 300.0
 SHARES = {"train": 0.70, "validation": 0.15, "test": 0.15}
 
@@ -32,16 +25,21 @@ def _areas(manifest: DataFrame) -> DataFrame:
     ).where("entity is not null and t is not null")
 
 
+#: Areas whose rows a trigger of the replay takes up, and those that a shard of its state holds.
+TRIGGER_AREAS, SHARD_AREAS = 1_000_000, 1000
+
+
 def _nearest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = _areas(read(spark, sf_dir, "manifest"))
-    reports = stream(spark, sf_dir, "position_reports").where("time_utc is not null")
+    manifest = read(spark, sf_dir, "manifest")
+    areas, n = _areas(manifest), manifest.count()
+    reports = read(spark, sf_dir, "position_reports").where("time_utc is not null")
     reports = reports.select(F.col("user_id").alias("entity"), F.unix_micros("time_utc").alias("t"), F.col("report_id").alias("id"))
     slice_us = 3600 * nearest_time.MICRO
     keyed = reports.withColumn("slot", F.floor(F.col("t") / slice_us))
+    # reports that no area's slices can reach match nothing
     reports = keyed.join(nearest_time.reachable(areas, TOLERANCE_S), ["entity", "slot"], "left_semi").drop("slot")
-    # a shard holds about a thousand areas with what is near them
-    shards = max(32, read(spark, sf_dir, "manifest").count() // 1000)
-    return nearest_time.replay(_areas(stream(spark, sf_dir, "manifest")), reports, TOLERANCE_S, shards=shards)
+    triggers = max(nearest_time.TRIGGERS, n // TRIGGER_AREAS)
+    return nearest_time.replay(areas, reports, TOLERANCE_S, shards=max(32, n // triggers // SHARD_AREAS), triggers=triggers)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,10 @@ def brute(left, right, tolerance):
     return sorted(out)
 
 
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
 def files(spark, tmp_path, name, rows, parts=1):
     """The rows as a stream over that many files."""
     for k in range(parts):
@@ -27,7 +31,7 @@ def files(spark, tmp_path, name, rows, parts=1):
     return spark.readStream.schema(SCHEMA).parquet(str(tmp_path / name))
 
 
-def test_replay_equals_brute_force_on_shuffled_files(spark, tmp_path):
+def test_replay_equals_brute_force_on_shuffled_rows(spark):
     rng = np.random.default_rng(4)
     right = [(int(rng.integers(1, 5)), int(rng.integers(0, 40_000) * 500_000), i, "x") for i in range(600)]
     right += [(9, 5_000_000, 2000 - i, "x") for i in range(300)]  # a hot entity, ties in time
@@ -37,13 +41,26 @@ def test_replay_equals_brute_force_on_shuffled_files(spark, tmp_path):
     rng.shuffle(right)
     right = [tuple(r) for r in right]
     right = [(None if r[0] is None else int(r[0]), None if r[1] is None else int(r[1]), int(r[2]), "x") for r in right]
-    out = N.replay(files(spark, tmp_path, "l", left, 2), files(spark, tmp_path, "r", right, 3).drop("extra"), 2.0, slice_s=10, shards=4)
+    seen = []
+    out = N.replay(table(spark, left).repartition(2), table(spark, right).repartition(3), 2.0, slice_s=10, shards=4, triggers=5, seen=seen)
     assert sorted((r.left_id, r.right_id) for r in out.collect()) == brute(left, right, 2_000_000)
+    # every stretch of time was a trigger of its own, whose rows the next ones saw evicted
+    assert [k for k, p in seen if p["numInputRows"]] == [0, 1, 2, 3, 4, 5]
+    assert all(p["stateOperators"][0]["numRowsDroppedByWatermark"] == 0 for _, p in seen)
+    assert seen[-1][1]["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_pairs_come_out_before_the_end(spark, monkeypatch):
+    monkeypatch.setattr(N, "END_US", 1)  # a marker that moves nothing: what comes out, the data's watermark let out
+    s = 1_000_000
+    left = [(1, k * 100 * s, k, "x") for k in range(40)]
+    out = N.replay(table(spark, left), table(spark, [(e, t + s, 1000 + i, x) for e, t, i, x in left]), 5.0, triggers=4)
+    assert sorted(r.left_id for r in out.collect()) == list(range(39))
 
 
-def test_equally_near_takes_the_earlier_and_the_tolerance_is_inclusive(spark, tmp_path):
+def test_equally_near_takes_the_earlier_and_the_tolerance_is_inclusive(spark):
     left, right = [(1, 10_000_000, 1, "x")], [(1, 9_000_000, 5, "x"), (1, 11_000_000, 4, "x")]
-    out = N.replay(files(spark, tmp_path, "l", left), files(spark, tmp_path, "r", right).drop("extra"), 1.0).collect()
+    out = N.replay(table(spark, left), table(spark, right), 1.0).collect()
     assert [(r.right_id, r.offset_us) for r in out] == [(5, -1_000_000)]
     assert N.nearest(np.array([[1], [0], [1]]), np.array([[1], [1_000_001], [2]]), 1_000_000).empty
 
@@ -64,9 +81,9 @@ def test_rows_come_out_as_the_watermark_passes_over_several_triggers(spark, tmp_
     assert [(a, b) for _, a, b in seen] == [(1, 50)]  # 4000 s is open still: the watermark stands at 4000
 
 
-def test_empty_sides(spark, tmp_path):
-    out = N.replay(files(spark, tmp_path, "l", [(1, 1, 1, "x")]), files(spark, tmp_path, "r", []).drop("extra"), 1.0)
-    assert out.count() == 0
+def test_empty_sides(spark):
+    assert N.replay(table(spark, [(1, 1, 1, "x")]), table(spark, []), 1.0).count() == 0
+    assert N.replay(table(spark, []), table(spark, []), 1.0).count() == 0
 
 
 def test_instants_and_vessel_numbers_in_all_spellings(spark):
