@@ -40,7 +40,6 @@ STATISTICS = (
 
 #: What a line ends in, and what may follow it; blanks may stand anywhere among these.
 ENDS, CLOSERS = ".!?…:;", "\")]»”’'"
-_BLANK = " \t\r\u00a0"
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -48,8 +47,8 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 
 def _spoken(text: Column) -> Column:
-    """Words in small letters without signs; the break of a line stays."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}'’\n]+", " ")
+    """Words in small letters without signs; there may be an empty one."""
+    return F.split(F.lower(text), r"[^\p{L}'’]+")
 
 
 def _filled(words: Column) -> Column:
@@ -72,7 +71,7 @@ def common_words(documents: DataFrame, text: str = "text", lang: str = "lang") -
         least = F.create_map(*[F.lit(x) for k, n in large.items() for x in (k, math.ceil(COMMON_SHARE * n))])[F.col("lang")]
     else:
         rows, least = rows.withColumn("lang", F.lit("")), F.lit(math.ceil(COMMON_SHARE * total))
-    words = rows.select("lang", F.explode(F.array_distinct(_filled(F.split(F.translate(_spoken(F.col("t")), "\n", " "), " ")))).alias("w"))
+    words = rows.select("lang", F.explode(F.array_distinct(_spoken(F.col("t")))).alias("w")).where("w <> ''")
     seen = words.groupBy("lang", "w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return sorted({r["w"] for r in seen.select("w").collect()})
 
@@ -83,22 +82,32 @@ def statistics(documents: DataFrame, common: list[str], text: str = "text") -> D
     t = F.coalesce(F.col(text), F.lit(""))
     d = documents.withColumn("_t", t).withColumn("_a", F.regexp_replace("_t", r"\p{L}+", "")).withColumn("_b", F.regexp_replace("_a", r"\p{N}+", ""))
     d = d.withColumn("_c", F.regexp_replace("_b", r"\s+", "")).withColumn("_w", _filled(F.split("_t", r"\s+")))
-    by_line = F.arrays_zip(*[F.split(c, "\n").alias(n) for c, n in ((F.col("_t"), "x"), (F.col("_a"), "a"), (F.col("_b"), "b"), (_spoken(F.col("_t")), "k"))])
+    even = lambda c: F.when(F.col(c).rlike(r"[\t\r\u00a0]"), F.translate(c, "\t\r\u00a0", "   ")).otherwise(F.col(c))
+    by_line = F.arrays_zip(*[F.split(even(c), "\n").alias(n) for c, n in (("_t", "x"), ("_a", "a"), ("_b", "b"))])
+
+    # a step after the other, so that each is worked out once a line
+    def tidy(z: Column) -> Column:
+        return F.struct(
+            F.rtrim(F.ltrim(z["x"], F.lit(" >"))).alias("x"), F.rtrim(F.ltrim(z["b"], F.lit(" >"))).alias("rest"), (F.length(z["a"]) - F.length(z["b"])).alias("digits")
+        )
+
+    def parted(z: Column) -> Column:
+        symbols = F.length(F.replace(z["rest"], F.lit(" "), F.lit("")))
+        return F.struct(
+            z["x"].alias("x"), F.length(z["x"]).alias("n"), _filled(F.split(z["x"], " ")).alias("words"), z["digits"].alias("digits"), symbols.alias("symbols"),
+            (F.length(z["rest"]) - symbols).alias("blanks"), F.left(z["x"], F.lit(1)).alias("first"), F.size(F.filter(_spoken(z["x"]), known)).alias("common"),
+            F.right(F.rtrim(z["x"], F.lit(" " + CLOSERS)), F.lit(1)).isin(*ENDS).alias("ended"),
+        )
 
     def counts(z: Column) -> Column:
-        x = F.rtrim(F.ltrim(z["x"], F.lit(_BLANK + ">")), F.lit(_BLANK))
-        words = _filled(F.split(F.translate(x, "\t\r\u00a0", "   "), " "))
-        last = F.right(F.rtrim(x, F.lit(_BLANK + CLOSERS)), F.lit(1))
-        first = F.left(x, F.lit(1))
+        kept = [z[k].alias(k) for k in ("x", "n", "digits", "symbols", "blanks", "common", "ended")]
         return F.struct(
-            x.alias("x"), F.length(x).alias("n"), F.size(words).alias("words"), F.size(F.array_distinct(words)).alias("different"),
-            F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).alias("longest"), last.isin(*ENDS).alias("ended"),
-            (F.length(z["a"]) - F.length(z["b"])).alias("digits"), F.length(F.translate(F.ltrim(z["b"], F.lit(_BLANK + ">")), _BLANK, "")).alias("symbols"),
-            (F.length(x) - F.length(F.translate(x, _BLANK, ""))).alias("blanks"), F.size(F.filter(F.split(z["k"], " "), known)).alias("common"),
-            (F.upper(first) != first).alias("small"), (F.upper(first) == F.lower(first)).alias("sign"),
+            *kept, F.size(z["words"]).alias("words"), F.size(F.array_distinct(z["words"])).alias("different"), F.array_max(F.transform(z["words"], F.length)).alias("longest"),
+            (F.upper(z["first"]) != z["first"]).alias("small"), (F.upper(z["first"]) == F.lower(z["first"])).alias("sign"),
         )
 
-    d = d.withColumn("_s", F.filter(F.transform(by_line, counts), lambda s: s["words"] > 0))
+    full = F.filter(F.transform(by_line, tidy), lambda z: z["x"] != "")
+    d = d.withColumn("_s", F.transform(F.transform(full, parted), counts))
     n_lines, n_words, n_chars = F.size("_s"), F.size("_w"), F.length("_t")
     line_chars = F.aggregate("_s", F.lit(0), lambda a, s: a + s["n"])
     total = lambda field: F.aggregate("_s", F.lit(0), lambda a, s: a + s[field])
@@ -172,9 +181,9 @@ def weak_label(documents: DataFrame, common: list[str], text: str = "text") -> D
         markup = marked & (F.length(F.regexp_replace(x, r"<[^<>]*>|\{[^{}]*\}|&[a-z]+;", "")) < n * 0.7)
         commas = F.floor((n - F.length(F.replace(x, F.lit(", "), F.lit("")))) / 2)
         return F.struct(
-            x.alias("x"), n.alias("n"), F.size(_filled(F.split(x, r"\s+"))).alias("words"), F.right(F.rtrim(x, F.lit(_BLANK + CLOSERS)), F.lit(1)).isin(*ENDS).alias("ended"),
+            x.alias("x"), n.alias("n"), F.size(_filled(F.split(x, r"\s+"))).alias("words"), F.right(F.rtrim(x, F.lit(" \t\r\u00a0" + CLOSERS)), F.lit(1)).isin(*ENDS).alias("ended"),
             (table | markup).alias("tabular"), F.regexp_count(x, F.lit(_STRANGE)).alias("strange"), ((n >= 20) & x.rlike(r"(?<!\S)\S{36}|^\S{20,}$")).alias("machine"), (commas + 1).alias("between"),
-            F.size(F.filter(F.split(_spoken(x), " "), known)).alias("common"),
+            F.size(F.filter(_spoken(x), known)).alias("common"),
         )
 
     def odd(s: Column) -> Column:
@@ -189,7 +198,7 @@ def weak_label(documents: DataFrame, common: list[str], text: str = "text") -> D
     line_chars = F.aggregate("_s", F.lit(0), lambda a, s: a + s["n"])
     by_line = _ratio(F.aggregate("_s", F.lit(0), lambda a, s: a + F.when(s["odd"], s["n"]).otherwise(0)), line_chars)
     again = _ratio(F.length(t) - F.length(F.regexp_replace(t, _AGAIN, "")), F.length(t))
-    spoken = _filled(F.split(F.translate(_spoken(t), "\n", " "), " "))
+    spoken = _filled(_spoken(t))
     d = d.withColumn("odd_share", F.greatest(by_line, again)).withColumn("_words", F.size(spoken)).withColumn("_known", F.size(F.filter(spoken, known)))
     short = F.size(_filled(F.split(t, r"\s+"))) <= 12
     junk = (F.col("odd_share") > 0.62) & ~short
@@ -237,11 +246,11 @@ def fit(documents: DataFrame, common: list[str], labelled: int = LABELLED) -> GB
     spark = documents.sparkSession
     share = min(1.0, labelled / max(1, documents.count()))
     drawn = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    weak = weak_label(drawn, common).where("label is not null").select("text", "label")
+    # stored before any condition on the label: pushed down, that would have every rule worked out once more
+    weak = stored(weak_label(drawn, common).select("text", "label"), "weak").where("label is not null").coalesce(4)
     # a third of the prose in short lines: how it is broken into lines must not decide
     broken = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("text", F.lit("lines")), F.lit(3)) == 0), F.regexp_replace("text", r"(\S.{40,60}?) ", "$1\n"))
     weak = weak.withColumn("text", F.coalesce(broken, "text"))
-    weak = stored(weak, "weak").coalesce(4)
     weak = weak.unionByName(_mixed(weak))
     taught = spark.createDataFrame([(t, float(j)) for t, j in taught_texts()], "text string, label double")
     sample = stored(statistics(weak.unionByName(taught), common).select("label", *STATISTICS), "labelled").coalesce(4).persist()
@@ -283,6 +292,7 @@ def judged(documents: DataFrame) -> DataFrame:
     scored = _raw(model, statistics(checked, common)).select("raw", "truth").collect()
     a, b = calibrate([r["raw"] for r in scored], [r["truth"] for r in scored])
     probability = 1 / (1 + F.exp(-(F.col("raw") * a + b)))
-    stats = statistics(documents.select("doc_id", "text"), common).drop("text")
+    # stored, as a condition on the verdict, pushed down, would have each count worked out wherever it is used
+    stats = stored(statistics(documents.select("doc_id", "text"), common).drop("text"), "text-statistics")
     out = _raw(model, stats).withColumn("junk_probability", F.when(F.col("words") > 0, probability).otherwise(0.0))
     return out.withColumn("junk", F.col("junk_probability") > 0.5).drop("raw")
