@@ -16,7 +16,6 @@ delay of either side; a replay drops none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -155,19 +154,6 @@ def _in_order(left: DataFrame, right: DataFrame, triggers: int) -> tuple[DataFra
     return tagged(left, True).unionByName(tagged(right, False)).withColumn("chunk", chunk), first or 0
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    names = {f"spark.sql.streaming.stateStore.{k}": v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def replay(
     left: DataFrame, right: DataFrame, tolerance_s: float, slice_s: int = 3600, shards: int = 64, triggers: int = TRIGGERS, seen: list | None = None
 ) -> DataFrame:
@@ -176,7 +162,7 @@ def replay(
     The rows are written by stretches; each is then put into the folder the stream watches and taken up in one
     trigger, so no row is late, and the watermark follows the data: pairs come out and buffers are evicted as it
     passes. A marker row far in the future moves it past the last horizons. The stream goes on from its checkpoint
-    at each stretch, as it would after the loss of the driver. State (RocksDB) and output lie in the shared folder.
+    at each stretch, as it would after the loss of the driver. State and output lie in the shared folder.
     seen: takes the progress of every trigger.
     """
     spark: SparkSession = left.sparkSession
@@ -191,21 +177,19 @@ def replay(
     # an event time before 1970 would be late from the start; right rows before all left ones' reach match nothing
     origin = min(0, first - int(round(tolerance_s * MICRO)) - MICRO)
     joined = tagged_join(rows, tolerance_s, "1 second", slice_s, shards, origin)
-    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-    with _settings(spark, **{"providerClass": provider, "rocksdb.boundedMemoryUsage": "true", "rocksdb.maxMemoryUsageMB": "256"}):
-        for k in range(triggers + 1):
-            if not move_files(spark, f"{where}/staged/chunk={k}", f"{where}/live", f"{k}-"):
-                continue
-            running = (
-                joined.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
-                .trigger(availableNow=True).start()
-            )
-            try:
-                running.awaitTermination()
-                if seen is not None:
-                    seen.extend((k, p) for p in running.recentProgress)
-            finally:
-                running.stop()
+    for k in range(triggers + 1):
+        if not move_files(spark, f"{where}/staged/chunk={k}", f"{where}/live", f"{k}-"):
+            continue
+        running = (
+            joined.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state")
+            .trigger(availableNow=True).start()
+        )
+        try:
+            running.awaitTermination()
+            if seen is not None:
+                seen.extend((k, p) for p in running.recentProgress)
+        finally:
+            running.stop()
     return best_of_slices(spark.read.schema(OUT).parquet(f"{where}/out"))
 
 
