@@ -150,12 +150,15 @@ def column_names(changes: DataFrame, values: DataFrame) -> tuple[dict[str, list[
     Names joined by a renaming are one column, called by the name most rows have. Only names and counts
     reach the driver, at most MAX_NAMES of them.
     """
-    counts = values.groupBy("field", "kind").agg(F.count("*").alias("n")).limit(MAX_NAMES * 6 + 1).collect()
+    whole = F.col("raw").try_cast("bigint").isNotNull() & ~F.col("raw").rlike("[.eE]")
+    counts = values.groupBy("field", "kind").agg(F.count("*").alias("n"), F.count_if((F.col("kind") == "number") & ~whole).alias("parts")).limit(MAX_NAMES * 6 + 1).collect()
     if len(counts) > MAX_NAMES * 6:
         raise ValueError(f"more than {MAX_NAMES} field names")
     total: dict[str, int] = {}
     kinds: dict[str, dict[str, int]] = {}
+    broken: dict[str, int] = {}
     for r in counts:
+        broken[r["field"]] = broken.get(r["field"], 0) + r["parts"]
         total[r["field"]] = total.get(r["field"], 0) + r["n"]
         if r["kind"]:
             kinds.setdefault(r["field"], {})[r["kind"]] = r["n"]
@@ -180,7 +183,8 @@ def column_names(changes: DataFrame, values: DataFrame) -> tuple[dict[str, list[
     for name, names in columns.items():
         scalar = {k: sum(kinds.get(f, {}).get(k, 0) for f in names) for k in ("boolean", "number", "string")}
         best = max(scalar, key=lambda k: scalar[k])
-        typed[name] = {"boolean": "boolean", "number": "double"}.get(best, "string") if scalar[best] else "string"
+        number = "double" if any(broken.get(f) for f in names) else "bigint"
+        typed[name] = {"boolean": "boolean", "number": number}.get(best, "string") if scalar[best] else "string"
     return columns, typed
 
 
@@ -188,7 +192,8 @@ def consistent_table(rows: DataFrame, columns: dict[str, list[str]], typed: dict
     """row_id, feed, file_no, file_id, the columns, and failed_casts (names of columns that didn't fit).
 
     Values are taken from whichever name a row has them under; a value wrapped in a list of one or in an
-    object of one key is unwrapped; longer ones stay as JSON, or fail the cast. No shuffle.
+    object of one key is unwrapped; longer ones stay as JSON, or fail the cast. Numbers that are all whole are
+    bigint; where others are among them, a whole number that a double can't hold fails too. No shuffle.
     """
     body = F.from_json("payload", "map<string,string>")
     out = rows.select("row_id", "feed", "file_no", "file_id", body.alias("m"))
@@ -201,7 +206,11 @@ def consistent_table(rows: DataFrame, columns: dict[str, list[str]], typed: dict
         plain = F.when(raw.rlike(r"^\s*[\[{]"), F.coalesce(inner, raw)).otherwise(raw)
         value = plain if typed[name] == "string" else plain.try_cast(typed[name])
         made.append(value.alias(name))
-        failed.append(F.when(plain.isNotNull() & value.isNull(), F.lit(name)))
+        bad = value.isNull()
+        if typed[name] == "double":
+            exact = plain.try_cast("decimal(38,0)")
+            bad |= F.coalesce(plain.rlike(r"^\s*-?\d{16,}\s*$") & (exact.isNull() | (value.cast("decimal(38,0)") != exact)), F.lit(False))
+        failed.append(F.when(plain.isNotNull() & bad, F.lit(name)))
     if not made:
         return out.drop("m").withColumn("failed_casts", F.array().cast("array<string>"))
     return out.select("row_id", "feed", "file_no", "file_id", *made, F.array_compact(F.array(*failed)).alias("failed_casts"))

@@ -6,7 +6,7 @@ they are written partitioned by table, and each table is read back under its own
 A list of children may come as a list, as an object keyed by id, as one bare object, as JSON in a string,
 or be null or absent. Defined cases: a document that isn't well-formed JSON, isn't an object, or is null
 gives one row in the table "rejected" and nothing else; a child without an id has a null id and still its
-own key; documents loaded again give their rows again under their own record; keys are made of the record
+own key, a member that is no object has its value under the key "value"; documents loaded again give their rows again under their own record; keys are made of the record
 id and the places on the way, so they are unique even where ids repeat.
 """
 
@@ -50,8 +50,8 @@ def _unwrap(value):
 def _members(value, ids: tuple[str, ...]) -> list[tuple[str | None, dict]]:
     value = _unwrap(value)
     if isinstance(value, list):
-        items = [_unwrap(x) for x in value]
-        return [(next((x[k] for k in ids if x.get(k) is not None), None), x) for x in items if isinstance(x, dict)]
+        items = [x if isinstance(x, dict) else {"value": x} for x in map(_unwrap, value)]
+        return [(next((x[k] for k in ids if x.get(k) is not None), None), x) for x in items]
     if not isinstance(value, dict) or not value:
         return []
     if any(value.get(k) is not None and not isinstance(value[k], dict) for k in ids):

@@ -93,9 +93,10 @@ SIGHTING_COLUMNS = ("ICEBERG_YEAR", "ICEBERG_NUMBER", "SIGHTING_DATE", "SIGHTING
 
 
 def sightings(spark: SparkSession, paths: list[str], first_day: str = "2014-10-01") -> DataFrame:
-    """Yearly sighting files with a `reason` for each row that can't be used, null for the rest.
+    """Yearly sighting files with a `reason` for each row that is invalid, and the `scope` of valid ones out of the study.
 
-    Headers may be broken over lines and spaced; times are four digits of which leading zeros may be lost.
+    Headers may be broken over lines and spaced; times are four digits of which leading zeros may be lost. A row
+    before the study is counted and valid.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("inferSchema", False).csv(paths)
     tidy = {c: "_".join(c.upper().split()) for c in raw.columns}
@@ -111,11 +112,9 @@ def sightings(spark: SparkSession, paths: list[str], first_day: str = "2014-10-0
         F.concat_ws(":", F.trim("ICEBERG_YEAR"), F.trim("ICEBERG_NUMBER")).alias("iceberg_id"), F.when(good_clock, at).alias("at"), lat.alias("lat"), lon.alias("lon"),
         F.trim("SIGHTING_METHOD").alias("method"), F.trim("SOURCE").alias("source"), F.trim("SIZE").alias("size"), F.trim("SHAPE").alias("shape"),
     )
-    reason = (
-        F.when(F.col("at").isNull(), "time").when(lat_bad(F.col("lat")) | ~F.coalesce(F.col("lon").between(-180, 0), F.lit(False)), "position")
-        .when(F.col("at") < F.lit(first_day).cast("timestamp"), "before_study")
-    )
-    return out.withColumn("reason", reason)
+    reason = F.when(F.col("at").isNull(), "time").when(lat_bad(F.col("lat")) | ~F.coalesce(F.col("lon").between(-180, 0), F.lit(False)), "position")
+    early = F.when(reason.isNull() & (F.col("at") < F.lit(first_day).cast("timestamp")), "before_study")
+    return out.withColumn("reason", reason).withColumn("scope", early)
 
 
 def lat_bad(lat: Column) -> Column:

@@ -75,7 +75,7 @@ def test_only_lists_of_one_and_objects_of_one_key_are_unwrapped(spark):
 
 def test_too_many_renamings_are_an_error_not_left_out(spark, monkeypatch):
     monkeypatch.setattr(D, "MAX_NAMES", 1)
-    values = spark.createDataFrame([("a", "number")], "field string, kind string")
+    values = spark.createDataFrame([("a", "number", "1.5")], "field string, kind string, raw string")
     pairs = [("renamed", f"o{k}", "a") for k in range(11)]
     schema = "change string, old_field string, new_field string"
     assert D.column_names(spark.createDataFrame(pairs[:10], schema), values) == ({"a": ["a"]}, {"a": "double"})
@@ -90,3 +90,18 @@ def test_nested_paths_go_on_to_the_last_level(spark):
     got = {r.path: (r.kind, r.n) for r in D.nested_paths(frame(spark, [(1, [doc, {"a": 1}])])).collect()}
     deepest = "$.k1.k2.k3.k4.k5.k6.k7.k8[*].k10.k11.k12.k13"
     assert len(got) == 14 and got[deepest] == ("number", 1) and got["$.a"] == ("number", 1)
+
+
+def test_nothing_is_lost_without_a_word(spark):
+    rows = frame(spark, [(1, [
+        {"id": "a", "big": 9007199254740993, "mixed": 1.5, "list": ["x", "y", "z"], "size": {"value": 1, "unit": "m"}, "n": 4},
+        {"id": "b", "big": 7, "mixed": 9007199254740993, "list": ["x"], "size": 2, "n": [5, 6]}, {"id": "c", "n": 8},
+        {"id": "d", "a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": {"i": [{"j": 1}]}}}}}}}}},
+    ])])
+    columns, typed = D.column_names(D.field_changes(rows), D.field_values(rows))
+    assert (typed["big"], typed["mixed"], typed["n"]) == ("bigint", "double", "bigint")
+    out = {r.row_id: r for r in D.consistent_table(rows, columns, typed).collect()}
+    assert out[1].big == 9007199254740993 and out[1].list == '["x","y","z"]' and out[2].list == "x"
+    assert out[1].size is None and out[1].failed_casts == ["size"] and sorted(out[2].failed_casts) == ["mixed", "n"]
+    paths = {r.path for r in D.nested_paths(rows).collect()}
+    assert "$.a.b.c.d.e.f.g.h.i[*].j" in paths

@@ -52,3 +52,10 @@ def test_very_deep_and_very_long_documents(spark):
     t = tables(spark, [deep, long])
     assert t.rows("rejected").count() == 1
     assert t.rows("object").count() == 2000
+
+
+def test_members_that_are_no_objects_come_out_too(spark):
+    t = tables(spark, [{"areas": [{"id": "a", "objects": ["o1", 7, None, [1, 2], {"id": "o3"}]}]}])
+    got = {r.pk: (r.own_id, json.loads(r.payload)) for r in t.rows("object").collect()}
+    assert sorted(str(v) for v in got.values()) == sorted(str(v) for v in [(None, {"value": "o1"}), (None, {"value": 7}), (None, {"value": None}), (None, {"value": [1, 2]}), ("o3", {"id": "o3"})])
+    assert [tuple(r) for r in N.children_of_areas(t).collect()] == [(0, "a", "object", "o3")]

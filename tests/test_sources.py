@@ -54,8 +54,8 @@ def test_journal_sightings_and_features(spark, tmp_path):
         '"ICEBERG\nYEAR",ICEBERG NUMBER,SIGHTING DATE,SIGHTING TIME,SIGHTING LATITUDE,SIGHTING LONGITUDE,SIGHTING METHOD,SIZE,SHAPE,SOURCE\n'
         "2017,12,1/2/2017,930,48.5,-50.5,R/V,MED,DRY,SAT\n2017,13,1/2/2017,2460,48.5,-50.5,,,,\n2017,14,1/2/2017,,48.5,-50.5,,,,\n2017,15,1/2/2017,0100,48.5,50.5,,,,\n2010,1,1/2/2010,0100,48.5,-50.5,,,,\n"
     )
-    got = {r.iceberg_id: r.reason for r in A.sightings(spark, [str(tmp_path / "s.csv")]).collect()}
-    assert got == {"2017:12": None, "2017:13": "time", "2017:14": "time", "2017:15": "position", "2010:1": "before_study"}
+    got = {r.iceberg_id: (r.reason, r.scope) for r in A.sightings(spark, [str(tmp_path / "s.csv")]).collect()}
+    assert got == {"2017:12": (None, None), "2017:13": ("time", None), "2017:14": ("time", None), "2017:15": ("position", None), "2010:1": (None, "before_study")}
     doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": {"type": "Point", "coordinates": [1, 2]}, "properties": {"a": 1}}]}
     (tmp_path / "f.geojson").write_text(json.dumps(doc))
     assert A.features(spark, str(tmp_path / "f.geojson")).first().geometry_type == "Point"
