@@ -40,7 +40,12 @@ def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     geodesic if no more than PLAUSIBLE_KNOTS were needed, else carried on from one side for at most
     PROPAGATE_S with its motion, or unmoved for STILL_S.
     """
-    pairs = near_scenes(scenes, reports, AGE_S).withColumn("dt", (F.col("t_us") - F.col("at_us")) / 1e6)
+    return aligned_pairs(near_scenes(scenes, reports, AGE_S))
+
+
+def aligned_pairs(pairs: DataFrame) -> DataFrame:
+    """aligned() of pairs of a scene (scene_id, at_us) and a report (with t_us) within AGE_S."""
+    pairs = pairs.withColumn("dt", (F.col("t_us") - F.col("at_us")) / 1e6)
     row = F.struct("lat", "lon", "speed_knots", "course_deg", "dt", "t_us", "report_id")
     # the first report of each instant, and whether the instant has several places
     stamps = pairs.groupBy("scene_id", "user_id", "t_us").agg(

@@ -33,6 +33,14 @@ def query(sql: str | None, *tables: str):
     return register
 
 
+def queries() -> dict:
+    return {name: run for name, (run, _) in ALL.items()}
+
+
+def sql() -> dict[str, str]:
+    return {name: text for name, (_, text) in ALL.items() if text}
+
+
 _CLEAN = """
     select report_id, user_id, latitude as lat, longitude as lon, time_utc, received_at,
         case when sog >= 0 and sog < 102.2 then sog end as speed_knots, case when cog >= 0 and cog < 360 then cog end as course_deg,
@@ -767,7 +775,3 @@ def dearest_lines(l):  # noqa: E741
 def orders_without_lines(o, l, c):  # noqa: E741
     out = o.join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").join(c, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     return out.select("o_orderkey")
-
-
-QUERIES = {name: run for name, (run, _) in ALL.items()}
-SQL = {name: sql for name, (_, sql) in ALL.items() if sql}
