@@ -13,10 +13,10 @@ components of more than a LARGE-th of all weight reach the driver: at most LARGE
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from pelorus.session import cut
+from pelorus.session import cut, release, shared_path, stored_at
 
 LARGE = 1000
 SLOTS = 512
@@ -29,42 +29,64 @@ def _coin(vertex: Column, turn: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(str(turn)), vertex), F.lit(2)) == 0
 
 
+def _collapse(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One round: which vertex is collapsed into which (v, parent), and the edges that are left."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = both.where(~_coin(F.col("a"), turn) & _coin(F.col("b"), turn))
+    mates = pairs.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("parent"))
+    moved = edges
+    for end in ("a", "b"):
+        # merged, not broadcast: mates grow with the data, and many small broadcasts fill the driver
+        m = mates.select(F.col("v").alias(end), F.col("parent").alias("_p")).hint("merge")
+        moved = moved.join(m, end, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
+    moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return mates, moved.distinct()
+
+
 def contract(edges: DataFrame) -> DataFrame:
-    """v, label for every vertex of the edges (a, b): vertices of one component have one label."""
+    """v, label for every vertex of the edges (a, b): vertices of one component have one label.
+
+    Each round is written once, in one table: the edges left and the vertices collapsed. A vertex collapses once,
+    so all rounds' mates are a forest; it is unwound by taking the parent's parent until nothing moves, which halves
+    the way to the root each time. What was written is deleted as soon as it is read no more.
+    """
+    spark = edges.sparkSession
     vertex = edges.schema["a"].dataType
+    where = shared_path(spark, "contract")
     loose = edges.where("a is not null and b is not null and a <> b")
-    edges = cut(loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    rounds: list[DataFrame] = []
-    for turn in range(MAX_ROUNDS):
-        if edges.isEmpty():
-            break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = both.where(~_coin(F.col("a"), turn) & _coin(F.col("b"), turn))
-        mates = cut(pairs.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("parent")))
-        moved = edges
-        for end in ("a", "b"):
-            # merged, not broadcast: mates grow with the data, and many small broadcasts fill the driver
-            m = mates.select(F.col("v").alias(end), F.col("parent").alias("_p")).hint("merge")
-            moved = moved.join(m, end, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
-        moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = cut(moved.distinct())
-        rounds.append(mates)
-    else:
-        raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
-    spark = edges.sparkSession
-    if not rounds:
-        return spark.createDataFrame([], edges.schema).select(F.col("a").alias("v"), F.col("b").alias("label"))
-    # unwinding: a vertex collapsed in a round has the label its parent got in later rounds
-    labels = spark.createDataFrame([], rounds[0].schema).select(F.col("v"), F.col("parent").alias("label"))
-    for k, mates in enumerate(reversed(rounds)):
-        known = labels.select(F.col("v").alias("parent"), F.col("label").alias("_l")).hint("merge")
-        own = mates.join(known, "parent", "left").select("v", F.coalesce("_l", "parent").alias("label"))
-        labels = labels.unionByName(own)
-        if k % 4 == 3:
-            labels = cut(labels)
-    labels = cut(labels)
+    rest = loose.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rounds, left = 0, 1
+    while left:
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")
+        mates = None
+        if rounds:  # the first time the edges alone are written
+            mates, rest = _collapse(rest, rounds)
+        kept = rest.select("a", "b", F.lit("edge").alias("kind"))
+        if mates is not None:
+            kept = kept.unionByName(mates.select(F.col("v").alias("a"), F.col("parent").alias("b"), F.lit("mate").alias("kind")))
+        seen = Observation()
+        counted = kept.observe(seen, F.count_if(F.col("kind") == "edge").alias("edges"))
+        counted.write.partitionBy("kind").parquet(f"{where}/round={rounds}")
+        left = seen.get["edges"]
+        rest = spark.read.schema(f"a {vertex.simpleString()}, b {vertex.simpleString()}").parquet(f"{where}/round={rounds}/kind=edge") if left else rest
+        if rounds:
+            release(spark, f"{where}/round={rounds - 1}/kind=edge")
+        rounds += 1
+    mates = spark.read.schema(f"a {vertex.simpleString()}, b {vertex.simpleString()}, kind string, round int").parquet(where).where("kind = 'mate'")
+    labels, moved, step = mates.select(F.col("a").alias("v"), F.col("b").alias("label")), 1, 0
+    while moved:
+        up = labels.select(F.col("v").alias("label"), F.col("label").alias("_up")).hint("merge")
+        jumped = labels.join(up, "label", "left").select("v", F.coalesce("_up", "label").alias("label"), F.col("_up").isNotNull().alias("moved"))
+        seen = Observation()
+        path = f"{where}-labels{step}"
+        stored_at(jumped.observe(seen, F.count_if("moved").alias("moved")), path)
+        moved = seen.get["moved"]
+        labels = spark.read.schema(jumped.schema).parquet(path).select("v", "label")
+        release(spark, where if step == 0 else f"{where}-labels{step - 1}")
+        step += 1
     roots = labels.select(F.col("label").alias("v"), "label").distinct()
-    return labels.unionByName(roots).select(F.col("v").cast(vertex), F.col("label").cast(vertex))
+    return labels.unionByName(roots)
 
 
 def components(records: DataFrame, record_id: str, groups: str) -> DataFrame:
@@ -76,9 +98,10 @@ def components(records: DataFrame, record_id: str, groups: str) -> DataFrame:
     first = F.get("g", F.lit(0))
     edges = named.where(F.size("g") > 1).select(first.alias("a"), F.explode(F.slice("g", 2, 1 << 30)).alias("b"))
     labels = contract(edges)
-    labelled = named.select("id", first.alias("v")).join(labels.hint("merge"), "v", "left")
-    own = F.concat(F.lit("record:"), F.col("id").cast("string"))
-    return labelled.select(F.col("id").alias(record_id), F.coalesce("label", "v", own).alias("component"))
+    # records without groups are no rows of the join: they would all be one key
+    alone = named.where(F.size("g") == 0).select(F.col("id").alias(record_id), F.concat(F.lit("record:"), F.col("id").cast("string")).alias("component"))
+    grouped = named.where(F.size("g") > 0).select("id", first.alias("v")).join(labels.hint("merge"), "v", "left")
+    return grouped.select(F.col("id").alias(record_id), F.coalesce("label", "v").alias("component")).unionByName(alone)
 
 
 def assign(weights: DataFrame, shares: dict[str, float]) -> DataFrame:
