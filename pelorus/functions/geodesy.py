@@ -123,3 +123,31 @@ def lambert(lat, lon, phi1=49.0, phi2=77.0, lat0=63.390675, lon0=-91.8666666667,
     r, r0 = A_M * f * t(p) ** n, A_M * f * t(p0) ** n
     theta = n * np.radians((np.asarray(lon, float) - lon0 + 180) % 360 - 180)
     return fe + r * np.sin(theta), fn + r0 - r * np.cos(theta)
+
+
+def ring_area_km2(ring) -> float | None:
+    """Area of a ring of (lon, lat) on the sphere of equal area to the ellipsoid; edges are straight in longitude and sine of latitude there."""
+    if ring is None:
+        return None
+    p = np.array([(q["lon"], q["lat"]) for q in ring], float)
+    if len(p) > 1 and (p[0] == p[-1]).all():
+        p = p[:-1]
+    if len(p) < 3 or np.isnan(p).any():
+        return None
+    e = np.sqrt(ECC2)
+
+    def q(s):
+        return (1 - ECC2) * (s / (1 - ECC2 * s * s) - np.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    whole = q(1.0)
+    radius2 = A_M**2 * whole / 2
+    sin_lat = q(np.sin(np.radians(p[:, 1]))) / whole
+    gap = np.radians((np.roll(p[:, 0], -1) - p[:, 0] + 180) % 360 - 180)
+    return float(abs(np.sum(gap * (sin_lat + np.roll(sin_lat, -1)) / 2)) * radius2 / 1e6)
+
+
+def azimuthal_equidistant(lat, lon, lat0: float, lon0: float):
+    """(x, y) in metres about a centre: true distance and azimuth on the ellipsoid."""
+    lat, lon = np.asarray(lat, float), np.asarray(lon, float)
+    d, az = inverse(np.full(lat.shape, lat0), np.full(lat.shape, lon0), lat, lon)
+    return d * np.sin(np.radians(az)), d * np.cos(np.radians(az))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pelorus.functions import cleaning
 from pelorus.operators import proximity, selection
 from pelorus.plans.survey_queries import _AT_US, _HAV, _ROI, query, scenes
+from pelorus.sources import products
 
 _NAME = "^(S1.)_.*_(\\\\d{8}T\\\\d{6})_(\\\\d{8}T\\\\d{6})_\\\\d{6}_[0-9A-F]{6}_[0-9A-F]{4}(_COG)?(\\\\.SAFE)?$".replace("\\\\", "\\")
 
@@ -182,3 +183,67 @@ def transport_epochs(e):
     x = rows.withColumn("epoch", F.sum(F.when(F.col("event_type") == "purchase", 1).otherwise(0)).over(w))
     state = F.when(F.col("event_type").isin("view", "click"), F.struct("t", "event_id", "event_type"))
     return x.groupBy("user_id", "epoch").agg(F.count("*").alias("n"), F.max(state)["event_type"].alias("transport"), F.bool_or(F.col("event_type") == "error").alias("broken"), F.round((F.max("t") - F.min("t")) / 1e6, 3).alias("lasted_s"))
+
+
+# ---- audits of sources ----
+
+
+@query(
+    """select case when lower(trim(object_class)) is null then 'unknown' else lower(trim(object_class)) end as kind, count(*) as labels, count(*) filter (coordinates[1] between -51 and -50.5) as inside,
+        count(distinct case when coordinates[1] between -51 and -50.5 then product_id end) as scenes from annotations group by 1""",
+    "annotations",
+)
+def label_audit(a):
+    named = a.select(F.col("object_class").alias("is_vessel"), F.col("product_id").alias("scene_id"), F.get("coordinates", F.lit(0)).alias("lon"))
+    return products.label_audit(named, F.col("lon").between(-51, -50.5))
+
+
+@query(
+    """with i as (select distinct roi_id as id, product_id as o from annotations where roi_id is not null), m as (select roi_id as id, product_id as o, split from selection_rois),
+    j as (select coalesce(i.id, m.id) as id, case when i.id is null then 'not_indexed' when m.id is null then 'no_image' when i.o is distinct from m.o then 'conflict' else 'matched' end as state from i full join m on i.id = m.id)
+    select state, count(*) as n from j group by 1""",
+    "annotations", "selection_rois",
+)
+def crosswalk_states(a, s):
+    index = a.where("roi_id is not null").select(F.col("roi_id").alias("id"), F.col("product_id").alias("origin")).distinct()
+    return products.crosswalk(index, s.select(F.col("roi_id").alias("id"), F.col("product_id").alias("origin"), "split")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with s as (select user_id, min(epoch_us(ts)) / 1e6 as a, max(epoch_us(ts)) / 1e6 as b, count(*) filter (event_type = 'click' and epoch_us(ts) / 1e6 between 1705000000 and 1705300000) as observations from events group by 1)
+    select user_id, round(a, 3) as first, round(b, 3) as last, observations, case when observations > 0 then 'partial' else 'unknown' end as state from s where a <= 1705300000 and b >= 1705000000""",
+    "events",
+)
+def coverage_sessions(e):
+    rows = e.select("user_id", (F.unix_micros("ts") / 1e6).alias("t"), (F.col("event_type") == "click").alias("accepted"))
+    out = products.coverage_sessions(rows, "user_id", "t", 1705000000.0, 1705300000.0)
+    return out.withColumn("first", F.round("first", 3)).withColumn("last", F.round("last", 3))
+
+
+@query(
+    """with f as (select product_id, 'x-' || case annotation_id % 4 when 0 then 'vv' when 1 then 'vh' when 2 then 'hh' else 'hv' end || '-' || lpad(cast(annotation_id as varchar), 6, '0') || '.tiff' as name from annotations),
+    b as (select product_id, max(name) filter (contains(name, '-vv-')) as vv, max(name) filter (contains(name, '-vh-')) as vh, max(name) filter (contains(name, '-hh-')) as hh, max(name) filter (contains(name, '-hv-')) as hv from f group by 1)
+    select product_id, case when vv is not null and vh is not null then vv when hh is not null and hv is not null then hh end as co, case when vv is not null and vh is not null then vh when hh is not null and hv is not null then hv end as "cross",
+        case when vv is not null and vh is not null then 'VV+VH' when hh is not null and hv is not null then 'HH+HV' else 'unknown' end as polarization from b""",
+    "annotations",
+)
+def polarization_pairs(a):
+    band = F.get(F.array(*[F.lit(b) for b in ("vv", "vh", "hh", "hv")]), (F.col("annotation_id") % 4).cast("int"))
+    files = a.select("product_id", F.concat(F.lit("x-"), band, F.lit("-"), F.lpad(F.col("annotation_id").cast("string"), 6, "0"), F.lit(".tiff")).alias("name"))
+    return products.polarization_pair(files)
+
+
+@query(
+    """with r as (select roi_key, center[1] as x, center[2] as y from selection_rois where len(center) >= 2)
+    select roi_key, '{"type":"Feature","geometry":{"type":"Polygon"' as head, 4 + 1 as corners from r""",
+    "selection_rois",
+)
+def region_features(s):
+    """Regions as GeoJSON polygons; drawn clockwise here, they come out counter-clockwise and closed."""
+    x, y = F.col("center")[0], F.col("center")[1]
+    corner = lambda dx, dy: F.struct((x + dx).alias("lon"), (y + dy).alias("lat"))
+    ring = F.array(corner(-0.1, -0.1), corner(-0.1, 0.1), corner(0.1, 0.1), corner(0.1, -0.1))
+    f = products.polygon_features(s.where(F.size("center") >= 2).select("roi_key", ring.alias("ring")), "ring")
+    parsed = F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>, properties struct<roi_key: bigint>")
+    d = f.select("feature", parsed.alias("p"))
+    return d.select(F.col("p.properties.roi_key").alias("roi_key"), F.substring("feature", 1, 46).alias("head"), F.size(F.col("p.geometry.coordinates")[0]).alias("corners"))
