@@ -53,11 +53,24 @@ _BRACKET = re.compile(r"[\[\]()]")
 _MARK = re.compile(r"(?:^|\s)\w{1,3}$")
 _BROKEN = re.compile("(?<=\\w)(?:\u00ad\\s*|[-\u2010\u2011]\\s*\n[>\\s]*)(?=\\w)")
 _WORD = re.compile(r"[^\W_]+")
-_LETTERS = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "\u00ad": ""})
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+
+
+class _Fold(dict):
+    """Letters as they count: ligatures apart, accents and soft hyphens gone; looked up once each."""
+
+    def __missing__(self, code: int) -> int | None:
+        out = self[code] = None if unicodedata.combining(chr(code)) else code
+        return out
+
+
+_FOLD = _Fold({ord(a): b for a, b in {"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "\u00ad": ""}.items()})
 
 
 def without_notes(text: str) -> str:
     """The text without its bracketed parts, of any length and depth; a bracket without a partner stays."""
+    if "(" not in text and "[" not in text:
+        return text
     open_: list[tuple[str, int]] = []
     spans: list[tuple[int, int]] = []
     for m in _BRACKET.finditer(text):
@@ -80,10 +93,11 @@ def without_notes(text: str) -> str:
 
 
 def _tokens(text: str) -> list[str]:
-    text = unicodedata.normalize("NFKD", _BROKEN.sub("", text).casefold().translate(_LETTERS))
-    if not text.isascii():
-        text = "".join(c for c in text if not unicodedata.combining(c))
-    return _WORD.findall(text)
+    if "\u00ad" in text or ("\n" in text and any(h in text for h in "-\u2010\u2011")):
+        text = _BROKEN.sub("", text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
+    return _WORD.findall(unicodedata.normalize("NFKD", text.casefold()).translate(_FOLD))
 
 
 def words(text: str | None) -> list[str]:
