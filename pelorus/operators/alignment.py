@@ -20,16 +20,18 @@ KNOT = 1852.0 / 3600.0
 BASE_M, DRIFT_M_S = 100.0, 2.0
 
 
-def near_scenes(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600) -> DataFrame:
-    """Pairs of a scene (scene_id, at_us) and a report within half_s, over slices of time.
+def near_scenes(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600, spread: int = 16) -> DataFrame:
+    """Pairs of a scene (scene_id, at_us) and a report within half_s, wherever the report is, over slices of time.
 
-    A scene visits the slices its window reaches, a report lies in one: an equi-join, no cross product.
+    A scene visits the slices its window reaches, a report lies in one: an equi-join, no cross product. A slice is spread
+    over `spread` keys, as all reports of an hour may meet in it; the scenes, far fewer, are repeated for each.
     """
     half, slice_us = int(half_s * 1e6), slice_s * 1_000_000
     low, high = F.floor((F.col("at_us") - half) / slice_us), F.floor((F.col("at_us") + half) / slice_us)
-    visits = scenes.withColumn("_slice", F.explode(F.sequence(low, high)))
+    visits = scenes.withColumn("_slice", F.explode(F.sequence(low, high))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     placed = reports.withColumn("t_us", F.unix_micros("time_utc")).withColumn("_slice", F.floor(F.col("t_us") / slice_us))
-    return placed.join(visits, "_slice").where(F.abs(F.col("t_us") - F.col("at_us")) <= half).drop("_slice")
+    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(spread)).cast("int"))
+    return placed.join(visits, ["_slice", "_salt"]).where(F.abs(F.col("t_us") - F.col("at_us")) <= half).drop("_slice", "_salt")
 
 
 def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:

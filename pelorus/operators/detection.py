@@ -46,9 +46,11 @@ def keep_best(x0, y0, x1, y1, score, most_iou: float) -> np.ndarray:
 
 
 def suppress(boxes: DataFrame, by: list[str], most_iou: float = 0.5) -> DataFrame:
-    """boxes (x0, y0, x1, y1, score) that greedy suppression within each image and class keeps."""
+    """boxes (x0, y0, x1, y1, score) that greedy suppression within each image and class keeps; of equal scores the first by the other columns."""
+    tied = [c for c in boxes.columns if c not in (*by, "score")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["score", *tied], ascending=[False] + [True] * len(tied), kind="stable")
         v = [frame[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1", "score")]
         return frame[keep_best(*v, most_iou)]
 
@@ -71,9 +73,11 @@ def keep_apart(col, row, score, tile, radius: float) -> np.ndarray:
 
 
 def apart(points: DataFrame, by: list[str], radius: float = 6.0) -> DataFrame:
-    """points (col, row, score, tile) without the doubles that overlapping tiles make."""
+    """points (col, row, score, tile) without the doubles that overlapping tiles make; of equal scores the first by the other columns stays."""
+    tied = [c for c in points.columns if c not in (*by, "score")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["score", *tied], ascending=[False] + [True] * len(tied), kind="stable")
         tile = [None if pd.isna(t) else t for t in frame["tile"]]
         return frame[keep_apart(frame["col"].to_numpy(float), frame["row"].to_numpy(float), frame["score"].to_numpy(float), tile, radius)]
 

@@ -46,6 +46,22 @@ SQL = {
         union all select file_id, 'added', '', field from added a where not exists (select 1 from ren where ren.file_id = a.file_id and ren.n = a.field)
         union all select file_id, 'removed', field, '' from removed r where not exists (select 1 from ren where ren.file_id = r.file_id and ren.o = r.field)
     """,
+    "p5_paths": """
+        with recursive r(feed, file_no, file_id, path, j, depth) as (
+            select feed, file_no, file_id, '$', cast(payload as json), 0 from release_rows where json_valid(payload) and json_type(payload) = 'OBJECT'
+            union all select r.feed, r.file_no, r.file_id, r.path || case when json_type(r.j) = 'ARRAY' then '[*]' else '.' || e.key end, cast(e.value as json), r.depth + 1
+            from r, json_each(r.j) e where json_type(r.j) in ('ARRAY', 'OBJECT')),
+        k as (select *, json_type(j) as t from r where depth > 0)
+        select feed, file_no, file_id, path, case when t in ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') then 'number' when t = 'VARCHAR' then 'string' when t = 'NULL' then null else lower(t) end as kind, count(*) as n from k group by 1, 2, 3, 4, 5
+    """,
+    "p6_areas": """
+        with d as (select record_id, cast(payload as json) as j from collection_records where json_valid(payload)),
+        b as (select record_id, case when json_type(j, '$.collection') = 'OBJECT' then j -> '$.collection' when json_type(j, '$.annotation_decisions') = 'OBJECT' then j -> '$.annotation_decisions' else j end as j from d where json_type(j) = 'OBJECT'),
+        e as (select record_id, unnest(case json_type(j, '$.areas') when 'ARRAY' then range(0, json_array_length(j, '$.areas')::bigint) when 'OBJECT' then range(0, len(json_keys(j, '$.areas'))::bigint) else [] end) as n, j from b),
+        a as (select record_id, n, case json_type(j, '$.areas') when 'OBJECT' then json_keys(j, '$.areas')[n + 1] end as name, case json_type(j, '$.areas') when 'ARRAY' then json_extract(j, '$.areas[' || n || ']') else json_extract(j, '$.areas."' || json_keys(j, '$.areas')[n + 1] || '"') end as v from e)
+        select record_id, record_id || '/area:' || n as pk, cast(record_id as varchar) as parent_pk, coalesce(v ->> '$.id', v ->> '$.roi_id', name) as area_id, v ->> '$.product_id' as product_id, v ->> '$.split' as split, v ->> '$.notes' as notes,
+            case when json_type(v, '$.prior_datatake_exposure') = 'BOOLEAN' then cast(v ->> '$.prior_datatake_exposure' as boolean) end as prior_datatake_exposure, try_cast(v ->> '$.source_coverage.all_scenarios_complete' as boolean) as all_scenarios_complete from a
+    """,
     "p6_found": """
         with d as (select record_id, cast(payload as json) as j from collection_records where json_valid(payload)),
         b as (select record_id, case when json_type(j, '$.collection') = 'OBJECT' then j -> '$.collection' when json_type(j, '$.annotation_decisions') = 'OBJECT' then j -> '$.annotation_decisions' else j end as j from d where json_type(j) = 'OBJECT'),

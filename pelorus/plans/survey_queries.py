@@ -89,11 +89,13 @@ def ais_window(r):
 
 
 @query(
-    f"select user_id, epoch_us(time_utc) as t_us, count(distinct (lat, lon)) as positions from ({_CLEAN}) group by user_id, time_utc having count(distinct (lat, lon)) > 1",
+    f"""select user_id, t_us, count(distinct (lat, lon)) as positions from (select user_id, lat, lon, epoch_us(date_trunc('minute', time_utc)) as t_us from ({_CLEAN})) group by user_id, t_us having count(distinct (lat, lon)) > 1""",
     "position_reports",
 )
 def ais_conflicts(r):
-    return reports.conflicting(reports.clean(r)).select("user_id", F.unix_micros("time_utc").alias("t_us"), "positions")
+    """Vessels in several places within one minute: to the microsecond the tables hold none."""
+    minute = reports.clean(r).withColumn("time_utc", F.date_trunc("minute", "time_utc"))
+    return reports.conflicting(minute).select("user_id", F.unix_micros("time_utc").alias("t_us"), "positions")
 
 
 @query(
@@ -240,6 +242,17 @@ def scene_covariance(m, r):
     return w.select("scene_id", "user_id", alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s")).alias("c")).select("scene_id", "user_id", "c.*")
 
 
+@query(
+    f"""with c as (select report_id, coalesce(speed_knots, 0) * 1852.0 / 3600 * 60 as s, radians(coalesce(course_deg, 0)) as r from ({_CLEAN})), v as (select report_id, r, pow(s * 0.15, 2) + 10000 as a, pow(s * 0.05, 2) + 10000 as b from c)
+    select report_id, round(a * sin(r) * sin(r) + b * cos(r) * cos(r), 3) as ee, round((a - b) * sin(r) * cos(r), 3) + 0.0 as en, round(a * cos(r) * cos(r) + b * sin(r) * sin(r), 3) as nn from v""",
+    "position_reports",
+)
+def report_covariance(r):
+    """The covariance of each report's position a minute on."""
+    c = reports.clean(r).select("report_id", alignment.covariance(F.col("speed_knots") * 1852.0 / 3600, F.col("course_deg"), F.lit(60.0)).alias("c"))
+    return c.select("report_id", *[(F.round(f"c.{k}", 3) + 0.0).alias(k) for k in ("ee", "en", "nn")])
+
+
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
     w = stored(alignment.aligned(scenes(m), reports.clean(r)), "aligned")
@@ -582,10 +595,20 @@ def chosen_threshold(l):  # noqa: E741
     return statistics.best_threshold(m, ["regime"], 0.4).drop("recall")
 
 
-@query(None, "lineitem")
+_BINOMIAL = "list_sum(list_transform(range({a}, {b}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+
+
+@query(
+    f"""with recursive m as (select regime, threshold, tp as k, tp + fn as n from ({_METRICS})),
+    s as (select regime, threshold, k, n, 0 as step, 1e-12 as la, 1 - 1e-12 as lb, 1e-12 as ha, 1 - 1e-12 as hb from m
+        union all select regime, threshold, k, n, step + 1, case when k > 0 and {_BINOMIAL.format(a="k", b="n + 1", p="((la + lb) / 2)")} < 0.025 then (la + lb) / 2 else la end, case when k > 0 and {_BINOMIAL.format(a="k", b="n + 1", p="((la + lb) / 2)")} < 0.025 then lb else (la + lb) / 2 end,
+            case when k < n and {_BINOMIAL.format(a="0", b="k + 1", p="((ha + hb) / 2)")} > 0.025 then (ha + hb) / 2 else ha end, case when k < n and {_BINOMIAL.format(a="0", b="k + 1", p="((ha + hb) / 2)")} > 0.025 then hb else (ha + hb) / 2 end from s where step < 36)
+    select regime, threshold, round(case when k = 0 then 0 else (la + lb) / 2 end, 5) as low, round(case when k = n then 1 else (ha + hb) / 2 end, 5) as high from s where step = 36""",
+    "lineitem",
+)
 def recall_intervals(l):  # noqa: E741
     m = statistics.confusion(statistics.at_thresholds(_scored(l), _THRESHOLDS), ["regime", "threshold"], F.col("truth"), F.col("score"), F.col("threshold"))
-    return m.select("regime", "threshold", statistics.share_interval(F.col("tp"), F.col("tp") + F.col("fn")).alias("i")).select("regime", "threshold", "i.*")
+    return m.select("regime", "threshold", statistics.share_interval(F.col("tp"), F.col("tp") + F.col("fn")).alias("i")).select("regime", "threshold", F.round("i.low", 5).alias("low"), F.round("i.high", 5).alias("high"))
 
 
 @query(
@@ -615,14 +638,15 @@ def calibrated(l):  # noqa: E741
 
 
 @query(
-    """with b as (select annotation_id, roi_id, bbox_px[1] as x0, bbox_px[2] as y0, bbox_px[3] as x1, bbox_px[4] as y1 from annotations where len(bbox_px) = 4),
+    """with b as (select annotation_id, roi_id, bbox_px[1] - 120 as x0, bbox_px[2] - 120 as y0, bbox_px[3] + 120 as x1, bbox_px[4] + 120 as y1 from annotations where len(bbox_px) = 4),
     p as (select a.annotation_id as a, b.annotation_id as b, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i,
         (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as s from b a join b on a.roi_id = b.roi_id and a.annotation_id < b.annotation_id)
     select a, b, round(i / nullif(s - i, 0), 6) as iou from p where i > 0""",
     "annotations",
 )
 def overlapping_boxes(a):
-    b = a.where(F.size("bbox_px") == 4).select("annotation_id", "roi_id", *[F.col("bbox_px")[k].alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    """Boxes of one region that overlap, each taken 120 pixels wider, as they hardly ever do themselves."""
+    b = a.where(F.size("bbox_px") == 4).select("annotation_id", "roi_id", *[(F.col("bbox_px")[k] + (-120 if k < 2 else 120)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
     l, r = b.alias("l"), b.alias("r")  # noqa: E741
     side = lambda s: {k: F.col(f"{s}.{k}") for k in ("x0", "y0", "x1", "y1")}
     pairs = l.join(r, F.col("l.roi_id") == F.col("r.roi_id")).where("l.annotation_id < r.annotation_id")
@@ -686,22 +710,51 @@ def whole_tiles(s):
     return detection.fixed_tiles(s.where("size_px is not null").select("roi_key", "size_px"), n, n, 128, 32).select("roi_key", "col", "row")
 
 
+#: The objects' own boxes hardly ever meet: they are taken wider by so many pixels.
+_GROWN = 120.0
+_NUMBERED = f"""
+    select *, row_number() over (partition by image, kind order by score desc, annotation_id) as rk, row_number() over (partition by image order by score desc, annotation_id) as ri from (
+        select coalesce(roi_id, '?' || annotation_id) as image, coalesce(object_class, '?') as kind, annotation_id, bbox_px[1] - {_GROWN} as x0, bbox_px[2] - {_GROWN} as y0, bbox_px[3] + {_GROWN} as x1, bbox_px[4] + {_GROWN} as y1,
+            (annotation_id * 7919) % 1000 / 1000.0 as score from annotations where len(bbox_px) = 4)
+"""
+_SUPPRESSED = f"""
+    with recursive b as materialized ({_NUMBERED}), k(image, kind, rk, kept) as (
+        select distinct image, kind, 0::bigint, []::struct(id bigint, x0 double, y0 double, x1 double, y1 double)[] from b
+        union all select k.image, k.kind, k.rk + 1, case when len(list_filter(k.kept, lambda r: greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0)) > 0
+            and greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0)) >= 0.3 * ((r.x1 - r.x0) * (r.y1 - r.y0) + (b.x1 - b.x0) * (b.y1 - b.y0)
+            - greatest(0, least(r.x1, b.x1) - greatest(r.x0, b.x0)) * greatest(0, least(r.y1, b.y1) - greatest(r.y0, b.y0))))) = 0
+            then list_append(k.kept, {{'id': b.annotation_id, 'x0': b.x0::double, 'y0': b.y0::double, 'x1': b.x1::double, 'y1': b.y1::double}}) else k.kept end
+        from k join b on b.image = k.image and b.kind = k.kind and b.rk = k.rk + 1),
+    u as (select unnest(kept).id as annotation_id from (select arg_max(kept, rk) as kept from k group by image, kind))
+    select annotation_id, image, score::double as score from u join b using (annotation_id)
+"""
+_APART = f"""
+    with recursive p as materialized (select image, annotation_id, ri, score, (x0 + x1) / 2 as col, (y0 + y1) / 2 as row, cast(cast(floor(x0 / 96) as bigint) as varchar) as tile from ({_NUMBERED})), k(image, ri, kept) as (
+        select distinct image, 0::bigint, []::struct(id bigint, col double, row double, tile varchar)[] from p
+        union all select k.image, k.ri + 1, case when len(list_filter(k.kept, lambda r: (r.col - p.col) * (r.col - p.col) + (r.row - p.row) * (r.row - p.row) < 14400 and r.tile <> p.tile)) = 0
+            then list_append(k.kept, {{'id': p.annotation_id, 'col': p.col::double, 'row': p.row::double, 'tile': p.tile}}) else k.kept end
+        from k join p on p.image = k.image and p.ri = k.ri + 1),
+    u as (select unnest(kept).id as annotation_id from (select arg_max(kept, ri) as kept from k group by image))
+    select annotation_id, image, score::double as score from u join p using (annotation_id)
+"""
+
+
 def _boxes(a: DataFrame) -> DataFrame:
     # boxes without a region lie in no image that is known, so each is an image of its own
     own = F.concat(F.lit("?"), F.col("annotation_id").cast("string"))
-    b = a.where(F.size("bbox_px") == 4).select(F.coalesce("roi_id", own).alias("image"), F.coalesce("object_class", F.lit("?")).alias("kind"), "annotation_id", *[F.col("bbox_px")[k].cast("double").alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+    b = a.where(F.size("bbox_px") == 4).select(F.coalesce("roi_id", own).alias("image"), F.coalesce("object_class", F.lit("?")).alias("kind"), "annotation_id", *[(F.col("bbox_px")[k].cast("double") + (-_GROWN if k < 2 else _GROWN)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
     return b.withColumn("score", F.pmod(F.col("annotation_id") * 7919, F.lit(1000)) / 1000.0)
 
 
-@query(None, "annotations")
+@query(_SUPPRESSED, "annotations")
 def suppressed_boxes(a):
     return detection.suppress(_boxes(a), ["image", "kind"], 0.3).select("annotation_id", "image", "score")
 
 
-@query(None, "annotations")
+@query(_APART, "annotations")
 def distinct_detections(a):
     p = _boxes(a).select("image", "annotation_id", ((F.col("x0") + F.col("x1")) / 2).alias("col"), ((F.col("y0") + F.col("y1")) / 2).alias("row"), "score", F.floor(F.col("x0") / 96).cast("string").alias("tile"))
-    return detection.apart(p, ["image"], 12.0).select("annotation_id", "image", "score")
+    return detection.apart(p, ["image"], 120.0).select("annotation_id", "image", "score")
 
 
 @query(
