@@ -20,6 +20,8 @@ from pelorus.functions.geo import EARTH_RADIUS_M, haversine_m, lon_gap, usable_p
 
 #: No more cells than this are ever salted, so the list of them is small whatever the input.
 HOT_CELLS = 4096
+#: Rows of a cell that one task takes without salting.
+HOT_ROWS = 50_000
 
 
 def _columns_in(row: Column, step: Column) -> Column:
@@ -72,7 +74,7 @@ def points(df: DataFrame, id_col: Column, lat: Column, lon: Column, prefix: str)
     )
 
 
-def _salted(many: DataFrame, few: DataFrame, cell_col: str, spread: str, total: int | None, hot_rows: int):
+def salted(many: DataFrame, few: DataFrame, cell_col: str, spread: str, total: int | None, hot_rows: int):
     """Both sides with a salt: rows of hot cells of `many` are spread, rows of `few` in such cells repeated.
 
     A cell is hot above hot_rows rows and above a HOT_CELLS-th of the table, which bounds their number.
@@ -98,11 +100,11 @@ def _salted(many: DataFrame, few: DataFrame, cell_col: str, spread: str, total:
     return many, few
 
 
-def within_distance(left: DataFrame, right: DataFrame, radius_m: float, total: int | None = None, hot_rows: int = 50_000) -> DataFrame:
+def within_distance(left: DataFrame, right: DataFrame, radius_m: float, total: int | None = None, hot_rows: int = HOT_ROWS, once: bool = False) -> DataFrame:
     """Pairs of a left and a right point at most radius_m apart on the sphere, with distance_m.
 
     left and right come from points() with the prefixes "l" and "r"; the smaller side should be left, as
-    it is the one repeated per cell. total: rows of right or more, counted if not given; it only sets when a cell counts as hot.
+    it is the one repeated per cell. once: of a table with itself each pair once, the smaller id left. total: rows of right or more, counted if not given; it only sets when a cell counts as hot.
     """
     step = math.degrees(radius_m / EARTH_RADIUS_M) * (1 + 1e-9)
     reached = math.sin(min(radius_m / EARTH_RADIUS_M, math.pi / 2))
@@ -111,10 +113,11 @@ def within_distance(left: DataFrame, right: DataFrame, radius_m: float, total: i
     dlon = F.when(near_pole, 180.0).otherwise(F.degrees(F.asin(F.least(width, F.lit(1.0)))) * (1 + 1e-9) + 1e-12)
     few = reach(left, F.col("l_lat"), F.col("l_lon"), F.lit(step), F.lit(step), dlon, "cell")
     many = right.withColumn("cell", cell(F.col("r_lat"), F.col("r_lon"), F.lit(step)))
-    many, few = _salted(many, few, "cell", "r_id", total, hot_rows)
+    many, few = salted(many, few, "cell", "r_id", total, hot_rows)
     distance = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
+    met = many.join(few, ["cell", "_salt"])
     return (
-        many.join(few, ["cell", "_salt"])
+        (met.where("l_id < r_id") if once else met)
         .where(F.abs(F.col("l_lat") - F.col("r_lat")) <= step)
         .withColumn("distance_m", distance)
         .where(F.col("distance_m") <= radius_m)
@@ -122,7 +125,7 @@ def within_distance(left: DataFrame, right: DataFrame, radius_m: float, total: i
     )
 
 
-def inside_boxes(located: DataFrame, regions: DataFrame, total: int | None = None, base_m: float = 128.0, hot_rows: int = 50_000) -> DataFrame:
+def inside_boxes(located: DataFrame, regions: DataFrame, total: int | None = None, base_m: float = 128.0, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs of a point (prefix "l") and a square region (prefix "r", with r_half_m) that contains it.
 
     Inside: |north| and |east| of the point from the centre, measured on the sphere at the centre's
@@ -140,7 +143,7 @@ def inside_boxes(located: DataFrame, regions: DataFrame, total: int | None = Non
     many = located.withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
     many = many.withColumn("cell", cell(F.col("l_lat"), F.col("l_lon"), step) * 64 + F.col("level"))
     few = few.withColumn("cell", F.col("cell") * 64 + F.col("level")).drop("level")
-    many, few = _salted(many, few, "cell", "l_id", None if total is None else total * max(1, len(levels)), hot_rows)
+    many, few = salted(many, few, "cell", "l_id", None if total is None else total * max(1, len(levels)), hot_rows)
     north = F.radians(F.abs(F.col("l_lat") - F.col("r_lat"))) * EARTH_RADIUS_M
     east = F.radians(lon_gap(F.col("l_lon"), F.col("r_lon"))) * F.cos(F.radians("r_lat")) * EARTH_RADIUS_M
     return (

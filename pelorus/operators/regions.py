@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelorus.functions.geo import EARTH_RADIUS_M
-from pelorus.operators.proximity import cell, reach
+from pelorus.operators.proximity import HOT_ROWS, cell, reach, salted
 
 RING = "array<array<struct<lon: double, lat: double>>>"
 
@@ -85,23 +85,35 @@ def _candidates(points: DataFrame, polygons: DataFrame, margin_m: float) -> Data
     many = points.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
     many = many.withColumn("_cell", cell(F.col("l_lat"), F.col("l_lon"), step) * 64 + F.col("_level")).drop("_level")
     in_box = (F.abs(F.col("l_lat") - F.col("_lat")) <= F.col("_dlat")) & (F.abs(F.pmod(F.col("l_lon") - F.col("_lon") + 180.0, F.lit(360.0)) - 180.0) <= F.col("_dlon"))
-    return many.join(few, "_cell").where(in_box).drop("_cell")
+    many, few = salted(many, few, "_cell", "l_id", None, HOT_ROWS)
+    return many.join(few, ["_cell", "_salt"]).where(in_box).drop("_cell", "_salt")
 
 
-def containing(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """l_id, r_id: the polygons (r_id bigint, rings) that cover each point (l_id bigint, l_lat, l_lon)."""
+def covers_column(rings: Column, lon: Column, lat: Column) -> Column:
+    """True where a polygon (outer ring and holes, closed or not) covers a point or has it on an edge; without Python."""
+    first = F.get(F.get(rings, F.lit(0)), F.lit(0))["lon"]
+    turn = lambda x: F.pmod(x - first + 180.0, F.lit(360.0)) - 180.0
+    px = turn(lon)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = np.zeros(len(b), bool)
-            for _, at in b.groupby("r_id").indices.items():
-                rings = _rings(b["rings"].iloc[at[0]])
-                if rings:
-                    keep[at] = covers(b["l_lon"].to_numpy()[at], b["l_lat"].to_numpy()[at], rings)
-            yield b.loc[keep, ["l_id", "r_id"]]
+    def edges(ring: Column) -> Column:
+        return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, F.lit(1), F.lit(1))), lambda a, b: F.struct(turn(a["lon"]).alias("x1"), a["lat"].alias("y1"), turn(b["lon"]).alias("x2"), b["lat"].alias("y2")))
 
-    pairs = _candidates(points, polygons, 0.0).select("l_id", "l_lat", "l_lon", "r_id", "rings")
-    return pairs.mapInPandas(run, "l_id bigint, r_id bigint")
+    sound = F.filter(F.coalesce(rings, F.array().cast(RING)), lambda r: F.size(F.array_distinct(r)) >= 3)
+
+    def step(state: Column, e: Column) -> Column:
+        x1, y1, x2, y2 = (e[k] for k in ("x1", "y1", "x2", "y2"))
+        on = ((x2 - x1) * (lat - y1) == (y2 - y1) * (px - x1)) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & lat.between(F.least(y1, y2), F.greatest(y1, y2))
+        over = ((y1 > lat) != (y2 > lat)) & (px < F.try_divide((x2 - x1) * (lat - y1), y2 - y1) + x1)
+        return F.struct((state["inside"] != F.coalesce(over, F.lit(False))).alias("inside"), (state["edge"] | F.coalesce(on, F.lit(False))).alias("edge"))
+
+    start = F.struct(F.lit(False).alias("inside"), F.lit(False).alias("edge"))
+    return F.aggregate(F.flatten(F.transform(sound, edges)), start, step, lambda s: s["inside"] | s["edge"])
+
+
+def containing(points: DataFrame, polygons: DataFrame) -> DataFrame:
+    """l_id, r_id: the polygons (r_id, rings) that cover each point (l_id, l_lat, l_lon)."""
+    pairs = _candidates(points, polygons, 0.0)
+    return pairs.where(covers_column(F.col("rings"), F.col("l_lon"), F.col("l_lat"))).select("l_id", "r_id")
 
 
 def shore(points: DataFrame, land: DataFrame, reach_m: float) -> DataFrame:

@@ -31,13 +31,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _annotation_points(spark, sf_dir, "l")
     report_points = proximity.points(reports, F.col("report_id"), F.col("latitude"), F.col("longitude"), "r")
     near_reports = proximity.within_distance(left, report_points, NEAR_M, n_reports)
-    near_others = proximity.within_distance(left, _annotation_points(spark, sf_dir, "r"), NEAR_M, n_annotations)
+    near_others = proximity.within_distance(left, _annotation_points(spark, sf_dir, "r"), NEAR_M, n_annotations, once=True)
     centre = F.col("center")
     boxes = proximity.points(rois, F.col("roi_key"), F.get(centre, F.lit(1)), F.get(centre, F.lit(0)), "r")
     sizes = rois.select(F.col("roi_key").alias("r_id"), (F.col("size_px") * (PIXEL_M / 2)).alias("r_half_m"))
     containing = proximity.inside_boxes(left, boxes.join(sizes, "r_id"), n_annotations)
     kinds = (
-        near_others.where("l_id < r_id").select(F.lit("annotation").alias("kind"), "l_id", "r_id"),
+        near_others.select(F.lit("annotation").alias("kind"), "l_id", "r_id"),
         near_reports.select(F.lit("report").alias("kind"), "l_id", "r_id"),
         containing.select(F.lit("roi").alias("kind"), "l_id", "r_id"),
     )
