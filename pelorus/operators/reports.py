@@ -19,11 +19,11 @@ def clean(reports: DataFrame) -> DataFrame:
 
 
 def distinct_reports(cleaned: DataFrame) -> DataFrame:
-    """Each report once, however often it was delivered: the one with the smallest id."""
+    """Each report once, however often it was delivered: the one with the smallest id, and how often (n_delivered)."""
     key = ["user_id", "time_utc", "lat", "lon", "speed_knots", "course_deg"]
     rest = [c for c in cleaned.columns if c not in key]
-    kept = cleaned.groupBy(*key).agg(F.min_by(F.struct(*rest), "report_id").alias("_r"))
-    return kept.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*cleaned.columns)
+    kept = cleaned.groupBy(*key).agg(F.min(F.struct("report_id", *[c for c in rest if c != "report_id"])).alias("_r"), F.count("*").alias("n_delivered"))
+    return kept.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest], "n_delivered").select(*cleaned.columns, "n_delivered")
 
 
 def archive_counts(reports: DataFrame) -> DataFrame:

@@ -63,10 +63,7 @@ def ais_clean(r):
     "position_reports",
 )
 def ais_distinct(r):
-    c = reports.clean(r)
-    once = reports.distinct_reports(c).select("report_id", "user_id", "time_utc", "lat", "lon", "speed_knots", "course_deg")
-    n = c.groupBy("user_id", "time_utc", "lat", "lon", "speed_knots", "course_deg").agg(F.count("*").alias("n"), F.min("report_id").alias("report_id"))
-    return once.select("report_id", "user_id").join(n.select("report_id", "n"), "report_id")
+    return reports.distinct_reports(reports.clean(r)).select("report_id", "user_id", F.col("n_delivered").alias("n"))
 
 
 @query(
