@@ -74,3 +74,8 @@ def native_group(product: Column) -> Column:
     part = r"^(S1[A-Z])_\w{2}_\w{4}_\w{4}_\d{8}T\d{6}_\d{8}T\d{6}_(\d{6})_([0-9A-F]{6})_[0-9A-F]{4}(_COG)?(\.SAFE)?$"
     name = F.upper(F.trim(product))
     return F.when(name.rlike(part), F.concat_ws("_", *[F.regexp_extract(name, part, k) for k in (1, 2, 3)]))
+
+
+def real_source(coverage: Column) -> Column:
+    """True if a statement of coverage names a real source of reports."""
+    return F.coalesce(~F.lower(F.trim(coverage)).isin("", "none", "mock", "unknown", "n/a", "synthetic"), F.lit(False))

@@ -151,3 +151,29 @@ def azimuthal_equidistant(lat, lon, lat0: float, lon0: float):
     lat, lon = np.asarray(lat, float), np.asarray(lon, float)
     d, az = inverse(np.full(lat.shape, lat0), np.full(lat.shape, lon0), lat, lon)
     return d * np.sin(np.radians(az)), d * np.cos(np.radians(az))
+
+
+def lambert_inverse(x, y, phi1=49.0, phi2=77.0, lat0=63.390675, lon0=-91.8666666667, fe=6_200_000.0, fn=3_000_000.0):
+    """(lat, lon) of a place under lambert() with the same parameters."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    # a parallel far south gives the cone: its radius and the pole's follow from two known places
+    north = lambert(90.0 - 1e-12, lon0, phi1, phi2, lat0, lon0, fe, fn)[1]
+    dx, dy = x - fe, north - y
+    r = np.hypot(dx, dy)
+    step = lambert(lat0, lon0 + 10.0, phi1, phi2, lat0, lon0, fe, fn)
+    n = np.arctan2(step[0] - fe, north - step[1]) / np.radians(10.0)
+    lon = lon0 + np.degrees(np.arctan2(dx, dy) / n)
+    low, high = np.full(r.shape, -89.0), np.full(r.shape, 90.0 - 1e-12)
+    for _ in range(80):  # the radius falls with latitude
+        mid = (low + high) / 2
+        further = north - lambert(mid, lon0, phi1, phi2, lat0, lon0, fe, fn)[1] > r
+        low, high = np.where(further, mid, low), np.where(further, high, mid)
+    return (low + high) / 2, (lon + 180) % 360 - 180
+
+
+def envelope(lat: float, lon: float, half_m: float) -> list[tuple[float, float]]:
+    """The corners (lon, lat) of a square about a place on the plane of lambert(), closed."""
+    x, y = lambert(lat, lon)
+    corners = [(-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1)]
+    la, lo = lambert_inverse([x + a * half_m for a, _ in corners], [y + b * half_m for _, b in corners])
+    return [(float(o), float(a)) for a, o in zip(la, lo, strict=True)]

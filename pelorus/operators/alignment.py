@@ -175,13 +175,26 @@ def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost:
 
 
 def covariance(speed_m_s: Column, course_deg: Column, age_s: Column, base_m: float = 100.0, along: float = 0.15, across: float = 0.05) -> Column:
-    """East-north covariance of an aligned position: a base, and growth with age along and across the course."""
+    """East-north covariance of an aligned position: a base, and growth with age along and across the course.
+
+    Where speed or course is unknown the vessel may have gone anywhere at PLAUSIBLE_KNOTS.
+    """
+    known = speed_m_s.isNotNull() & course_deg.isNotNull()
     s, rad = F.coalesce(speed_m_s, F.lit(0.0)) * age_s, F.radians(F.coalesce(course_deg, F.lit(0.0)))
-    a2, c2 = F.pow(s * along, 2) + base_m**2, F.pow(s * across, 2) + base_m**2
+    anywhere = F.pow(age_s * (PLAUSIBLE_KNOTS * KNOT), 2) + base_m**2
+    a2, c2 = F.when(known, F.pow(s * along, 2) + base_m**2).otherwise(anywhere), F.when(known, F.pow(s * across, 2) + base_m**2).otherwise(anywhere)
     sin, cos = F.sin(rad), F.cos(rad)
     return F.struct((a2 * sin * sin + c2 * cos * cos).alias("ee"), ((a2 - c2) * sin * cos).alias("en"), (a2 * cos * cos + c2 * sin * sin).alias("nn"))
 
 
+def compared_choices(one: DataFrame, two: DataFrame) -> DataFrame:
+    """By target (scene_id, target_id) the vessel either matcher chose, and how they agree; targets that neither pairs are left out."""
+    a = one.where("selected").select("scene_id", "target_id", F.col("user_id").alias("first"))
+    b = two.where("selected").select("scene_id", "target_id", F.col("user_id").alias("second"))
+    state = F.when(F.col("second").isNull(), "first_only").when(F.col("first").isNull(), "second_only").when(F.col("first") == F.col("second"), "same").otherwise("different")
+    return a.join(b, ["scene_id", "target_id"], "full").withColumn("state", state)
+
+
 #: Gates of the uncertain association: squared statistical distance, metres, and the price of no pair.
 GATE_D2, GATE_M, ABSTAIN = 9.21, 2000.0, 20.0
 

@@ -240,7 +240,8 @@ def scene_covariance(m, r):
 
 
 @query(
-    f"""with c as (select report_id, coalesce(speed_knots, 0) * 1852.0 / 3600 * 60 as s, radians(coalesce(course_deg, 0)) as r from ({_CLEAN})), v as (select report_id, r, pow(s * 0.15, 2) + 10000 as a, pow(s * 0.05, 2) + 10000 as b from c)
+    f"""with c as (select report_id, speed_knots is not null and course_deg is not null as known, coalesce(speed_knots, 0) * 1852.0 / 3600 * 60 as s, radians(coalesce(course_deg, 0)) as r from ({_CLEAN})),
+    v as (select report_id, r, case when known then pow(s * 0.15, 2) else pow(60 * 60 * 1852.0 / 3600, 2) end + 10000 as a, case when known then pow(s * 0.05, 2) else pow(60 * 60 * 1852.0 / 3600, 2) end + 10000 as b from c)
     select report_id, round(a * sin(r) * sin(r) + b * cos(r) * cos(r), 3) as ee, round((a - b) * sin(r) * cos(r), 3) + 0.0 as en, round(a * cos(r) * cos(r) + b * sin(r) * sin(r), 3) as nn from v""",
     "position_reports",
 )
@@ -252,6 +253,18 @@ def report_covariance(r):
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
+    return _uncertain(m, r, a)
+
+
+@query(None, "manifest", "position_reports", "annotations")
+def matcher_comparison(m, r, a):
+    """How far the assignment by distance and the one by uncertainty agree, target by target."""
+    pairs = _gated(m, r, a).select("scene_id", "target_id", "user_id", "distance_m", "ambiguous")
+    out = alignment.compared_choices(alignment.one_to_one(pairs, ["scene_id"], "target_id", "user_id", "distance_m"), _uncertain(m, r, a))
+    return out.groupBy("state").agg(F.count("*").alias("targets"))
+
+
+def _uncertain(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
     w = stored(alignment.aligned(scenes(m), reports.clean(r)), "aligned")
     c = alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s"))
     targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")

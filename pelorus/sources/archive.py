@@ -183,11 +183,99 @@ def tiff_strips(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         yield k * strip_rows, np.frombuffer(raw, kind, rows * width).reshape(rows, width)
 
 
-def complete_lines(path: str) -> tuple[bytes, int, str]:
-    """A growing file up to its last line end: the bytes, how many were left out, and their SHA-256."""
-    data = Path(path).read_bytes()
-    end = data.rfind(b"\n") + 1
-    return data[:end], len(data) - end, hashlib.sha256(data[:end]).hexdigest()
+def complete_lines(path: str, target: str, piece: int = 1 << 20) -> tuple[int, int, str]:
+    """Copies a growing file up to its last line end, piece by piece: bytes copied, bytes left out, SHA-256 of the copy.
+
+    Only what was there at the start is read; the copy is whole or not there.
+    """
+    size = os.path.getsize(path)
+    end, at = 0, size
+    with open(path, "rb") as f:
+        while at and not end:  # the last line end, from the back
+            start = max(0, at - piece)
+            f.seek(start)
+            k = f.read(at - start).rfind(b"\n")
+            end, at = (start + k + 1 if k >= 0 else 0), start
+        digest, left = hashlib.sha256(), end
+        f.seek(0)
+        with tempfile.NamedTemporaryFile("wb", dir=os.path.dirname(os.path.abspath(target)), delete=False) as out:
+            while left:
+                block = f.read(min(piece, left))
+                digest.update(block)
+                out.write(block)
+                left -= len(block)
+    os.replace(out.name, target)
+    return end, size - end, digest.hexdigest()
+
+
+def strip_window(path: str, col: int, row: int, size: int, most_bytes: int = 1 << 27) -> np.ndarray:
+    """A square window of an uncompressed 16-bit grey TIFF: only its rows' bytes are read; beyond the image or the budget is an error."""
+    with open(path, "rb") as f:
+        head = f.read(8)
+        order = {b"II": "<", b"MM": ">"}[head[:2]]
+        magic, at = struct.unpack(order + "HI", head[2:8])
+        if magic != 42:
+            raise ValueError("not a baseline TIFF")
+        f.seek(at)
+        (n,) = struct.unpack(order + "H", f.read(2))
+        entries = [struct.unpack(order + "HHI4s", f.read(12)) for _ in range(n)]
+
+        def values(tag: int, default: tuple = ()) -> tuple:
+            for t, kind, count, raw in entries:
+                if t == tag:
+                    code = {3: "H", 4: "I"}[kind]
+                    if struct.calcsize(code) * count > 4:
+                        f.seek(struct.unpack(order + "I", raw)[0])
+                        raw = f.read(struct.calcsize(code) * count)
+                    return struct.unpack(order + code * count, raw[: struct.calcsize(code) * count])
+            return default
+
+        (width,), (height,) = values(256), values(257)
+        if values(258, (1,)) != (16,) or values(259, (1,)) != (1,) or values(277, (1,)) != (1,):
+            raise ValueError("not an uncompressed 16-bit grey image")
+        if col < 0 or row < 0 or col + size > width or row + size > height:
+            raise ValueError("the window leaves the image")
+        if 2 * size * size > most_bytes:
+            raise ValueError("the window is over the budget")
+        rows_a_strip, offsets = values(278, (height,))[0], values(273)
+        out = np.empty((size, size), np.uint16)
+        for k in range(size):
+            strip, inside = divmod(row + k, rows_a_strip)
+            f.seek(offsets[strip] + 2 * (inside * width + col))
+            out[k] = np.frombuffer(f.read(2 * size), np.dtype(order + "u2"))
+        return out
+
+
+def report_days(spark: SparkSession, path: str, first_day: str, last_day: str) -> DataFrame:
+    """Reports of write_days of a stretch of days: the folders of other days are not read."""
+    return spark.read.parquet(path).where(F.col("date").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of a SQLite file that all executors can read, in stretches of row ids."""
+    import sqlite3
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    if not all(n.isidentifier() for n in (table, *names)):
+        raise ValueError("names must be plain identifiers")
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        low, high = db.execute(f"select min(rowid), max(rowid) from {table}").fetchone()
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                for a, z in zip(b["a"], b["z"], strict=True):
+                    held = db.execute(f"select {', '.join(names)} from {table} where rowid >= ? and rowid < ?", (int(a), int(z)))
+                    while rows := held.fetchmany(20_000):
+                        yield pd.DataFrame(rows, columns=names)
+
+    if low is None:
+        return spark.createDataFrame([], schema)
+    step = (high - low) // parts + 1
+    cuts = [(low + k * step, low + (k + 1) * step) for k in range(parts)]
+    return spark.createDataFrame(cuts, "a bigint, z bigint").repartition(parts).mapInPandas(run, schema)
 
 
 # ---- sinks ----
@@ -202,6 +290,29 @@ def write_json(path: str, value) -> None:
     os.replace(f.name, path)
 
 
+def append_csv(path: str, header: list[str], rows: list[list]) -> str:
+    """Appends rows to a CSV file under its header; the file used.
+
+    A file with another header is left as it is and the rows go to its _v2; if that has another too, it is an error.
+    """
+    import csv
+
+    stem, dot, end = path.rpartition(".")
+    for name in (path, f"{stem}_v2{dot}{end}"):
+        there = os.path.exists(name) and os.path.getsize(name) > 0
+        if there:
+            with open(name, newline="", encoding="utf-8") as f:
+                if next(csv.reader(f), None) != header:
+                    continue
+        with open(name, "a", newline="", encoding="utf-8") as f:
+            out = csv.writer(f)
+            if not there:
+                out.writerow(header)
+            out.writerows(rows)
+        return name
+    raise ValueError(f"{path} and its _v2 have other headers")
+
+
 def write_days(reports: DataFrame, path: str, day_of: str = "time_utc") -> None:
     """Reports appended by UTC day of observation."""
     reports.withColumn("date", F.to_date(day_of)).write.mode("append").partitionBy("date").parquet(path)

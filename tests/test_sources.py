@@ -70,7 +70,12 @@ def test_strips_and_sinks(spark, tmp_path):
     rows = A.strip_rasters(spark, str(tmp_path / "a.tif")).collect()
     assert sorted((r.row, r.col, r.dn) for r in rows) == [(i // 4, i % 4, i) for i in range(12)]
     (tmp_path / "log").write_bytes(b"a\nb\nhalf")
-    assert A.complete_lines(str(tmp_path / "log"))[:2] == (b"a\nb\n", 4)
+    import hashlib
+
+    assert A.complete_lines(str(tmp_path / "log"), str(tmp_path / "copy"), 3) == (4, 4, hashlib.sha256(b"a\nb\n").hexdigest())
+    assert (tmp_path / "copy").read_bytes() == b"a\nb\n"
+    (tmp_path / "open").write_bytes(b"no end")
+    assert A.complete_lines(str(tmp_path / "open"), str(tmp_path / "copy"))[:2] == (0, 6) and (tmp_path / "copy").read_bytes() == b""
     A.write_json(str(tmp_path / "x.json"), {"a": 1})
     assert json.loads((tmp_path / "x.json").read_text()) == {"a": 1}
     with pytest.raises(ValueError):
@@ -103,3 +108,54 @@ def test_streamed_silences(spark, tmp_path):
     seen = []
     R.silences(stream, 600.0).writeStream.foreachBatch(lambda df, _: seen.extend(r.seconds / 60 for r in df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == [28.0, 169.0]
+
+
+def test_windows_of_strips_read_no_more_than_they_hold(tmp_path):
+    import struct
+
+    import numpy as np
+
+    pixels = np.arange(7 * 9, dtype="<u2").reshape(7, 9)
+    strips = [pixels[k : k + 2].tobytes() for k in range(0, 7, 2)]
+    at, offsets = 8, []
+    for x in strips:
+        offsets.append(at)
+        at += len(x)
+    lists = struct.pack("<4I", *offsets)
+    tags = [(256, 3, 1, 9), (257, 3, 1, 7), (258, 3, 1, 16), (259, 3, 1, 1), (273, 4, 4, at), (277, 3, 1, 1), (278, 3, 1, 2), (279, 4, 4, at)]
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    path = tmp_path / "w.tif"
+    path.write_bytes(struct.pack("<2sHI", b"II", 42, at + len(lists)) + b"".join(strips) + lists + ifd)
+    assert (A.strip_window(str(path), 3, 2, 4) == pixels[2:6, 3:7]).all()
+    for bad in ((6, 0, 4), (-1, 0, 2), (0, 5, 3)):
+        with pytest.raises(ValueError):
+            A.strip_window(str(path), *bad)
+    with pytest.raises(ValueError):
+        A.strip_window(str(path), 0, 0, 4, most_bytes=8)
+
+
+def test_appending_keeps_to_the_header_or_goes_to_a_second_file(tmp_path):
+    path = str(tmp_path / "d.csv")
+    assert A.append_csv(path, ["a", "b"], [[1, "x,y"]]) == path and A.append_csv(path, ["a", "b"], [[2, None]]) == path
+    assert A.append_csv(path, ["a", "b", "c"], [[3, 4, 5]]).endswith("d_v2.csv")
+    assert (tmp_path / "d.csv").read_text().splitlines() == ["a,b", '1,"x,y"', "2,"]
+    with pytest.raises(ValueError):
+        A.append_csv(path, ["z"], [[1]])
+
+
+def test_days_and_sqlite_tables(spark, tmp_path):
+    import datetime as dt
+    import sqlite3
+
+    rows = [(k, dt.datetime(2017, 1, 1 + k, 23, tzinfo=dt.UTC)) for k in range(5)]
+    A.write_days(spark.createDataFrame(rows, "report_id bigint, time_utc timestamp"), str(tmp_path / "days"))
+    held = A.report_days(spark, str(tmp_path / "days"), "2017-01-02", "2017-01-03")
+    assert sorted(r.report_id for r in held.collect()) == [1, 2] and "PartitionFilters: [isnotnull(date" in held._jdf.queryExecution().toString()
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        db.execute("create table t (id integer, name text)")
+        db.executemany("insert into t values (?, ?)", [(k, None if k % 7 == 0 else f"n{k}") for k in range(100)])
+        db.execute("create table e (id integer)")
+    db.close()
+    got = A.sqlite_table(spark, str(tmp_path / "x.db"), "t", "id bigint, name string", 3)
+    assert sorted((r.id, r.name) for r in got.collect()) == [(k, None if k % 7 == 0 else f"n{k}") for k in range(100)]
+    assert A.sqlite_table(spark, str(tmp_path / "x.db"), "e", "id bigint").count() == 0

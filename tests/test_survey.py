@@ -143,3 +143,24 @@ def test_scenes_in_every_spelling_of_an_instant(spark):
     m = spark.createDataFrame(rows, "area_id bigint, reference_midpoint_utc string")
     got = {r.scene_id: r.at_us for r in survey_queries.scenes(m).collect()}
     assert got == {0: 1483358400500000, 1: 1483358400500000, 2: 1483358400500000, 3: 1483358400500000, 4: 1483358400500000, 5: 1483358400000000}
+
+
+def test_lambert_there_and_back_and_envelopes():
+    rng = np.random.default_rng(3)
+    la, lo = rng.uniform(42, 70, 40), rng.uniform(-140, -45, 40)
+    back = geodesy.lambert_inverse(*geodesy.lambert(la, lo))
+    assert np.allclose(back[0], la, atol=1e-9) and np.allclose(back[1], lo, atol=1e-9)
+    ring = geodesy.envelope(47.5, -52.0, 2560.0)
+    assert ring[0] == ring[-1] and len(ring) == 5
+    x, y = geodesy.lambert([p[1] for p in ring], [p[0] for p in ring])
+    assert np.allclose([np.ptp(x), np.ptp(y)], 5120, atol=1e-3)
+
+
+def test_unknown_motion_may_go_anywhere_and_matchers_are_compared(spark):
+    df = spark.createDataFrame([(5.0, 90.0, 10.0), (5.0, None, 10.0), (None, 3.0, 10.0)], "v double, c double, age double")
+    a, b, c = [r.c for r in df.select(alignment.covariance(F.col("v"), F.col("c"), F.col("age")).alias("c")).collect()]
+    assert abs(a.ee - (7.5**2 + 1e4)) < 1e-6 and abs(b.ee - b.nn) < 1e-6 and b == c or abs(b.ee - c.ee) < 1e-6
+    assert abs(b.ee - ((60 * 1852 / 3600 * 10) ** 2 + 1e4)) < 1e-6 and abs(b.en) < 1e-6
+    rows = lambda *x: spark.createDataFrame(x, "scene_id int, target_id int, user_id int, selected boolean")
+    out = alignment.compared_choices(rows((1, 1, 7, True), (1, 2, 8, True), (1, 3, 9, True), (1, 4, 5, False)), rows((1, 1, 7, True), (1, 2, 9, True), (1, 5, 6, True)))
+    assert {r.target_id: r.state for r in out.collect()} == {1: "same", 2: "different", 3: "first_only", 5: "second_only"}
