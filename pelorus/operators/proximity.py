@@ -151,3 +151,10 @@ def inside_boxes(located: DataFrame, regions: DataFrame, total: int | None = Non
         .where((north <= F.col("r_half_m")) & (east <= F.col("r_half_m")))
         .select("l_id", "r_id")
     )
+
+
+def nearest_site(places: DataFrame, sites: DataFrame, radius_m: float) -> DataFrame:
+    """l_id, r_id, distance_m: the nearest site within radius_m of each place, of equally near ones the first by id."""
+    near = within_distance(places, sites, radius_m)
+    best = near.groupBy("l_id").agg(F.min(F.struct("distance_m", "r_id")).alias("b"))
+    return best.select("l_id", F.col("b.r_id").alias("r_id"), F.col("b.distance_m").alias("distance_m"))

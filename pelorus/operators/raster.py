@@ -91,6 +91,13 @@ def bright(images: DataFrame, bands: list[str], thresholds: list[float], outer:
     return _over_images(images, bands, "image_id bigint, row int, col int, pixels int, margin_db double", work)
 
 
+def valid_points(points: DataFrame, px: DataFrame, zero_is_data: bool) -> DataFrame:
+    """points (image_id, row, col, …) with `valid`: they lie on a pixel that holds a finite number, and not zero unless that is data."""
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")) & (F.lit(zero_is_data) | (F.col("value") != 0))
+    met = points.join(px.select("image_id", "row", "col", ok.alias("_ok")), ["image_id", "row", "col"], "left")
+    return met.withColumn("valid", F.coalesce("_ok", F.lit(False))).drop("_ok")
+
+
 # ---- noise and calibration ----
 
 

@@ -224,3 +224,35 @@ def bracketing_beats(e):
     rows = e.select("user_id", "event_type", (F.col("value") > 50).alias("connected"), (F.unix_micros("ts") / 1e6).alias("t"))
     out = overlap.bracketing_beats(rows.where("event_type in ('view', 'click')"), rows.where("event_type = 'error'"), "user_id", "t", 1705190400.0, 864_000.0)
     return out.select("user_id", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+
+
+@query(
+    f"""with a as (select annotation_id as id, coordinates[2] as lat, coordinates[1] as lon from annotations where len(coordinates) >= 2 and abs(coordinates[2]) <= 90),
+    b as (select roi_key as id, roi_id, center[1] as lon, center[2] as lat from selection_rois where len(center) >= 2 and regime = 'harbour'),
+    d as (select a.id as x, b.id as y, b.roi_id, {_HAV} as m from a join b on abs(a.lat - b.lat) < 0.05), n as (select x, arg_min(roi_id, (m, y)) as site, min(m) as m from d where m <= 4000 group by 1)
+    select site, count(*) as objects, round(min(m), 3) as nearest_m from n group by 1""",
+    "annotations", "selection_rois",
+)
+def near_sites(a, s):
+    """Fixed sites, here the harbour regions, with the objects they are the nearest of within 4 km."""
+    harbours = s.where("regime = 'harbour'")
+    left = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
+    right = proximity.points(harbours, F.col("roi_key"), F.get("center", F.lit(1)), F.get("center", F.lit(0)), "r")
+    named = proximity.nearest_site(left, right, 4000.0).join(harbours.select(F.col("roi_key").alias("r_id"), F.col("roi_id").alias("site")), "r_id")
+    return named.groupBy("site").agg(F.count("*").alias("objects"), F.round(F.min("distance_m"), 3).alias("nearest_m"))
+
+
+@query(
+    f"""with n as materialized ({_NEAREST}), a as (select annotation_id as id, coordinates[2] as lat, coordinates[1] as lon from annotations where len(coordinates) >= 2 and abs(coordinates[2]) <= 90),
+    d as (select b.scene_id, a.id, {_HAV} as m, 500 + 100 + 2 * abs(b.dt) as gate from a join n b on abs(a.lat - b.lat) < 0.02)
+    select scene_id, count(distinct id) filter (m <= 100) as at_100_m, count(distinct id) as in_gate from d where m <= gate group by 1""",
+    "manifest", "selection_rois", "position_reports", "annotations",
+)
+def gate_support(m, s, r, a):
+    """By scene how many objects have a vessel within 100 m, and within the gate that widens with the report's age."""
+    near = _nearest_in_swath(m, s, r).withColumn("gate", F.lit(600.0) + 2 * F.abs("dt"))
+    left = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
+    right = proximity.points(near, F.struct("scene_id", "user_id", "gate"), F.col("lat"), F.col("lon"), "r")
+    met = proximity.within_distance(left, right, 1200.0).where(F.col("distance_m") <= F.col("r_id.gate"))
+    at = F.countDistinct(F.when(F.col("distance_m") <= 100, F.col("l_id")))
+    return met.groupBy(F.col("r_id.scene_id").alias("scene_id")).agg(at.alias("at_100_m"), F.countDistinct("l_id").alias("in_gate"))

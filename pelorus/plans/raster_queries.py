@@ -147,3 +147,15 @@ def alike_images(e):
     turned = a.where("image_id % 5 = 0").select((F.col("image_id") + 1_000_000).alias("image_id"), "height", "width", rows.alias("band"))
     noisy = a.where("image_id % 7 = 0").select((F.col("image_id") + 2_000_000).alias("image_id"), "height", "width", F.transform("band", lambda v, k: v + F.sin(k.cast("double")) * 0.001).alias("band"))
     return raster.alike_groups(a.unionByName(turned).unionByName(noisy), "band", 0.995, 0.01)
+
+
+@query(
+    f"""with p as (select image_id, row, col, case when row = 0 then 0.0 when col = 7 then null else value end as v from ({_PX})), q as (select vec_id as image_id, cast(vec_id % 9 as int) as row, cast(vec_id * 5 % 9 as int) as col from embeddings)
+    select q.image_id, q.row, q.col, coalesce(p.v <> 0, false) as valid from q left join p using (image_id, row, col)""",
+    "embeddings",
+)
+def valid_points(e):
+    """A place a image, some of them beyond it, on zeros or without data."""
+    px = raster.pixels(_images(e), "band").withColumn("value", F.when(F.col("row") == 0, 0.0).when(F.col("col") != 7, F.col("value")))
+    points = e.select(F.col("vec_id").alias("image_id"), (F.col("vec_id") % 9).cast("int").alias("row"), (F.col("vec_id") * 5 % 9).cast("int").alias("col"))
+    return raster.valid_points(points, px, False)
