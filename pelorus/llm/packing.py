@@ -226,10 +226,16 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if 0 in histogram:
         rows.append((0, 0, histogram[0], 0, histogram[0]))
     spark = items.sparkSession
-    schema = "size int, lo bigint, hi bigint, base bigint, times bigint"
-    # as many rows as the plan has pairs of pattern and size, which capacity and PATTERNS bound
-    where = F.broadcast(spark.createDataFrame(rows, schema))
-    ranked = _ranked(items, sum(histogram.values()))
-    placed = ranked.join(where, "size").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    # a size's ranks in as many stretches as the plan has rows of it, so that an item meets about two of them
+    times: dict[int, int] = defaultdict(int)
+    for r in rows:
+        times[r[0]] += 1
+    width = {s: max(1, -(-histogram[s] // times[s])) for s in times}
+    cut = [(s, k, lo, hi, base, m) for s, lo, hi, base, m in rows for k in range(lo // width[s], (hi - 1) // width[s] + 1)]
+    # as many rows as the plan has pairs of pattern and size, twice at most, which capacity and PATTERNS bound
+    where = F.broadcast(spark.createDataFrame(cut, "size int, stretch bigint, lo bigint, hi bigint, base bigint, times bigint"))
+    wide = F.broadcast(spark.createDataFrame(sorted(width.items()), "size int, width bigint"))  # a row a size
+    ranked = _ranked(items, sum(histogram.values())).join(wide, "size").withColumn("stretch", F.floor(F.col("rank") / F.col("width")))
+    placed = ranked.join(where, ["size", "stretch"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     container = F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.greatest(F.col("times"), F.lit(1)))
     return placed.select("id", "piece_no", "first_token", "size", container.cast("bigint").alias("container_id"))
