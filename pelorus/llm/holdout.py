@@ -58,3 +58,15 @@ def checked_texts() -> list[tuple[str, int]]:
             much += "\n" + odd
         out += [(f"{some}\n\n{odd}", 0), (f"{prose}\n\n{much}", 1)]
     return out
+
+
+#: Documents of the test tables of scale 0.1, drawn at random (24), and among the short, the broken into lines and those in capitals (40),
+#: and read one by one: more than half a list, a table or junk, or prose. Only their numbers; the texts are in the tables.
+DRAWN_JUNK = (
+    3897, 8203, 40, 8146, 2830, 5268, 6234, 1423, 1353, 6581, 1137, 3893, 8851, 5023,
+)
+DRAWN_PROSE = (
+    4141, 5340, 3233, 3941, 3165, 1886, 4790, 7803, 9141, 2384, 9108, 4587, 465, 3134, 8312, 6367, 2997, 5432, 2266, 1653,
+    9788, 4907, 9514, 8647, 3665, 4107, 2739, 1041, 1163, 2854, 9852, 7946, 8419, 9945, 7642, 1096, 9997, 3037, 4692, 1258,
+    8161, 7632, 1537, 6333, 7825, 1751, 7819, 775, 5674, 8798,
+)

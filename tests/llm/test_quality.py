@@ -1,8 +1,10 @@
+import os
+
 import pytest
 
 pytest.importorskip("pelorus.llm")
 from pelorus.llm import quality as Q  # noqa: E402
-from pelorus.llm.holdout import _ODD, _PROSE, checked_texts  # noqa: E402
+from pelorus.llm.holdout import _ODD, _PROSE, DRAWN_JUNK, DRAWN_PROSE, checked_texts  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, words string"
 
@@ -77,3 +79,10 @@ def test_one_kind_only_nulls_and_empty_tables(spark):
 def test_a_very_long_text(spark):
     r = stats(spark, ["We met the board. " * 20_000, "x" * 200_000])
     assert r[0].words == 80_000 and r[1].longest_word == 200_000
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the test tables")
+def test_documents_drawn_and_read_by_hand(spark):
+    got = {r.doc_id: r.junk for r in Q.judged(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).select("doc_id", "junk").collect()}
+    wrong = [i for i in DRAWN_JUNK if not got[i]] + [i for i in DRAWN_PROSE if got[i]]
+    assert len(wrong) <= 1, wrong
