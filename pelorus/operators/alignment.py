@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from pelorus.functions.geodesy import destination, geodesic
-from pelorus.operators.grouped import over_groups
+from pelorus.operators.grouped import in_time_buckets, over_groups
 
 AGE_S, PROPAGATE_S, STILL_S = 300.0, 120.0, 60.0
 PLAUSIBLE_KNOTS = 60.0
@@ -34,6 +34,52 @@ def near_scenes(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: i
     return placed.join(visits, ["_slice", "_salt"]).where(F.abs(F.col("t_us") - F.col("at_us")) <= half).drop("_slice", "_salt")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df with its columns worked out once: a generator of one row, into which nothing above is written.
+
+    Else every use of a column repeats the whole expression behind it, and the generated code outgrows the compiler.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+def presence(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600) -> DataFrame:
+    """(scene_id, at_us, user_id) of the vessels that may have a report within half_s: heard in a slice of time that it touches.
+
+    Reports are first reduced to one row for each vessel and slice; those of a slice are spread over keys as in near_scenes.
+    """
+    half, slice_us, spread = int(half_s * 1e6), slice_s * 1_000_000, 16
+    heard = reports.select("user_id", F.floor(F.unix_micros("time_utc") / slice_us).alias("_slice")).distinct().withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(spread)).cast("int"))
+    low, high = F.floor((F.col("at_us") - half) / slice_us), F.floor((F.col("at_us") + half) / slice_us)
+    visits = scenes.select("scene_id", "at_us", F.explode(F.sequence(low, high)).alias("_slice")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return heard.join(visits, ["_slice", "_salt"]).select("scene_id", "at_us", "user_id").distinct()
+
+
+def asof(wanted: DataFrame, reports: DataFrame, half_s: float, reach_s: float | None = None, bucket_s: float = 86_400.0) -> DataFrame:
+    """wanted (scene_id, at_us, user_id) with the vessel's last report not after and first one after the instant (left, right).
+
+    Also whether any instant within half_s holds several places (torn), and the instants with reports within half_s (reports). Rows
+    with none of it within reach_s (half_s if not given) are left out. Both sides are put in order of time once, by vessel and
+    day; a report close to a day's edge is in both. No pair of a report and a scene is made.
+    """
+    half, reach = int(half_s * 1e6), int((reach_s or half_s) * 1e6)
+    row = F.struct("report_id", "lat", "lon", "speed_knots", "course_deg", F.unix_micros("time_utc").alias("t_us"))
+    told = reports.select("user_id", F.unix_micros("time_utc").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("scene_id"), row.alias("r")).withColumn("_s", F.col("t") / 1e6)
+    told = in_time_buckets(told, "_s", bucket_s, reach / 1e6).drop("_s", "core")
+    asked = wanted.select("user_id", F.col("at_us").alias("t"), F.lit(1).alias("kind"), "scene_id", F.lit(None).cast(told.schema["r"].dataType).alias("r"), F.floor(F.col("at_us") / 1e6 / bucket_s).alias("bucket"))
+    key = ["user_id", "bucket"]
+    by_time = Window.partitionBy(*key).orderBy("t")
+    peers, around = by_time.rangeBetween(0, 0), by_time.rangeBetween(-half, half)
+    rows = told.unionByName(asked).withColumn("_torn", (F.min("r.lat").over(peers) < F.max("r.lat").over(peers)) | (F.min("r.lon").over(peers) < F.max("r.lon").over(peers)))
+    rows = rows.withColumn("r", F.when(F.col("r.report_id") == F.min("r.report_id").over(peers), F.col("r")))  # the first of each instant
+    rows = rows.withColumn("torn", F.max("_torn").over(around)).withColumn("reports", F.count("r").over(around))
+    rows = rows.withColumn("left", F.last("r", ignorenulls=True).over(Window.partitionBy(*key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("right", F.last("r", ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)))
+    out = rows.where("kind = 1").withColumnRenamed("t", "at_us")
+    close = lambda c, most: F.when(F.abs(F.col(f"{c}.t_us") - F.col("at_us")) <= most, F.col(c))
+    out = out.withColumn("left", close("left", reach)).withColumn("right", close("right", reach)).where("left is not null or right is not null")
+    return out.select("scene_id", "at_us", "user_id", "left", "right", F.coalesce("torn", F.lit(False)).alias("torn"), "reports")
+
+
 def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     """At most one position of each vessel at each scene's instant.
 
@@ -42,22 +88,16 @@ def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     geodesic if no more than PLAUSIBLE_KNOTS were needed, else carried on from one side for at most
     PROPAGATE_S with its motion, or unmoved for STILL_S.
     """
-    return aligned_pairs(near_scenes(scenes, reports, AGE_S))
-
-
-def aligned_pairs(pairs: DataFrame) -> DataFrame:
-    """aligned() of pairs of a scene (scene_id, at_us) and a report (with t_us) within AGE_S."""
-    pairs = pairs.withColumn("dt", (F.col("t_us") - F.col("at_us")) / 1e6)
-    row = F.struct("lat", "lon", "speed_knots", "course_deg", "dt", "t_us", "report_id")
-    # the first report of each instant, and whether the instant has several places
-    stamps = pairs.groupBy("scene_id", "user_id", "t_us").agg(
-        F.min_by(row, "report_id").alias("r"), ((F.min("lat") < F.max("lat")) | (F.min("lon") < F.max("lon"))).alias("torn")
-    )
-    dt = F.col("r.dt")
-    tracks = stamps.groupBy("scene_id", "user_id").agg(
-        F.max_by("r", F.when(dt <= 0, F.col("t_us"))).alias("left"), F.min_by("r", F.when(dt >= 0, F.col("t_us"))).alias("right"),
-        F.min_by("r", F.struct(F.abs(dt), F.col("t_us"))).alias("near"), F.max("torn").alias("torn"), F.count("*").alias("reports"),
-    ).where(~F.col("torn"))
+    return placed(asof(presence(scenes, reports, AGE_S), reports, AGE_S))
+
+
+def placed(found: DataFrame, *carried: str) -> DataFrame:
+    """The positions at the instants of asof(), with columns carried along."""
+    late = lambda c: (F.col(f"{c}.t_us") - F.col("at_us")) / 1e6
+    near = lambda c: F.when(F.abs(late(c)) <= AGE_S, F.struct(*[F.col(f"{c}.{k}").alias(k) for k in ("lat", "lon", "speed_knots", "course_deg", "t_us")], late(c).alias("dt")))
+    tracks = found.where(~F.col("torn")).withColumn("left", near("left")).withColumn("right", near("right")).where("left is not null or right is not null")
+    first = F.col("right").isNull() | (F.abs("left.dt") <= F.abs("right.dt"))
+    tracks = _settled(_settled(tracks).withColumn("near", F.when(F.col("left").isNotNull() & first, F.col("left")).otherwise(F.col("right"))))
     exact = F.col("near.dt") == 0
     both = F.col("left").isNotNull() & F.col("right").isNotNull() & ~exact
     g = geodesic(F.col("left.lat"), F.col("left.lon"), F.col("right.lat"), F.col("right.lon"))
@@ -86,7 +126,7 @@ def aligned_pairs(pairs: DataFrame) -> DataFrame:
         F.when(still, F.col("near.lat")).otherwise(F.col("_to.lat")).alias("lat"), F.when(still, F.col("near.lon")).otherwise(F.col("_to.lon")).alias("lon"),
         F.col("age").alias("report_age_s"), (F.lit(BASE_M) + DRIFT_M_S * F.col("age")).alias("uncertainty_m"),
         F.when(inter, F.col("chord")).when(F.col("known"), F.col("near.speed_knots") * KNOT).alias("speed_m_s"),
-        F.when(inter, F.col("_g.azimuth_deg")).when(F.col("known"), F.col("near.course_deg")).alias("course_deg"),
+        F.when(inter, F.col("_g.azimuth_deg")).when(F.col("known"), F.col("near.course_deg")).alias("course_deg"), *carried,
     )
 
 

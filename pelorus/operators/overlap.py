@@ -100,15 +100,13 @@ def supports(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     reports: cleaned ones with t_us. A vessel comes into question if a report of it lies near the footprint; then all
     its reports around the instant count, wherever they are, as one elsewhere may speak against the track.
     """
-    near = in_box_and_time(boxed(scenes, MARGIN_M), reports, alignment.AGE_S).select("scene_id", "user_id").distinct()
-    visits = _slices(scenes.join(near, "scene_id").select("scene_id", "at_us", "user_id"), HISTORY_S)
-    around_ = _placed(reports).join(visits, ["user_id", "_slice"]).where(F.abs(F.col("t_us") - F.col("at_us")) <= int(HISTORY_S * 1e6))
-    around_ = around_.drop("_slice", "_x", "_y")
-    dt = (F.col("t_us") - F.col("at_us")) / 1e6
-    history = around_.groupBy("scene_id", "user_id").agg(F.min(F.abs(dt)).alias("nearest_s"), F.max(F.when(dt <= 0, dt)).alias("a"), F.min(F.when(dt >= 0, dt)).alias("b"))
-    pairs = around_.where(F.abs(dt) <= alignment.AGE_S)
-    inside = alignment.aligned_pairs(pairs).join(scenes.select("scene_id", "ring"), "scene_id").where(covers(F.col("ring"), F.col("lon"), F.col("lat")))
-    return inside.select("scene_id", "user_id", "lat", "lon", "method").join(history.select("scene_id", "user_id", "nearest_s", (F.col("b") - F.col("a")).alias("bracket_s")), ["scene_id", "user_id"])
+    near = in_box_and_time(boxed(scenes, MARGIN_M), reports, alignment.AGE_S).select("scene_id", "at_us", "user_id").distinct()
+    found = alignment.asof(near, reports, alignment.AGE_S, HISTORY_S)
+    before, after = (F.col("at_us") - F.col("left.t_us")) / 1e6, (F.col("right.t_us") - F.col("at_us")) / 1e6
+    bracket = F.when(before == 0, F.lit(0.0)).otherwise(before + after)
+    history = found.select("scene_id", "user_id", "at_us", "left", "right", "torn", "reports", F.least(before, after).alias("nearest_s"), bracket.alias("bracket_s"))
+    inside = alignment.placed(history, "nearest_s", "bracket_s").join(scenes.select("scene_id", "ring"), "scene_id").where(covers(F.col("ring"), F.col("lon"), F.col("lat")))
+    return inside.select("scene_id", "user_id", "lat", "lon", "method", "nearest_s", "bracket_s")
 
 
 def audit(scenes: DataFrame, reports: DataFrame, barred: Column) -> DataFrame:

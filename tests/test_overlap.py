@@ -51,3 +51,40 @@ def test_reasons_are_counted_each(spark):
     df = O.reasons_of(spark.createDataFrame([(1.0,), (5.0,), (None,)], "v double"), {"low": F.col("v") < 3, "odd": F.col("v") % 2 == 1})
     assert [r.reasons for r in df.collect()] == [["low", "odd"], ["odd"], []]
     assert {r.reason: r.n for r in O.counted_reasons(df).collect()} == {"low": 1, "odd": 2, "passed": 1}
+
+
+def test_an_as_of_pass_equals_brute_force_over_days_ties_and_torn_instants(spark):
+    import datetime as dt
+
+    from pelorus.operators import alignment
+
+    r = random.Random(9)
+    t0 = dt.datetime(2017, 1, 2, tzinfo=dt.UTC)
+    rows = []
+    for i in range(600):
+        s = r.choice([r.randrange(0, 200_000), 86_400 + r.randrange(-400, 400)])
+        rows.append((i, r.randrange(1, 4), 47 + r.choice([0.0, 0.0, 0.001]), -52.0, 5.0, 10.0, t0 + dt.timedelta(seconds=s)))
+    rows += [(1000 + k, *row[1:]) for k, row in enumerate(rows[:40])]
+    reports = spark.createDataFrame(rows, "report_id bigint, user_id bigint, lat double, lon double, speed_knots double, course_deg double, time_utc timestamp")
+    us = lambda t: int(t.timestamp() * 1e6)
+    instants = [(k, us(t0) + s * 1_000_000) for k, s in enumerate([86_400, 86_399, 86_300, 86_500, *(r.randrange(0, 200_000) for _ in range(60))])]
+    wanted = spark.createDataFrame([(k, at, u) for k, at in instants for u in (1, 2, 3, 4)], "scene_id bigint, at_us bigint, user_id bigint")
+    got = {(x.scene_id, x.user_id): x for x in alignment.asof(wanted, reports, 300.0, 1800.0).collect()}
+    for k, at in instants:
+        for u in (1, 2, 3, 4):
+            own = [(us(x[6]), x[0], x[2], x[3]) for x in rows if x[1] == u and abs(us(x[6]) - at) <= 1_800_000_000]
+            before, after = [x for x in own if x[0] <= at], [x for x in own if x[0] >= at]
+            if not own:
+                assert (k, u) not in got
+                continue
+            x, close = got[k, u], [o for o in own if abs(o[0] - at) <= 300_000_000]
+            if before:
+                assert (x.left.t_us, x.left.report_id) == max((o[0], -o[1]) for o in before)[:1] + (min(o[1] for o in before if o[0] == max(b[0] for b in before)),)
+            else:
+                assert x.left is None
+            if after and not (before and max(b[0] for b in before) == at):
+                assert (x.right.t_us, x.right.report_id) == min((o[0], o[1]) for o in after)
+            places = {}
+            for o in close:
+                places.setdefault(o[0], set()).add(o[2:])
+            assert x.torn == any(len(p) > 1 for p in places.values()) and x.reports == len(places)
