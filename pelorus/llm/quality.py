@@ -26,7 +26,7 @@ from pelorus.llm.holdout import checked_texts, taught_texts
 from pelorus.session import stored
 
 #: Weakly labelled rows that the trees are fitted on, about at most; all rows are scored.
-LABELLED = 10_000
+LABELLED = 20_000
 #: A word is common if it is in this share of the documents of a language, one with so many documents and such a share of all.
 COMMON_SHARE, LANGUAGE_DOCUMENTS, LANGUAGE_SHARE = 0.4, 50, 0.005
 
@@ -126,8 +126,8 @@ def statistics(documents: DataFrame, common: list[str], text: str = "text") -> D
         "digit_ratio": _ratio(F.length("_a") - F.length("_b"), n_chars),
         "upper_ratio": _ratio(n_chars - F.length(F.regexp_replace("_t", r"\p{Lu}+", "")), n_chars),
         "blank_ratio": _ratio(F.length("_b") - F.length("_c"), n_chars),
-        "unique_word_ratio": _ratio(F.size(F.array_distinct("_w")), n_words),
-        "longest_word": F.coalesce(F.array_max(F.transform("_w", F.length)), F.lit(0)).cast("double"),
+        "unique_word_ratio": _ratio(total("different"), n_words),
+        "longest_word": F.coalesce(F.array_max(F.transform("_s", lambda s: s["longest"])), F.lit(0)).cast("double"),
         "words_a_line": _ratio(n_words, n_lines),
         "repeated_line_share": F.when(n_lines > 0, 1 - _ratio(F.size(F.array_distinct(lines)), n_lines)).otherwise(0.0),
         "in_ended": share(lambda s: s["ended"]),
@@ -245,9 +245,10 @@ def fit(documents: DataFrame, common: list[str], labelled: int = LABELLED) -> GB
     """Trees fitted on weakly labelled rows, those whose text's hash lies below the share that makes `labelled`."""
     spark = documents.sparkSession
     share = min(1.0, labelled / max(1, documents.count()))
-    drawn = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # a bounded number of rows, spread over the cores whatever files they come from
+    drawn = documents.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).repartition(32, F.xxhash64("text"))
     # stored before any condition on the label: pushed down, that would have every rule worked out once more
-    weak = stored(weak_label(drawn, common).select("text", "label"), "weak").where("label is not null").coalesce(4)
+    weak = stored(weak_label(drawn, common).select("text", "label"), "weak").where("label is not null")
     # a third of the prose in short lines: how it is broken into lines must not decide
     broken = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("text", F.lit("lines")), F.lit(3)) == 0), F.regexp_replace("text", r"(\S.{40,60}?) ", "$1\n"))
     weak = weak.withColumn("text", F.coalesce(broken, "text"))
