@@ -84,19 +84,18 @@ def file_order(rows: DataFrame) -> DataFrame:
 def file_fields(values: DataFrame) -> DataFrame:
     """file_id, field, kind: the fields of each file and their type there."""
     counted = values.groupBy("file_id", "field", "kind").agg(F.count("*").alias("n"))
-    rank = F.struct(F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(-1).alias("n"), F.col("kind").isNotNull().alias("known"))
-    best = Window.partitionBy("file_id", "field").orderBy(rank.desc(), F.col("kind"))
-    return counted.withColumn("r", F.row_number().over(best)).where("r = 1").select("file_id", "field", "kind")
+    best = F.min_by("kind", F.struct(F.col("kind").isNull().alias("unknown"), (-F.col("n")).alias("n"), "kind"))
+    return counted.groupBy("file_id", "field").agg(best.alias("kind"))
 
 
-def field_changes(rows: DataFrame) -> DataFrame:
+def field_changes(rows: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """file_id, change, old_field, new_field: added, removed, renamed and retyped fields.
 
     A field that goes and one that comes are one renamed field if, over the areas that both files hold,
     each value of either equals the other's, and at least one does. Of several such partners the one with
-    the likest name counts, if the choice is mutual.
+    the likest name counts, if the choice is mutual. values: those of the rows, if they are stored already.
     """
-    values = stored(field_values(rows), "field-values")
+    values = stored(field_values(rows), "field-values") if values is None else values
     order = file_order(rows).where(F.col("prev_id").isNotNull())
     fields = file_fields(values)
     now = fields.join(order.select("file_id"), "file_id").select("file_id", "field", F.col("kind").alias("new_kind"), F.lit(1).alias("in_new"))

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pelorus.operators.alignment import one_to_one
 from pelorus.operators.statistics import share_interval
 
+#: Places of reported vessels (fixed values of the report).
+PLACES = ("land_or_shoreline_mismatch", "harbour_coastal", "open_water")
+#: Bands of length in metres.
 BANDS = ((0, 20), (20, 50), (50, 100), (100, 100_000))
 
 
@@ -138,7 +141,7 @@ def subset_recall(truths: DataFrame, by: list[str]) -> DataFrame:
     Places are those of the reports: land or an unknown surface is a mismatch, within 300 m of a shore is coastal; the denominator
     is every vessel of a stratum. Vessels of 50 m and more count as resolvable.
     """
-    place = F.when(F.coalesce(F.col("surface") != "water", F.lit(True)), "land_or_shoreline_mismatch").when(F.col("shore_m") <= 300, "harbour_coastal").otherwise("open_water")
+    place = F.when(F.coalesce(F.col("surface") != "water", F.lit(True)), PLACES[0]).when(F.col("shore_m") <= 300, PLACES[1]).otherwise(PLACES[2])
     band = reduce(lambda c, b: c.when((F.col("length_m") >= b[0]) & (F.col("length_m") < b[1]), f"{b[0]}-{b[1]}"), BANDS, F.when(F.lit(False), "")).otherwise("unknown")
     out = truths.withColumn("place", place).withColumn("band", band).groupBy(*by, "place", "band").agg(
         F.count("*").alias("vessels"), F.count_if("matched").alias("found"), F.count_if("eligible_match").alias("found_eligible"), F.count_if(F.col("length_m") >= 50).alias("resolvable")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pelorus.functions.geo import EARTH_RADIUS_M, haversine_m
 from pelorus.operators import alignment
 
+#: Names of what became of a scene (fixed values of the report).
+STATES = ("invalid_identity_or_time", "missing_or_invalid_footprint", "barred_group", "temporal_candidate", "sparse_support_only", "no_observed_overlap")
 CELL_DEG = 0.25
 CLOSE_S, BRACKET_S, HISTORY_S = 120.0, 240.0, 1800.0
 #: Farther than a ship sails within the age of an aligned report.
@@ -120,8 +122,8 @@ def audit(scenes: DataFrame, reports: DataFrame, barred: Column) -> DataFrame:
     )
     raw = in_swath(usable, reports, HISTORY_S).groupBy("scene_id").agg(F.count("*").alias("rows"))
     status = (
-        F.when(F.col("at_us").isNull() | F.col("scene_id").isNull(), "invalid_identity_or_time").when(~complete(F.col("ring")), "missing_or_invalid_footprint")
-        .when(F.coalesce(barred, F.lit(False)), "barred_group").when(F.col("close") > 0, "temporal_candidate").when(F.col("rows") > 0, "sparse_support_only").otherwise("no_observed_overlap")
+        F.when(F.col("at_us").isNull() | F.col("scene_id").isNull(), STATES[0]).when(~complete(F.col("ring")), STATES[1])
+        .when(F.coalesce(barred, F.lit(False)), STATES[2]).when(F.col("close") > 0, STATES[3]).when(F.col("rows") > 0, STATES[4]).otherwise(STATES[5])
     )
     joined = scenes.join(held, "scene_id", "left").join(raw, "scene_id", "left")
     count = lambda c: F.coalesce(c, F.lit(0)).alias(c)

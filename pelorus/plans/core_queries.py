@@ -52,7 +52,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent table of all release rows."""
     rows = read(spark, sf_dir, "release_rows")
-    columns, typed = drift.column_names(drift.field_changes(rows), drift.field_values(rows))
+    values = stored(drift.field_values(rows), "field-values")
+    columns, typed = drift.column_names(drift.field_changes(rows, values), values)
     return drift.consistent_table(rows, columns, typed)
 
 
