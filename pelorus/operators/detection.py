@@ -110,7 +110,7 @@ def local_contrast(db: np.ndarray, outer: int = 30, inner: int = 5) -> np.ndarra
 def bright_regions(contrasts: list[np.ndarray], thresholds: list[float]) -> list[dict]:
     """Regions of pixels (8-connected) above either band's threshold: size, peak place and contrast."""
     margin = np.max([np.nan_to_num(c, nan=-np.inf) - t for c, t in zip(contrasts, thresholds, strict=True)], axis=0)
-    hot = np.argwhere(margin > 0)
+    hot = np.argwhere(margin >= 0)
     place = {(int(r), int(c)): k for k, (r, c) in enumerate(hot)}
     up = list(range(len(hot)))
 

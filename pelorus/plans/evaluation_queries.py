@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pelorus.operators import evaluation, proximity
-from pelorus.plans.survey_queries import _HAV, query
+from pelorus.plans.survey_queries import _BINOMIAL, _HAV, query
 
 _FEATURES = """
     select l_suppkey % 40 as case_id, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber as feature_id, l_orderkey as order_id, 0.01 + l_discount * 9 as score, l_linestatus = 'F' as on_water,
@@ -34,15 +34,15 @@ def _parts(l: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: E74
     return f, f.where("order_id % 3 = 0").select("case_id", F.col("order_id").alias("truth_id")).distinct(), f.where("order_id % 3 = 0").select("case_id", "feature_id", F.col("order_id").alias("truth_id"), "distance_m")
 
 
-@query(
-    f"""with f as materialized ({_FEATURES}), t as ({_TRUTHS}), th as (select unnest([0.15, 0.35, 0.55]) as threshold), c as (select s_suppkey as case_id, case when s_acctbal > 0 then s_acctbal / 100 end as km2 from supplier where s_suppkey < 40),
+_SCORES = f"""with f as materialized ({_FEATURES}), t as ({_TRUTHS}), th as (select unnest([0.15, 0.35, 0.55]) as threshold), c as (select s_suppkey as case_id, case when s_acctbal > 0 then s_acctbal / 100 end as km2 from supplier where s_suppkey < 40),
     kept as (select * from f, th where score > threshold), n as (select case_id, threshold, count(*) as kept, count(*) filter (on_water) as wet from kept group by 1, 2),
     m as (select case_id, threshold, order_id, arg_min(on_water, distance_m) as on_water from kept where order_id % 3 = 0 group by 1, 2, 3), h as (select case_id, threshold, count(*) as tp, count(*) filter (on_water) as wet_hits from m group by 1, 2),
     v as (select case_id, count(*) as vessels from t group by 1),
     o as (select c.case_id, threshold, km2, coalesce(tp, 0) as tp, coalesce(wet_hits, 0) as wet_hits, coalesce(kept, 0) as kept, coalesce(wet, 0) as wet, coalesce(vessels, 0) as vessels from c cross join th left join n using (case_id, threshold) left join h using (case_id, threshold) left join v using (case_id))
-    select case_id, threshold, tp, kept - tp as fp, vessels - tp as fn, wet - wet_hits as wet_alarms, round(tp / nullif(kept, 0), 6) as precision, round(tp / nullif(vessels, 0), 6) as recall, round((wet - wet_hits) / km2, 6) as alarms_km2 from o""",
-    "lineitem", "supplier",
-)
+    select case_id, threshold, tp, kept - tp as fp, vessels - tp as fn, wet - wet_hits as wet_alarms, round(tp / nullif(kept, 0), 6) as precision, round(tp / nullif(vessels, 0), 6) as recall, round((wet - wet_hits) / km2, 6) as alarms_km2 from o"""
+
+
+@query(_SCORES, "lineitem", "supplier")
 def case_scores(l, s):  # noqa: E741
     out = _case_scores(l, s)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "alarms_km2")})
@@ -54,9 +54,17 @@ def _case_scores(l: DataFrame, s: DataFrame) -> DataFrame:  # noqa: E741
     return evaluation.score_cases(f, t, p, cases, _THRESHOLDS, 0.01)
 
 
-@query(None, "lineitem", "supplier")
+@query(
+    f"""with recursive m as materialized (select case_id, threshold, tp as k, tp + fn as n from ({_SCORES})),
+    s as (select *, 0 as step, 1e-12 as la, 1 - 1e-12 as lb, 1e-12 as ha, 1 - 1e-12 as hb from m where n > 0
+        union all select case_id, threshold, k, n, step + 1, case when k > 0 and {_BINOMIAL.format(a="k", b="n + 1", p="((la + lb) / 2)")} < 0.025 then (la + lb) / 2 else la end, case when k > 0 and {_BINOMIAL.format(a="k", b="n + 1", p="((la + lb) / 2)")} < 0.025 then lb else (la + lb) / 2 end,
+            case when k < n and {_BINOMIAL.format(a="0", b="k + 1", p="((ha + hb) / 2)")} > 0.025 then (ha + hb) / 2 else ha end, case when k < n and {_BINOMIAL.format(a="0", b="k + 1", p="((ha + hb) / 2)")} > 0.025 then hb else (ha + hb) / 2 end from s where step < 36)
+    select m.case_id, m.threshold, m.k as tp, m.n - m.k as fn, round(case when m.k = 0 and m.n > 0 then 0 else (la + lb) / 2 end, 5) as recall_low, round(case when m.k = m.n and m.n > 0 then 1 else (ha + hb) / 2 end, 5) as recall_high
+    from m left join (select * from s where step = 36) s using (case_id, threshold)""",
+    "lineitem", "supplier",
+)
 def case_intervals(l, s):  # noqa: E741
-    return evaluation.with_intervals(_case_scores(l, s)).select("case_id", "threshold", "tp", "fn", F.round("recall_low", 6).alias("recall_low"), F.round("recall_high", 6).alias("recall_high"))
+    return evaluation.with_intervals(_case_scores(l, s)).select("case_id", "threshold", "tp", "fn", F.round("recall_low", 5).alias("recall_low"), F.round("recall_high", 5).alias("recall_high"))
 
 
 @query(None, "lineitem", "supplier", "nation")

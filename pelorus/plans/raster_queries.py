@@ -25,18 +25,26 @@ def score_peaks(e):
     return raster.peaks(_images(e), "band", 0.25)
 
 
-@query(
-    f"""with p as materialized (select image_id, row, col, value * 40 - 20 as db from ({_PX})), v as (select * from p where db > -60),
+_CONTRAST = f"""
+    with p as materialized (select image_id, row, col, value * 40 - 20 as db from ({_PX})), v as (select * from p where db > -60),
     r as (select a.image_id, a.row, a.col, a.db, sum(pow(10, b.db / 10)) as s, count(*) as n from v a join v b on a.image_id = b.image_id and abs(a.row - b.row) <= 2 and abs(a.col - b.col) <= 2
         and (abs(a.row - b.row) > 1 or abs(a.col - b.col) > 1) where a.row between 2 and 5 and a.col between 2 and 5 group by 1, 2, 3, 4)
-    select image_id, row, col, round(db - 10 * log10(s / 16), 6) as contrast_db from r where n = 16""",
-    "embeddings",
-)
+    select image_id, row, col, db - 10 * log10(s / 16) as contrast_db from r where n = 16
+"""
+
+
+@query(f"select image_id, row, col, round(contrast_db, 6) as contrast_db from ({_CONTRAST})", "embeddings")
 def ring_contrast(e):
     return raster.contrast(_images(e), "db", 2, 1).withColumn("contrast_db", F.round("contrast_db", 6))
 
 
-@query(None, "embeddings")
+@query(
+    f"""with recursive h as materialized (select image_id, row * 8 + col as i, row, col, contrast_db - 6 as m from ({_CONTRAST}) where contrast_db >= 6),
+    reach(image_id, i, j) as (select image_id, i, i from h union select r.image_id, r.i, b.i from reach r join h a on a.image_id = r.image_id and a.i = r.j join h b on b.image_id = a.image_id and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+    l as (select image_id, i, min(j) as label from reach group by 1, 2)
+    select image_id, arg_min(row, (-m, i)) as row, arg_min(col, (-m, i)) as col, cast(count(*) as int) as pixels, round(max(m), 6) as margin_db from h join l using (image_id, i) group by image_id, label""",
+    "embeddings",
+)
 def bright_regions(e):
     return raster.bright(_images(e), ["db"], [6.0], 2, 1).withColumn("margin_db", F.round("margin_db", 6))
 
