@@ -89,3 +89,12 @@ def cut(df: DataFrame) -> DataFrame:
     over the rounds of a loop they outgrow the driver.
     """
     return stored(df, "cut")
+
+
+def widened(table: DataFrame) -> DataFrame:
+    """A table as read, spread over all cores where its files make fewer partitions than there are.
+
+    Such a table is small: the engine splits files at spark.sql.files.maxPartitionBytes. For work that is dear by the row.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
