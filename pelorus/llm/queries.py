@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.llm import leaks, nearest_time, packing, quality, splits
-from pelorus.session import stored
+from pelorus.session import stored, widened
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,7 +89,7 @@ def p4_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of each speech or piece of one."""
-    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    texts = widened(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     packed = packing.pack(packing.token_counts(texts))
     return packed.select(F.col("id").alias("doc_id"), "piece_no", "first_token", F.col("size").alias("tokens"), "container_id")
 
@@ -103,7 +103,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "test_items"))
+    return leaks.leaks(widened(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "test_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +116,12 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(read(spark, sf_dir, "documents")).where("junk").select("doc_id")
+    return quality.judged(widened(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))).where("junk").select("doc_id")
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five plain statistics of each speech."""
-    documents = read(spark, sf_dir, "documents")
+    documents = widened(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     stats = quality.statistics(documents.select("doc_id", "text"), quality.common_words(documents))
     five = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
     return stats.select("doc_id", F.col("words").cast("bigint").alias("words"), *[F.round(c, 6).alias(c) for c in five])
@@ -129,7 +129,7 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of each speech with the probability that it is a list, a table or junk."""
-    return quality.judged(read(spark, sf_dir, "documents"))
+    return quality.judged(widened(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 QUERIES = {
