@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -20,18 +22,80 @@ KNOT = 1852.0 / 3600.0
 BASE_M, DRIFT_M_S = 100.0, 2.0
 
 
-def near_scenes(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600, spread: int = 16) -> DataFrame:
-    """Pairs of a scene (scene_id, at_us) and a report within half_s, wherever the report is, over slices of time.
+#: Scenes are held against reports by hours, the vessels of an hour spread over so many keys.
+HOUR_S, SPREAD = 3600.0, 4
+#: Stands for a scene without a name, as numbers beside a null would lose digits on the way to Python.
+_NAMELESS = -(2**63)
+#: Cells of a table of vessels by scenes that are worked on at a time.
+CELLS = 250_000
 
-    A scene visits the slices its window reaches, a report lies in one: an equi-join, no cross product. A slice is spread
-    over `spread` keys, as all reports of an hour may meet in it; the scenes, far fewer, are repeated for each.
+
+def _met(scenes: DataFrame, reports: DataFrame, half_s: float, *fields: str) -> DataFrame:
+    """Scenes (scene_id, at_us and what else they have) and the reports within half_s of any that may be, as rows of one table by bucket and _salt.
+
+    kind 0: a report (user_id, t, id: its report_id, fields); kind 1: a scene (t: its instant, id). A report close to an hour's
+    edge is in both, a scene once for each salt. Nothing is joined: pairs are made where they are met, and no side is broadcast.
     """
-    half, slice_us = int(half_s * 1e6), slice_s * 1_000_000
-    low, high = F.floor((F.col("at_us") - half) / slice_us), F.floor((F.col("at_us") + half) / slice_us)
-    visits = scenes.withColumn("_slice", F.explode(F.sequence(low, high))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    placed = reports.withColumn("t_us", F.unix_micros("time_utc")).withColumn("_slice", F.floor(F.col("t_us") / slice_us))
-    placed = placed.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(spread)).cast("int"))
-    return placed.join(visits, ["_slice", "_salt"]).where(F.abs(F.col("t_us") - F.col("at_us")) <= half).drop("_slice", "_salt")
+    told = reports.select(F.lit(0).alias("kind"), "user_id", F.unix_micros("time_utc").alias("t"), F.coalesce("report_id", F.lit(2**63 - 1)).cast("bigint").alias("id"), *fields)
+    told = in_time_buckets(told.withColumn("_s", F.col("t") / 1e6), "_s", HOUR_S, half_s + 1.0).drop("_s", "core")
+    told = told.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(SPREAD)).cast("int"))
+    more = [c for c in scenes.columns if c not in ("scene_id", "at_us")]
+    told = told.withColumns({c: F.lit(False) for c in more})
+    asked = scenes.where("at_us is not null").select(
+        F.lit(1).alias("kind"), F.lit(0).cast(told.schema["user_id"].dataType).alias("user_id"), F.col("at_us").alias("t"), F.coalesce("scene_id", F.lit(_NAMELESS)).cast("bigint").alias("id"),
+        *[F.lit(None).cast(told.schema[c].dataType).alias(c) for c in fields], F.floor(F.col("at_us") / 1e6 / HOUR_S).alias("bucket"), *more, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_salt"),
+    )
+    return told.unionByName(asked)
+
+
+def _parts(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """The reports and the scenes of each group of _met() that has both; of either kind in the order they come."""
+    kind = frame["kind"].to_numpy()
+    for lo, hi in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
+        mid = lo + int(np.searchsorted(kind[lo:hi], 1))
+        if lo < mid < hi:
+            yield frame.iloc[lo:mid], frame.iloc[mid:hi]
+
+
+def _steps(n: int, width: int, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A table of n rows: how many of the spans first to end (without it) in its row hold each of width columns."""
+    at = row * (width + 1)
+    change = np.bincount(at + first, minlength=n * (width + 1)) - np.bincount(at + end, minlength=n * (width + 1))
+    return np.cumsum(change.reshape(n, width + 1), axis=1)[:, :width]
+
+
+def support_counts(scenes: DataFrame, reports: DataFrame, half_s: float) -> DataFrame:
+    """scene_id, reports, vessels, nearest_s of the reports within half_s of a scene (scene_id, at_us), wherever they are.
+
+    Counted on the ordered instants of an hour without a pair of a report and a scene; scenes without any are left out. A
+    vessel is counted by its reports' merged windows. Only of a scene_id with several instants the vessels are gathered.
+    """
+    half = int(half_s * 1e6)
+
+    def work(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.Table]:
+        for told, asked in _parts(frame, starts):
+            at, t, user = asked["t"].to_numpy(), told["t"].to_numpy(), told["user_id"].to_numpy()
+            new = np.ones(len(t), bool)
+            new[1:] = (user[1:] != user[:-1]) | (t[1:] - t[:-1] > 2 * half)
+            opens, closes = np.sort(t[new] - half), np.sort(t[np.r_[new[1:], True]] + half)
+            vessels = np.searchsorted(opens, at, "right") - np.searchsorted(closes, at, "left")
+            order = np.argsort(t, kind="stable")
+            t, user = t[order], user[order]
+            lo, hi = np.searchsorted(t, at - half, "left"), np.searchsorted(t, at + half, "right")
+            after = np.searchsorted(t, at, "left")
+            away = np.minimum(np.abs(t[np.clip(after, 0, len(t) - 1)] - at), np.abs(t[np.clip(after - 1, 0, len(t) - 1)] - at))
+            again = asked["again"].to_numpy(bool)
+            users = [np.unique(user[a:b]) if x else None for x, a, b in zip(again, lo, hi, strict=True)]
+            kept = hi > lo
+            table = {"id": asked["id"].to_numpy(), "reports": hi - lo, "vessels": np.where(again, 0, vessels), "away": away, "users": pa.array(users, pa.list_(pa.int64()))}
+            yield pa.table(table).filter(pa.array(kept))
+
+    named = scenes.select("scene_id", "at_us", (F.count("*").over(Window.partitionBy("scene_id")) > 1).alias("again"))
+    found = over_groups(_met(named, reports, half_s), ["bucket", "_salt"], ["kind", "user_id", "t"], work, "id bigint, reports bigint, vessels bigint, away bigint, users array<bigint>")
+    total = found.groupBy(F.nullif("id", F.lit(_NAMELESS)).alias("scene_id")).agg(
+        F.sum("reports").alias("reports"), (F.sum("vessels") + F.size(F.array_distinct(F.flatten(F.collect_list("users"))))).alias("vessels"), (F.min("away") / 1e6).alias("nearest_s")
+    )
+    return total
 
 
 def _settled(df: DataFrame) -> DataFrame:
@@ -45,7 +109,7 @@ def _settled(df: DataFrame) -> DataFrame:
 def presence(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600) -> DataFrame:
     """(scene_id, at_us, user_id) of the vessels that may have a report within half_s: heard in a slice of time that it touches.
 
-    Reports are first reduced to one row for each vessel and slice; those of a slice are spread over keys as in near_scenes.
+    Reports are first reduced to one row for each vessel and slice; those of a slice are spread over 16 keys.
     """
     half, slice_us, spread = int(half_s * 1e6), slice_s * 1_000_000, 16
     heard = reports.select("user_id", F.floor(F.unix_micros("time_utc") / slice_us).alias("_slice")).distinct().withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(spread)).cast("int"))

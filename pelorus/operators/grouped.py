@@ -29,11 +29,12 @@ def in_time_buckets(df: DataFrame, time_s: str, width_s: float, halo_s: float) -
 
 
 def over_groups(
-    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str | StructType
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | Iterator[pa.Table]], schema: str | StructType
 ) -> DataFrame:
     """work(frame, starts) over frames that hold whole groups, sorted by keys and order.
 
-    starts has the first row of each group. One shuffle; groups are spread by all keys.
+    starts has the first row of each group. One shuffle; groups are spread by all keys. Where more comes out than goes
+    in, work yields tables, one at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +50,10 @@ def over_groups(
                 v = frame[k].to_numpy()
                 first[1:] |= v[1:] != v[:-1]
             out = work(frame, np.flatnonzero(first))
-            if len(out):
+            if not isinstance(out, pd.DataFrame):
+                for part in out:
+                    yield from part.select(target.names).cast(target).to_batches()
+            elif len(out):
                 yield from pa.Table.from_pandas(out, schema=target, preserve_index=False).to_batches()
 
         target = to_arrow_schema(struct)

@@ -177,10 +177,8 @@ def scenes(manifest: DataFrame) -> DataFrame:
     "manifest", "position_reports",
 )
 def scene_support(m, r):
-    pairs = alignment.near_scenes(scenes(m), reports.clean(r), 300.0)
-    away = F.min(F.abs((F.col("t_us") - F.col("at_us")) / 1e6))
-    status = F.when(away <= 120, "temporal_candidate").otherwise("sparse_support_only")
-    return pairs.groupBy("scene_id").agg(F.count("*").alias("reports"), F.countDistinct("user_id").alias("vessels"), away.alias("nearest_s"), status.alias("status"))
+    counts = alignment.support_counts(scenes(m), reports.clean(r), 300.0)
+    return counts.withColumn("status", F.when(F.col("nearest_s") <= 120, "temporal_candidate").otherwise("sparse_support_only"))
 
 
 _ALIGN = f"""
