@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from pelorus.functions.geodesy import destination, geodesic
+from pelorus.functions.geodesy import destination, geodesic, inverse
 from pelorus.operators.grouped import in_time_buckets, over_groups
 
 AGE_S, PROPAGATE_S, STILL_S = 300.0, 120.0, 60.0
@@ -106,18 +106,6 @@ def _settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
-def presence(scenes: DataFrame, reports: DataFrame, half_s: float, slice_s: int = 600) -> DataFrame:
-    """(scene_id, at_us, user_id) of the vessels that may have a report within half_s: heard in a slice of time that it touches.
-
-    Reports are first reduced to one row for each vessel and slice; those of a slice are spread over 16 keys.
-    """
-    half, slice_us, spread = int(half_s * 1e6), slice_s * 1_000_000, 16
-    heard = reports.select("user_id", F.floor(F.unix_micros("time_utc") / slice_us).alias("_slice")).distinct().withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(spread)).cast("int"))
-    low, high = F.floor((F.col("at_us") - half) / slice_us), F.floor((F.col("at_us") + half) / slice_us)
-    visits = scenes.select("scene_id", "at_us", F.explode(F.sequence(low, high)).alias("_slice")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return heard.join(visits, ["_slice", "_salt"]).select("scene_id", "at_us", "user_id").distinct()
-
-
 def asof(wanted: DataFrame, reports: DataFrame, half_s: float, reach_s: float | None = None, bucket_s: float = 86_400.0) -> DataFrame:
     """wanted (scene_id, at_us, user_id) with the vessel's last report not after and first one after the instant (left, right).
 
@@ -144,6 +132,66 @@ def asof(wanted: DataFrame, reports: DataFrame, half_s: float, reach_s: float |
     return out.select("scene_id", "at_us", "user_id", "left", "right", F.coalesce("torn", F.lit(False)).alias("torn"), "reports")
 
 
+def seen(scenes: DataFrame, reports: DataFrame, half_s: float) -> DataFrame:
+    """scene_id, at_us, user_id, left, right, torn, reports as asof() has them, of every vessel and every scene it has reports around.
+
+    Also g, the geodesic from left to right, which is worked out once for two reports and not for each scene between them. Left and right lie within half_s. Vessels of which an instant within half_s holds several places are left out. The
+    pairs are the result itself: they are made where an hour's reports and scenes meet, after the only shuffle.
+    """
+    half = int(half_s * 1e6)
+    fields = ("lat", "lon", "speed_knots", "course_deg")
+
+    def work(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.Table]:
+        for told, asked in _parts(frame, starts):
+            at, name = asked["t"].to_numpy(), asked["id"].to_numpy()
+            user, t = told["user_id"].to_numpy(), told["t"].to_numpy()
+            lat, lon = told["lat"].to_numpy(), told["lon"].to_numpy()
+            first = np.ones(len(t), bool)  # of each instant
+            first[1:] = (user[1:] != user[:-1]) | (t[1:] != t[:-1])
+            head = np.flatnonzero(first)
+            several = np.add.reduceat((lat != lat[head][np.cumsum(first) - 1]) | (lon != lon[head][np.cumsum(first) - 1]), head) > 0
+            user, t, n = user[head], t[head], len(at)
+            column = {c: told[c].to_numpy()[head] for c in fields} | {"t_us": t}
+            vessel = np.cumsum(np.r_[False, user[1:] != user[:-1]])
+            opens = np.r_[np.flatnonzero(np.r_[True, user[1:] != user[:-1]]), len(t)]
+            follows = np.flatnonzero((user[1:] == user[:-1]) & (t[1:] - t[:-1] <= 2 * half))
+            way = np.full((2, len(t)), np.nan)
+            way[:, follows] = inverse(*[column[k][follows + d] for d in (0, 1) for k in ("lat", "lon")])
+            a, b, c = np.searchsorted(at, t - half, "left"), np.searchsorted(at, t + half, "right"), np.searchsorted(at, t, "left")
+            step = max(1, CELLS // (n + 1))
+            for v in range(0, len(opens) - 1, step):
+                m = min(step, len(opens) - 1 - v)
+                own = slice(opens[v], opens[v + m])
+                row = vessel[own] - v
+                count = _steps(m, n, row, a[own], b[own])
+                fit = count > 0
+                if several[own].any():
+                    bad = several[own]
+                    fit &= _steps(m, n, row[bad], a[own][bad], b[own][bad]) == 0
+                last = np.full((m, n + 1), -1)
+                last[row, c[own]] = np.arange(opens[v], opens[v + m])  # of several the latest, as they come in order
+                last[:, 0] = np.maximum(last[:, 0], opens[v : v + m] - 1)
+                last = np.maximum.accumulate(last, axis=1)[:, :n]
+                i, j = np.nonzero(fit)
+                left = last[i, j]
+                right, when = left + 1, at[j]
+                has_left, has_right = left >= opens[v + i], right < opens[v + i + 1]
+                left, right = np.where(has_left, left, 0), np.where(has_right, right, 0)
+                has_left &= when - t[left] <= half
+                has_right &= t[right] - when <= half
+                out = {"id": name[j], "at_us": when, "user_id": user[opens[v + i]], "reports": count[i, j]}
+                for side, which, has in (("l", left, has_left), ("r", right, has_right)):
+                    out |= {f"{side}_{k}": pa.array(x[which], mask=~has | np.isnan(x[which])) for k, x in column.items()}
+                out |= {k: pa.array(x[left], mask=~(has_left & has_right)) for k, x in zip(("distance_m", "azimuth_deg"), way, strict=True)}
+                yield pa.table(out)
+
+    flat = [f"{side}_{k} {'bigint' if k == 't_us' else 'double'}" for side in "lr" for k in (*fields, "t_us")]
+    met = _met(scenes.select("scene_id", "at_us").distinct(), reports, half_s, *fields)
+    found = over_groups(met, ["bucket", "_salt"], ["kind", "user_id", "t", "id"], work, f"id bigint, at_us bigint, user_id bigint, reports bigint, distance_m double, azimuth_deg double, {', '.join(flat)}")
+    side = lambda s: F.when(F.col(f"{s}_t_us").isNotNull(), F.struct(*[F.col(f"{s}_{k}").alias(k) for k in (*fields, "t_us")]))
+    return found.select(F.nullif("id", F.lit(_NAMELESS)).alias("scene_id"), "at_us", "user_id", side("l").alias("left"), side("r").alias("right"), F.lit(False).alias("torn"), "reports", F.struct("distance_m", "azimuth_deg").alias("g"))
+
+
 def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     """At most one position of each vessel at each scene's instant.
 
@@ -152,11 +200,11 @@ def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
     geodesic if no more than PLAUSIBLE_KNOTS were needed, else carried on from one side for at most
     PROPAGATE_S with its motion, or unmoved for STILL_S.
     """
-    return placed(asof(presence(scenes, reports, AGE_S), reports, AGE_S))
+    return placed(seen(scenes, reports, AGE_S))
 
 
 def placed(found: DataFrame, *carried: str) -> DataFrame:
-    """The positions at the instants of asof(), with columns carried along."""
+    """The positions at the instants of asof() or seen(), with columns carried along."""
     late = lambda c: (F.col(f"{c}.t_us") - F.col("at_us")) / 1e6
     near = lambda c: F.when(F.abs(late(c)) <= AGE_S, F.struct(*[F.col(f"{c}.{k}").alias(k) for k in ("lat", "lon", "speed_knots", "course_deg", "t_us")], late(c).alias("dt")))
     tracks = found.where(~F.col("torn")).withColumn("left", near("left")).withColumn("right", near("right")).where("left is not null or right is not null")
@@ -164,7 +212,7 @@ def placed(found: DataFrame, *carried: str) -> DataFrame:
     tracks = _settled(_settled(tracks).withColumn("near", F.when(F.col("left").isNotNull() & first, F.col("left")).otherwise(F.col("right"))))
     exact = F.col("near.dt") == 0
     both = F.col("left").isNotNull() & F.col("right").isNotNull() & ~exact
-    g = geodesic(F.col("left.lat"), F.col("left.lon"), F.col("right.lat"), F.col("right.lon"))
+    g = F.col("g") if "g" in found.columns else geodesic(F.col("left.lat"), F.col("left.lon"), F.col("right.lat"), F.col("right.lon"))
     tracks = tracks.withColumn("_g", F.when(both, g))
     span = F.col("right.dt") - F.col("left.dt")
     chord_m_s = F.col("_g.distance_m") / span

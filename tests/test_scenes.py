@@ -39,3 +39,28 @@ def test_support_is_counted_without_a_join(spark):
     m = spark.createDataFrame([(1, "2017-01-02T12:00:00Z")], "area_id bigint, reference_midpoint_utc string")
     plan = survey_queries.scene_support(m, spark.createDataFrame([], RAW))._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan  # scenes repeated by slices are more than their file's size says
+
+
+def test_every_vessel_at_every_scene_without_a_join(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "CELLS", 20)  # many parts of a group
+    rows, at = drawn(), [(1, 0), (2, 600_000_000), (3, -900_000_000), (4, 90_000_000_000), (6, 30_000_000), (6, 30_000_000)]
+    r, scenes = reports(spark, rows), spark.createDataFrame([(s, T + x) for s, x in at], "scene_id bigint, at_us bigint")
+    half = 300_000_000
+    want = {}
+    for s, x in at:
+        for u in {u for u, *_ in rows}:
+            met = {us: (la, lo) for v, us, la, lo in reversed(rows) if v == u and abs(us - x) <= half}
+            torn = any(len({(la, lo) for v, us, la, lo in rows if v == u and us == k}) > 1 for k in met)
+            if met and not torn:
+                want[s, u] = (len(met), max((k for k in met if k <= x), default=None), min((k for k in met if k > x), default=None))
+    found = alignment.seen(scenes, r, 300.0).collect()
+    got = {(f.scene_id, f.user_id): (f.reports, f.left and f.left.t_us - T, f.right and f.right.t_us - T) for f in found}
+    assert got == want and len(found) == len(got)
+    track = reports(spark, [(1, -200_000_000, 47, -51), (1, 200_000_000, 47.01, -51)])
+    one, two = alignment.placed(alignment.seen(scenes, track, 300.0)), alignment.placed(alignment.seen(scenes, track, 300.0).drop("g"))
+    same = lambda df: {f.scene_id: (f.method, round(f.lat, 9), round(f.lon, 9), round(f.speed_m_s, 9), f.course_deg) for f in df.collect()}
+    assert same(one) == same(two) and same(one)[1][0] == "interpolated" and abs(same(one)[1][1] - 47.005) < 1e-6
+    m = spark.createDataFrame([(1, "2017-01-02T12:00:00Z")], "area_id bigint, reference_midpoint_utc string")
+    for query in (survey_queries.scene_alignment, survey_queries.scene_covariance):
+        plan = query(m, spark.createDataFrame([], RAW))._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan
