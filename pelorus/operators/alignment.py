@@ -248,6 +248,7 @@ def flagged(pairs: DataFrame) -> DataFrame:
     a candidate of it has another target.
     """
     of_target, of_vessel = Window.partitionBy("scene_id", "target_id"), Window.partitionBy("scene_id", "user_id")
+    pairs = pairs.repartition("scene_id")  # serves both windows, so pairs move once
     pairs = pairs.withColumn("_t", F.count("*").over(of_target)).withColumn("_v", F.count("*").over(of_vessel))
     return pairs.withColumn("ambiguous", (F.col("_t") > 1) | (F.max("_v").over(of_target) > 1)).drop("_t", "_v")
 
@@ -305,10 +306,19 @@ def best_pairs(left: np.ndarray, right: np.ndarray, cost: np.ndarray, alone: flo
     return np.array(sorted(e for _, e in taken.values() if e >= 0), dtype=int)
 
 
-def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost: str, alone: float | None = None) -> DataFrame:
+def _contested(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """flagged() for edges a to b, both numbered from 0, of blocks numbered so."""
+    left = np.unique(block * (np.max(a, initial=0) + 1) + a, return_inverse=True)[1]
+    right = np.unique(block * (np.max(b, initial=0) + 1) + b, return_inverse=True)[1]
+    rival = np.zeros(len(a), int)
+    np.maximum.at(rival, left, np.bincount(right)[right])
+    return (np.bincount(left)[left] > 1) | (rival[left] > 1)
+
+
+def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost: str, alone: float | None = None, flags: bool = False) -> DataFrame:
     """pairs with `selected`: within each block as many as can be, each row and column once, least total cost.
 
-    A block is a scene: its size is that of what one image shows, not of the tables.
+    flags: with `ambiguous` before it, as flagged() has it, without moving the pairs once more. A block is a scene: its size is that of what one image shows, not of the tables.
     """
 
     def solve(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
@@ -320,9 +330,13 @@ def one_to_one(pairs: DataFrame, block: list[str], left: str, right: str, cost:
                 chosen[lo] = alone is None or c[lo] < alone
             else:
                 chosen[lo + best_pairs(a[lo:hi], b[lo:hi], c[lo:hi], alone)] = True
+        if flags:
+            number = np.zeros(len(frame), int)
+            number[starts[1:]] = 1
+            frame = frame.assign(ambiguous=_contested(np.cumsum(number), a, b))
         return frame.assign(selected=chosen)
 
-    fields = [*pairs.schema.fields, StructField("selected", BooleanType())]
+    fields = [*pairs.schema.fields, *[StructField("ambiguous", BooleanType())] * flags, StructField("selected", BooleanType())]
     return over_groups(pairs, block, [left, right], solve, StructType(fields))
 
 
@@ -339,12 +353,41 @@ def covariance(speed_m_s: Column, course_deg: Column, age_s: Column, base_m: flo
     return F.struct((a2 * sin * sin + c2 * cos * cos).alias("ee"), ((a2 - c2) * sin * cos).alias("en"), (a2 * cos * cos + c2 * sin * sin).alias("nn"))
 
 
+def _state() -> Column:
+    return F.when(F.col("second").isNull(), "first_only").when(F.col("first").isNull(), "second_only").when(F.col("first") == F.col("second"), "same").otherwise("different")
+
+
 def compared_choices(one: DataFrame, two: DataFrame) -> DataFrame:
     """By target (scene_id, target_id) the vessel either matcher chose, and how they agree; targets that neither pairs are left out."""
     a = one.where("selected").select("scene_id", "target_id", F.col("user_id").alias("first"))
     b = two.where("selected").select("scene_id", "target_id", F.col("user_id").alias("second"))
-    state = F.when(F.col("second").isNull(), "first_only").when(F.col("first").isNull(), "second_only").when(F.col("first") == F.col("second"), "same").otherwise("different")
-    return a.join(b, ["scene_id", "target_id"], "full").withColumn("state", state)
+    return a.join(b, ["scene_id", "target_id"], "full").withColumn("state", _state())
+
+
+def both_choices(pairs: DataFrame) -> DataFrame:
+    """compared_choices() of both matchers over the same pairs (scene_id, target_id, user_id, distance_m, cost), which move once.
+
+    A null distance_m is no pair to the first matcher, a null cost none to the second, which may abstain. Only chosen pairs leave a scene.
+    """
+
+    def solve(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        a, b = pd.factorize(frame["target_id"])[0], pd.factorize(frame["user_id"])[0]
+        out = {}
+        for name, cost, alone in (("one", "distance_m", None), ("two", "cost", ABSTAIN)):
+            c = frame[cost].to_numpy(float)
+            out[name] = np.zeros(len(frame), bool)
+            for lo, hi in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
+                e = lo + np.flatnonzero(~np.isnan(c[lo:hi]))
+                if len(e):
+                    out[name][e[best_pairs(a[e], b[e], c[e], alone)]] = True
+        frame = frame[["scene_id", "target_id", "user_id"]].assign(**out)
+        return frame[frame["one"] | frame["two"]]
+
+    kinds = {f.name: f for f in pairs.schema.fields}
+    fields = [*[kinds[k] for k in ("scene_id", "target_id", "user_id")], StructField("one", BooleanType()), StructField("two", BooleanType())]
+    chosen = over_groups(pairs, ["scene_id"], ["target_id", "user_id"], solve, StructType(fields))
+    who = lambda c: F.max(F.when(F.col(c), F.col("user_id")))
+    return chosen.groupBy("scene_id", "target_id").agg(who("one").alias("first"), who("two").alias("second")).withColumn("state", _state())
 
 
 #: Gates of the uncertain association: squared statistical distance, metres, and the price of no pair.
@@ -357,8 +400,14 @@ def uncertain_pairs(pairs: DataFrame) -> DataFrame:
     The cost weighs the distance in units of its own uncertainty, so that a vague position does not win by
     its vagueness; who has only dear partners stays without.
     """
+    rows = priced(pairs).where("cost is not null").drop("c")
+    return one_to_one(rows, ["scene_id"], "target_id", "user_id", "cost", ABSTAIN)
+
+
+def priced(pairs: DataFrame) -> DataFrame:
+    """pairs as for uncertain_pairs() with d2, distance_m, and the cost of those within both gates and below ABSTAIN."""
     det = F.col("c.ee") * F.col("c.nn") - F.col("c.en") * F.col("c.en")
     d2 = (F.col("east_m") ** 2 * F.col("c.nn") - 2 * F.col("east_m") * F.col("north_m") * F.col("c.en") + F.col("north_m") ** 2 * F.col("c.ee")) / det
     rows = pairs.withColumn("d2", d2).withColumn("distance_m", F.hypot("east_m", "north_m"))
-    rows = rows.where((F.col("d2") <= GATE_D2) & (F.col("distance_m") <= GATE_M)).withColumn("cost", 0.5 * (F.col("d2") + F.ln(det / 1e8)))
-    return one_to_one(rows.where(F.col("cost") < ABSTAIN).drop("c"), ["scene_id"], "target_id", "user_id", "cost", ABSTAIN)
+    cost = 0.5 * (F.col("d2") + F.ln(det / 1e8))
+    return rows.withColumn("cost", F.when((F.col("d2") <= GATE_D2) & (F.col("distance_m") <= GATE_M) & (cost < ABSTAIN), cost))

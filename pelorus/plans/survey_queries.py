@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelorus.functions import cleaning, geodesy, radar
+from pelorus.functions.geo import wrap_lon
 from pelorus.operators import alignment, catalogue, detection, proximity, regions, reports, statistics
-from pelorus.session import shared_path, stored
+from pelorus.session import shared_path
 
 #: (query, SQL) by name; filled by the decorator.
 ALL: dict[str, tuple] = {}
@@ -210,25 +211,33 @@ _GATE_M = 500.0
 _FARTHEST_M = _GATE_M + alignment.BASE_M + alignment.DRIFT_M_S * alignment.AGE_S
 
 
+def _near_targets(m: DataFrame, r: DataFrame, a: DataFrame, radius_m: float, *carried: Column) -> DataFrame:
+    """Pairs of a target and a vessel aligned to a scene, within radius_m, by grid cells: l_id (target_id, lat, lon), r_id, distance_m.
+
+    Targets repeated by cell are more than their file's size says, so they are not broadcast. Cells are not counted for
+    salts, as the tracks would be worked out twice or stored for that; the join splits a partition that grows too large.
+    """
+    tracks = alignment.aligned(scenes(m), reports.clean(r))
+    lat, lon = F.get("coordinates", F.lit(1)).cast("double"), F.get("coordinates", F.lit(0)).cast("double")
+    targets = proximity.points(a, F.struct(F.col("annotation_id").alias("target_id"), lat.alias("lat"), wrap_lon(lon).alias("lon")), lat, lon, "l")
+    placed = proximity.points(tracks, F.struct("scene_id", "user_id", *carried), F.col("lat"), F.col("lon"), "r")
+    return proximity.within_distance(targets.hint("merge"), placed, radius_m, total=0)
+
+
 def _gated(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
-    """Every target within the gate of a vessel aligned to a scene, by grid cells."""
-    where = stored(alignment.aligned(scenes(m), reports.clean(r)).select("scene_id", "user_id", "lat", "lon", "uncertainty_m"), "aligned")
-    targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
-    placed = proximity.points(where, F.struct("scene_id", "user_id", "uncertainty_m"), F.col("lat"), F.col("lon"), "r")
-    near = proximity.within_distance(targets, placed, _FARTHEST_M)
-    pairs = near.select(F.col("l_id").alias("target_id"), "r_id.*", "distance_m").where(F.col("distance_m") <= F.col("uncertainty_m") + _GATE_M)
-    return alignment.flagged(pairs)
+    """Every target within the gate of a vessel aligned to a scene."""
+    near = _near_targets(m, r, a, _FARTHEST_M, F.col("uncertainty_m")).where(F.col("distance_m") <= F.col("r_id.uncertainty_m") + _GATE_M)
+    return near.select("r_id.scene_id", "l_id.target_id", "r_id.user_id", "distance_m")
 
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_candidates(m, r, a):
-    return _gated(m, r, a).select("scene_id", "target_id", "user_id", F.round("distance_m", 1).alias("distance_m"), "ambiguous")
+    return alignment.flagged(_gated(m, r, a)).select("scene_id", "target_id", "user_id", F.round("distance_m", 1).alias("distance_m"), "ambiguous")
 
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_assignment(m, r, a):
-    pairs = _gated(m, r, a).select("scene_id", "target_id", "user_id", "distance_m", "ambiguous")
-    return alignment.one_to_one(pairs, ["scene_id"], "target_id", "user_id", "distance_m")
+    return alignment.one_to_one(_gated(m, r, a), ["scene_id"], "target_id", "user_id", "distance_m", flags=True)
 
 
 @query(None, "manifest", "position_reports")
@@ -251,28 +260,28 @@ def report_covariance(r):
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
-    return _uncertain(m, r, a)
+    return alignment.uncertain_pairs(_uncertain(m, r, a).drop("near_m", "uncertainty_m"))
 
 
 @query(None, "manifest", "position_reports", "annotations")
 def matcher_comparison(m, r, a):
     """How far the assignment by distance and the one by uncertainty agree, target by target."""
-    pairs = _gated(m, r, a).select("scene_id", "target_id", "user_id", "distance_m", "ambiguous")
-    out = alignment.compared_choices(alignment.one_to_one(pairs, ["scene_id"], "target_id", "user_id", "distance_m"), _uncertain(m, r, a))
-    return out.groupBy("state").agg(F.count("*").alias("targets"))
+    pairs = alignment.priced(_uncertain(m, r, a))
+    near = F.when((F.col("near_m") <= _FARTHEST_M) & (F.col("near_m") <= F.col("uncertainty_m") + _GATE_M), F.col("near_m"))
+    pairs = pairs.select("scene_id", "target_id", "user_id", near.alias("distance_m"), "cost").where("distance_m is not null or cost is not null")
+    return alignment.both_choices(pairs).groupBy("state").agg(F.count("*").alias("targets"))
 
 
 def _uncertain(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
-    w = stored(alignment.aligned(scenes(m), reports.clean(r)), "aligned")
+    """Pairs for alignment.uncertain_pairs(), with near_m, the distance on the sphere, and the vessel's uncertainty_m."""
     c = alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s"))
-    targets = proximity.points(a, F.col("annotation_id"), F.get("coordinates", F.lit(1)), F.get("coordinates", F.lit(0)), "l")
-    placed = proximity.points(w.withColumn("c", c), F.struct("scene_id", "user_id", "c", F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon")), F.col("lat"), F.col("lon"), "r")
-    near = proximity.within_distance(targets, placed, alignment.GATE_M * 1.01).join(targets, "l_id")
-    scale = geodesy.local_distance_m(F.col("l_lat"), F.lit(0.0), F.col("l_lat"), F.lit(1.0))
-    east = (F.pmod(F.col("l_lon") - F.col("r_id.v_lon") + 180.0, F.lit(360.0)) - 180.0) * scale
-    north = F.signum(F.col("l_lat") - F.col("r_id.v_lat")) * geodesy.local_distance_m(F.col("r_id.v_lat"), F.lit(0.0), F.col("l_lat"), F.lit(0.0))
-    pairs = near.select(F.col("r_id.scene_id").alias("scene_id"), F.col("l_id").alias("target_id"), F.col("r_id.user_id").alias("user_id"), east.alias("east_m"), north.alias("north_m"), F.col("r_id.c").alias("c"))
-    return alignment.uncertain_pairs(pairs)
+    carried = (c.alias("c"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.col("uncertainty_m"))
+    near = _near_targets(m, r, a, alignment.GATE_M * 1.01, *carried)
+    lat, lon = F.col("l_id.lat"), F.col("l_id.lon")
+    scale = geodesy.local_distance_m(lat, F.lit(0.0), lat, F.lit(1.0))
+    east = (F.pmod(lon - F.col("r_id.v_lon") + 180.0, F.lit(360.0)) - 180.0) * scale
+    north = F.signum(lat - F.col("r_id.v_lat")) * geodesy.local_distance_m(F.col("r_id.v_lat"), F.lit(0.0), lat, F.lit(0.0))
+    return near.select("r_id.scene_id", "l_id.target_id", "r_id.user_id", east.alias("east_m"), north.alias("north_m"), "r_id.c", F.col("distance_m").alias("near_m"), "r_id.uncertainty_m")
 
 
 @query(

@@ -64,3 +64,16 @@ def test_every_vessel_at_every_scene_without_a_join(spark, monkeypatch):
     for query in (survey_queries.scene_alignment, survey_queries.scene_covariance):
         plan = query(m, spark.createDataFrame([], RAW))._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_flags_and_choices_in_one_pass_and_targets_not_broadcast(spark):
+    rng = np.random.default_rng(6)
+    edges = sorted({(int(s), int(t), int(u)) for s, t, u in rng.integers(0, 5, (60, 3))})
+    pairs = spark.createDataFrame([(*e, float(k * 7 % 11)) for k, e in enumerate(edges)], "scene_id bigint, target_id bigint, user_id bigint, distance_m double")
+    plain = alignment.one_to_one(alignment.flagged(pairs), ["scene_id"], "target_id", "user_id", "distance_m")
+    assert sorted(alignment.one_to_one(pairs, ["scene_id"], "target_id", "user_id", "distance_m", flags=True).collect()) == sorted(plain.collect())
+    m = spark.createDataFrame([(1, "2017-01-02T12:00:00Z")], "area_id bigint, reference_midpoint_utc string")
+    a = spark.createDataFrame([(1, [-51.0, 47.0])], "annotation_id bigint, coordinates array<double>")
+    for name in ("matcher_comparison",):
+        plan = getattr(survey_queries, name)(m, spark.createDataFrame([], RAW), a)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan, name
