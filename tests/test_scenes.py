@@ -74,6 +74,6 @@ def test_flags_and_choices_in_one_pass_and_targets_not_broadcast(spark):
     assert sorted(alignment.one_to_one(pairs, ["scene_id"], "target_id", "user_id", "distance_m", flags=True).collect()) == sorted(plain.collect())
     m = spark.createDataFrame([(1, "2017-01-02T12:00:00Z")], "area_id bigint, reference_midpoint_utc string")
     a = spark.createDataFrame([(1, [-51.0, 47.0])], "annotation_id bigint, coordinates array<double>")
-    for name in ("matcher_comparison", "scene_assignment", "scene_uncertain_pairs"):
+    for name in ("matcher_comparison", "scene_assignment", "scene_uncertain_pairs", "scene_candidates"):
         plan = getattr(survey_queries, name)(m, spark.createDataFrame([], RAW), a)._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan, name
