@@ -28,6 +28,8 @@ HOUR_S, SPREAD = 3600.0, 4
 _NAMELESS = -(2**63)
 #: Cells of a table of vessels by scenes that are worked on at a time.
 CELLS = 250_000
+#: Pairs of a vessel and a scene that leave a task, about: a writer keeps up to 128 MB of a file in memory, so many tasks' small files instead of few large ones.
+PAIRS = 500_000
 
 
 def _met(scenes: DataFrame, reports: DataFrame, half_s: float, *fields: str) -> DataFrame:
@@ -57,6 +59,16 @@ def _parts(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[tuple[pd.DataFra
             yield frame.iloc[lo:mid], frame.iloc[mid:hi]
 
 
+def _tasks(met: DataFrame) -> int:
+    """How many tasks share the groups of _met() so that about PAIRS leave each, if each vessel of a group is seen at each of its scenes.
+
+    What goes into a task says little on that: reports and scenes add up, pairs are their product.
+    """
+    size = met.groupBy("bucket", "_salt", "kind", "user_id").count().groupBy("bucket", "_salt").agg(F.count_if(F.col("kind") == 0).alias("vessels"), F.sum(F.when(F.col("kind") == 1, F.col("count"))).alias("scenes"))
+    pairs = size.agg(F.sum(F.col("vessels") * F.col("scenes"))).first()[0] or 0
+    return max(met.sparkSession.sparkContext.defaultParallelism, -(-pairs // PAIRS))
+
+
 def _steps(n: int, width: int, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A table of n rows: how many of the spans first to end (without it) in its row hold each of width columns."""
     at = row * (width + 1)
@@ -132,11 +144,12 @@ def asof(wanted: DataFrame, reports: DataFrame, half_s: float, reach_s: float |
     return out.select("scene_id", "at_us", "user_id", "left", "right", F.coalesce("torn", F.lit(False)).alias("torn"), "reports")
 
 
-def seen(scenes: DataFrame, reports: DataFrame, half_s: float) -> DataFrame:
+def seen(scenes: DataFrame, reports: DataFrame, half_s: float, written: bool = False) -> DataFrame:
     """scene_id, at_us, user_id, left, right, torn, reports as asof() has them, of every vessel and every scene it has reports around.
 
     Also g, the geodesic from left to right, which is worked out once for two reports and not for each scene between them. Left and right lie within half_s. Vessels of which an instant within half_s holds several places are left out. The
-    pairs are the result itself: they are made where an hour's reports and scenes meet, after the only shuffle.
+    pairs are the result itself: they are made where an hour's reports and scenes meet, after the only shuffle. written: they go
+    from there into files, so the tasks are as many as the pairs ask for, which are counted in a job of its own.
     """
     half = int(half_s * 1e6)
     fields = ("lat", "lon", "speed_knots", "course_deg")
@@ -187,20 +200,20 @@ def seen(scenes: DataFrame, reports: DataFrame, half_s: float) -> DataFrame:
 
     flat = [f"{side}_{k} {'bigint' if k == 't_us' else 'double'}" for side in "lr" for k in (*fields, "t_us")]
     met = _met(scenes.select("scene_id", "at_us").distinct(), reports, half_s, *fields)
-    found = over_groups(met, ["bucket", "_salt"], ["kind", "user_id", "t", "id"], work, f"id bigint, at_us bigint, user_id bigint, reports bigint, distance_m double, azimuth_deg double, {', '.join(flat)}")
+    found = over_groups(met, ["bucket", "_salt"], ["kind", "user_id", "t", "id"], work, f"id bigint, at_us bigint, user_id bigint, reports bigint, distance_m double, azimuth_deg double, {', '.join(flat)}", _tasks(met) if written else None)
     side = lambda s: F.when(F.col(f"{s}_t_us").isNotNull(), F.struct(*[F.col(f"{s}_{k}").alias(k) for k in (*fields, "t_us")]))
     return found.select(F.nullif("id", F.lit(_NAMELESS)).alias("scene_id"), "at_us", "user_id", side("l").alias("left"), side("r").alias("right"), F.lit(False).alias("torn"), "reports", F.struct("distance_m", "azimuth_deg").alias("g"))
 
 
-def aligned(scenes: DataFrame, reports: DataFrame) -> DataFrame:
+def aligned(scenes: DataFrame, reports: DataFrame, written: bool = False) -> DataFrame:
     """At most one position of each vessel at each scene's instant.
 
     scenes: scene_id, at_us. reports: cleaned ones, with report_id for the order of arrival. A track with two
     positions at one instant is left out. Observed exactly, else between the reports on both sides along the
     geodesic if no more than PLAUSIBLE_KNOTS were needed, else carried on from one side for at most
-    PROPAGATE_S with its motion, or unmoved for STILL_S.
+    PROPAGATE_S with its motion, or unmoved for STILL_S. written: as for seen().
     """
-    return placed(seen(scenes, reports, AGE_S))
+    return placed(seen(scenes, reports, AGE_S, written))
 
 
 def placed(found: DataFrame, *carried: str) -> DataFrame:

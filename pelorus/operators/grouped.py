@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Rows that a Python worker gathers before it works on them; a single larger group is still kept whole.
 BUFFER_ROWS = 60_000
+#: Rows of an Arrow batch on its way back, which the engine holds outside its heap for each task.
+BATCH_ROWS = 10_000
 
 
 def in_time_buckets(df: DataFrame, time_s: str, width_s: float, halo_s: float) -> DataFrame:
@@ -29,12 +31,12 @@ def in_time_buckets(df: DataFrame, time_s: str, width_s: float, halo_s: float) -
 
 
 def over_groups(
-    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | Iterator[pa.Table]], schema: str | StructType
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | Iterator[pa.Table]], schema: str | StructType, tasks: int | None = None
 ) -> DataFrame:
     """work(frame, starts) over frames that hold whole groups, sorted by keys and order.
 
     starts has the first row of each group. One shuffle; groups are spread by all keys. Where more comes out than goes
-    in, work yields tables, one at a time.
+    in, work yields tables, one at a time, and tasks says how many share the groups: else the engine merges them by what goes in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +54,7 @@ def over_groups(
             out = work(frame, np.flatnonzero(first))
             if not isinstance(out, pd.DataFrame):
                 for part in out:
-                    yield from part.select(target.names).cast(target).to_batches()
+                    yield from part.select(target.names).cast(target).to_batches(max_chunksize=BATCH_ROWS)
             elif len(out):
                 yield from pa.Table.from_pandas(out, schema=target, preserve_index=False).to_batches()
 
@@ -77,7 +79,7 @@ def over_groups(
             yield from done(pa.Table.from_batches(held))
 
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    spread = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    spread = df.repartition(*[tasks] * bool(tasks), *keys).sortWithinPartitions(*keys, *order)
     return spread.mapInArrow(run, struct)
 
 

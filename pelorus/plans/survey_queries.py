@@ -242,7 +242,7 @@ def scene_assignment(m, r, a):
 
 @query(None, "manifest", "position_reports")
 def scene_covariance(m, r):
-    w = alignment.aligned(scenes(m), reports.clean(r))
+    w = alignment.aligned(scenes(m), reports.clean(r), written=True)
     return w.select("scene_id", "user_id", alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s")).alias("c")).select("scene_id", "user_id", "c.*")
 
 

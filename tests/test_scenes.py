@@ -66,6 +66,17 @@ def test_every_vessel_at_every_scene_without_a_join(spark, monkeypatch):
         assert "Broadcast" not in plan and "Join" not in plan
 
 
+def test_few_pairs_leave_a_task_of_those_written_out(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "PAIRS", 50, raising=False)
+    at = [dt.datetime(2017, 1, 2, 0, 30, tzinfo=dt.UTC) + dt.timedelta(hours=h) for h in range(80)]
+    m = spark.createDataFrame([(3 * h + k, f"{t:%Y-%m-%dT%H:%M}:0{k}Z") for h, t in enumerate(at) for k in range(3)], "area_id bigint, reference_midpoint_utc string")
+    r = spark.createDataFrame([(5 * h + u, 100_000_000 + u, 47.0, -51.0, t, t, 5.0, 10.0, "a", "b") for h, t in enumerate(at) for u in range(5)], RAW)
+    out = survey_queries.scene_covariance(m, r)
+    assert sorted((f.scene_id, f.user_id) for f in out.collect()) == [(s, 100_000_000 + u) for s in range(240) for u in range(5)]
+    left = [f["count"] for f in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(left) == 1200 and max(left) <= 150  # else a task writes as much as its reports and scenes multiply to
+
+
 def test_flags_and_choices_in_one_pass_and_targets_not_broadcast(spark):
     rng = np.random.default_rng(6)
     edges = sorted({(int(s), int(t), int(u)) for s, t, u in rng.integers(0, 5, (60, 3))})
