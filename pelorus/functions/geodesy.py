@@ -62,7 +62,11 @@ def forward(lat, lon, azimuth, distance):
     for _ in range(30):
         c2m, ss, cs = np.cos(2 * s1 + sigma), np.sin(sigma), np.cos(sigma)
         ds = kb * ss * (c2m + kb / 4 * (cs * (2 * c2m**2 - 1) - kb / 6 * c2m * (4 * ss**2 - 3) * (4 * c2m**2 - 3)))
-        sigma = s / (B_M * ka) + ds
+        new = s / (B_M * ka) + ds
+        done = np.nanmax(np.abs(new - sigma), initial=0.0) < 1e-15
+        sigma = new
+        if done:
+            break
     c2m, ss, cs = np.cos(2 * s1 + sigma), np.sin(sigma), np.cos(sigma)
     out_lat = np.arctan2(np.sin(u) * cs + np.cos(u) * ss * np.cos(az), (1 - FLAT) * np.hypot(sa, np.sin(u) * ss - np.cos(u) * cs * np.cos(az)))
     lam = np.arctan2(ss * np.sin(az), np.cos(u) * cs - np.sin(u) * ss * np.cos(az))

@@ -26,6 +26,8 @@ BASE_M, DRIFT_M_S = 100.0, 2.0
 HOUR_S, SPREAD = 3600.0, 4
 #: Stands for a scene without a name, as numbers beside a null would lose digits on the way to Python.
 _NAMELESS = -(2**63)
+#: What is told of a report.
+FIELDS = ("lat", "lon", "speed_knots", "course_deg")
 #: Cells of a table of vessels by scenes that are worked on at a time.
 CELLS = 250_000
 #: Pairs of a vessel and a scene that leave a task, about: a writer keeps up to 128 MB of a file in memory, so many tasks' small files instead of few large ones.
@@ -144,6 +146,51 @@ def asof(wanted: DataFrame, reports: DataFrame, half_s: float, reach_s: float |
     return out.select("scene_id", "at_us", "user_id", "left", "right", F.coalesce("torn", F.lit(False)).alias("torn"), "reports")
 
 
+def around(told: pd.DataFrame, asked: pd.DataFrame, half: int) -> Iterator[tuple]:
+    """The vessels of told (reports) with any within half microseconds of the scenes asked, a part of them at a time, by vessel and instant.
+
+    Arrays by pair: the scene's place in asked, the vessel, how many reports, the reports on both sides as places in column (FIELDS, t_us) and
+    whether there are any. Of these column, and way: distance and azimuth from each to the next one.
+    """
+    at = asked["t"].to_numpy()
+    user, t = told["user_id"].to_numpy(), told["t"].to_numpy()
+    lat, lon = told["lat"].to_numpy(), told["lon"].to_numpy()
+    first = np.ones(len(t), bool)  # of each instant
+    first[1:] = (user[1:] != user[:-1]) | (t[1:] != t[:-1])
+    head = np.flatnonzero(first)
+    several = np.add.reduceat((lat != lat[head][np.cumsum(first) - 1]) | (lon != lon[head][np.cumsum(first) - 1]), head) > 0
+    user, t, n = user[head], t[head], len(at)
+    column = {c: told[c].to_numpy()[head] for c in FIELDS} | {"t_us": t}
+    vessel = np.cumsum(np.r_[False, user[1:] != user[:-1]])
+    opens = np.r_[np.flatnonzero(np.r_[True, user[1:] != user[:-1]]), len(t)]
+    follows = np.flatnonzero((user[1:] == user[:-1]) & (t[1:] - t[:-1] <= 2 * half))
+    way = np.full((2, len(t)), np.nan)
+    way[:, follows] = inverse(*[column[k][follows + d] for d in (0, 1) for k in ("lat", "lon")])
+    a, b, c = np.searchsorted(at, t - half, "left"), np.searchsorted(at, t + half, "right"), np.searchsorted(at, t, "left")
+    step = max(1, CELLS // (n + 1))
+    for v in range(0, len(opens) - 1, step):
+        m = min(step, len(opens) - 1 - v)
+        own = slice(opens[v], opens[v + m])
+        row = vessel[own] - v
+        count = _steps(m, n, row, a[own], b[own])
+        fit = count > 0
+        if several[own].any():
+            bad = several[own]
+            fit &= _steps(m, n, row[bad], a[own][bad], b[own][bad]) == 0
+        last = np.full((m, n + 1), -1)
+        last[row, c[own]] = np.arange(opens[v], opens[v + m])  # of several the latest, as they come in order
+        last[:, 0] = np.maximum(last[:, 0], opens[v : v + m] - 1)
+        last = np.maximum.accumulate(last, axis=1)[:, :n]
+        i, j = np.nonzero(fit)
+        left = last[i, j]
+        right, when = left + 1, at[j]
+        has_left, has_right = left >= opens[v + i], right < opens[v + i + 1]
+        left, right = np.where(has_left, left, 0), np.where(has_right, right, 0)
+        has_left &= when - t[left] <= half
+        has_right &= t[right] - when <= half
+        yield j, user[opens[v + i]], count[i, j], left, right, has_left, has_right, column, way
+
+
 def seen(scenes: DataFrame, reports: DataFrame, half_s: float, written: bool = False) -> DataFrame:
     """scene_id, at_us, user_id, left, right, torn, reports as asof() has them, of every vessel and every scene it has reports around.
 
@@ -152,56 +199,21 @@ def seen(scenes: DataFrame, reports: DataFrame, half_s: float, written: bool = F
     from there into files, so the tasks are as many as the pairs ask for, which are counted in a job of its own.
     """
     half = int(half_s * 1e6)
-    fields = ("lat", "lon", "speed_knots", "course_deg")
 
     def work(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.Table]:
         for told, asked in _parts(frame, starts):
             at, name = asked["t"].to_numpy(), asked["id"].to_numpy()
-            user, t = told["user_id"].to_numpy(), told["t"].to_numpy()
-            lat, lon = told["lat"].to_numpy(), told["lon"].to_numpy()
-            first = np.ones(len(t), bool)  # of each instant
-            first[1:] = (user[1:] != user[:-1]) | (t[1:] != t[:-1])
-            head = np.flatnonzero(first)
-            several = np.add.reduceat((lat != lat[head][np.cumsum(first) - 1]) | (lon != lon[head][np.cumsum(first) - 1]), head) > 0
-            user, t, n = user[head], t[head], len(at)
-            column = {c: told[c].to_numpy()[head] for c in fields} | {"t_us": t}
-            vessel = np.cumsum(np.r_[False, user[1:] != user[:-1]])
-            opens = np.r_[np.flatnonzero(np.r_[True, user[1:] != user[:-1]]), len(t)]
-            follows = np.flatnonzero((user[1:] == user[:-1]) & (t[1:] - t[:-1] <= 2 * half))
-            way = np.full((2, len(t)), np.nan)
-            way[:, follows] = inverse(*[column[k][follows + d] for d in (0, 1) for k in ("lat", "lon")])
-            a, b, c = np.searchsorted(at, t - half, "left"), np.searchsorted(at, t + half, "right"), np.searchsorted(at, t, "left")
-            step = max(1, CELLS // (n + 1))
-            for v in range(0, len(opens) - 1, step):
-                m = min(step, len(opens) - 1 - v)
-                own = slice(opens[v], opens[v + m])
-                row = vessel[own] - v
-                count = _steps(m, n, row, a[own], b[own])
-                fit = count > 0
-                if several[own].any():
-                    bad = several[own]
-                    fit &= _steps(m, n, row[bad], a[own][bad], b[own][bad]) == 0
-                last = np.full((m, n + 1), -1)
-                last[row, c[own]] = np.arange(opens[v], opens[v + m])  # of several the latest, as they come in order
-                last[:, 0] = np.maximum(last[:, 0], opens[v : v + m] - 1)
-                last = np.maximum.accumulate(last, axis=1)[:, :n]
-                i, j = np.nonzero(fit)
-                left = last[i, j]
-                right, when = left + 1, at[j]
-                has_left, has_right = left >= opens[v + i], right < opens[v + i + 1]
-                left, right = np.where(has_left, left, 0), np.where(has_right, right, 0)
-                has_left &= when - t[left] <= half
-                has_right &= t[right] - when <= half
-                out = {"id": name[j], "at_us": when, "user_id": user[opens[v + i]], "reports": count[i, j]}
+            for j, user, count, left, right, has_left, has_right, column, way in around(told, asked, half):
+                out = {"id": name[j], "at_us": at[j], "user_id": user, "reports": count}
                 for side, which, has in (("l", left, has_left), ("r", right, has_right)):
                     out |= {f"{side}_{k}": pa.array(x[which], mask=~has | np.isnan(x[which])) for k, x in column.items()}
                 out |= {k: pa.array(x[left], mask=~(has_left & has_right)) for k, x in zip(("distance_m", "azimuth_deg"), way, strict=True)}
                 yield pa.table(out)
 
-    flat = [f"{side}_{k} {'bigint' if k == 't_us' else 'double'}" for side in "lr" for k in (*fields, "t_us")]
-    met = _met(scenes.select("scene_id", "at_us").distinct(), reports, half_s, *fields)
+    flat = [f"{side}_{k} {'bigint' if k == 't_us' else 'double'}" for side in "lr" for k in (*FIELDS, "t_us")]
+    met = _met(scenes.select("scene_id", "at_us").distinct(), reports, half_s, *FIELDS)
     found = over_groups(met, ["bucket", "_salt"], ["kind", "user_id", "t", "id"], work, f"id bigint, at_us bigint, user_id bigint, reports bigint, distance_m double, azimuth_deg double, {', '.join(flat)}", _tasks(met) if written else None)
-    side = lambda s: F.when(F.col(f"{s}_t_us").isNotNull(), F.struct(*[F.col(f"{s}_{k}").alias(k) for k in (*fields, "t_us")]))
+    side = lambda s: F.when(F.col(f"{s}_t_us").isNotNull(), F.struct(*[F.col(f"{s}_{k}").alias(k) for k in (*FIELDS, "t_us")]))
     return found.select(F.nullif("id", F.lit(_NAMELESS)).alias("scene_id"), "at_us", "user_id", side("l").alias("left"), side("r").alias("right"), F.lit(False).alias("torn"), "reports", F.struct("distance_m", "azimuth_deg").alias("g"))
 
 
@@ -377,32 +389,6 @@ def compared_choices(one: DataFrame, two: DataFrame) -> DataFrame:
     return a.join(b, ["scene_id", "target_id"], "full").withColumn("state", _state())
 
 
-def both_choices(pairs: DataFrame) -> DataFrame:
-    """compared_choices() of both matchers over the same pairs (scene_id, target_id, user_id, distance_m, cost), which move once.
-
-    A null distance_m is no pair to the first matcher, a null cost none to the second, which may abstain. Only chosen pairs leave a scene.
-    """
-
-    def solve(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        a, b = pd.factorize(frame["target_id"])[0], pd.factorize(frame["user_id"])[0]
-        out = {}
-        for name, cost, alone in (("one", "distance_m", None), ("two", "cost", ABSTAIN)):
-            c = frame[cost].to_numpy(float)
-            out[name] = np.zeros(len(frame), bool)
-            for lo, hi in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
-                e = lo + np.flatnonzero(~np.isnan(c[lo:hi]))
-                if len(e):
-                    out[name][e[best_pairs(a[e], b[e], c[e], alone)]] = True
-        frame = frame[["scene_id", "target_id", "user_id"]].assign(**out)
-        return frame[frame["one"] | frame["two"]]
-
-    kinds = {f.name: f for f in pairs.schema.fields}
-    fields = [*[kinds[k] for k in ("scene_id", "target_id", "user_id")], StructField("one", BooleanType()), StructField("two", BooleanType())]
-    chosen = over_groups(pairs, ["scene_id"], ["target_id", "user_id"], solve, StructType(fields))
-    who = lambda c: F.max(F.when(F.col(c), F.col("user_id")))
-    return chosen.groupBy("scene_id", "target_id").agg(who("one").alias("first"), who("two").alias("second")).withColumn("state", _state())
-
-
 #: Gates of the uncertain association: squared statistical distance, metres, and the price of no pair.
 GATE_D2, GATE_M, ABSTAIN = 9.21, 2000.0, 20.0
 

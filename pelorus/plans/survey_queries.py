@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pelorus.functions import cleaning, geodesy, radar
 from pelorus.functions.geo import wrap_lon
-from pelorus.operators import alignment, catalogue, detection, proximity, regions, reports, statistics
+from pelorus.operators import alignment, association, catalogue, detection, proximity, regions, reports, statistics
 from pelorus.session import shared_path
 
 #: (query, SQL) by name; filled by the decorator.
@@ -258,6 +258,10 @@ def report_covariance(r):
     return c.select("report_id", *[(F.round(f"c.{k}", 3) + 0.0).alias(k) for k in ("ee", "en", "nn")])
 
 
+def _targets(a: DataFrame) -> DataFrame:
+    return a.select(F.col("annotation_id").alias("target_id"), F.get("coordinates", F.lit(1)).alias("lat"), F.get("coordinates", F.lit(0)).alias("lon"))
+
+
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
     return alignment.uncertain_pairs(_uncertain(m, r, a).drop("near_m", "uncertainty_m"))
@@ -266,10 +270,7 @@ def scene_uncertain_pairs(m, r, a):
 @query(None, "manifest", "position_reports", "annotations")
 def matcher_comparison(m, r, a):
     """How far the assignment by distance and the one by uncertainty agree, target by target."""
-    pairs = alignment.priced(_uncertain(m, r, a))
-    near = F.when((F.col("near_m") <= _FARTHEST_M) & (F.col("near_m") <= F.col("uncertainty_m") + _GATE_M), F.col("near_m"))
-    pairs = pairs.select("scene_id", "target_id", "user_id", near.alias("distance_m"), "cost").where("distance_m is not null or cost is not null")
-    return alignment.both_choices(pairs).groupBy("state").agg(F.count("*").alias("targets"))
+    return association.compared(scenes(m), reports.clean(r), _targets(a))
 
 
 def _uncertain(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
