@@ -264,7 +264,7 @@ def _targets(a: DataFrame) -> DataFrame:
 
 @query(None, "manifest", "position_reports", "annotations")
 def scene_uncertain_pairs(m, r, a):
-    return alignment.uncertain_pairs(_uncertain(m, r, a).drop("near_m", "uncertainty_m"))
+    return association.uncertain_pairs(scenes(m), reports.clean(r), _targets(a))
 
 
 @query(None, "manifest", "position_reports", "annotations")
@@ -273,18 +273,6 @@ def matcher_comparison(m, r, a):
     return association.compared(scenes(m), reports.clean(r), _targets(a))
 
 
-def _uncertain(m: DataFrame, r: DataFrame, a: DataFrame) -> DataFrame:
-    """Pairs for alignment.uncertain_pairs(), with near_m, the distance on the sphere, and the vessel's uncertainty_m."""
-    c = alignment.covariance(F.col("speed_m_s"), F.col("course_deg"), F.col("report_age_s"))
-    carried = (c.alias("c"), F.col("lat").alias("v_lat"), F.col("lon").alias("v_lon"), F.col("uncertainty_m"))
-    near = _near_targets(m, r, a, alignment.GATE_M * 1.01, *carried)
-    lat, lon = F.col("l_id.lat"), F.col("l_id.lon")
-    scale = geodesy.local_distance_m(lat, F.lit(0.0), lat, F.lit(1.0))
-    east = (F.pmod(lon - F.col("r_id.v_lon") + 180.0, F.lit(360.0)) - 180.0) * scale
-    north = F.signum(lat - F.col("r_id.v_lat")) * geodesy.local_distance_m(F.col("r_id.v_lat"), F.lit(0.0), lat, F.lit(0.0))
-    return near.select("r_id.scene_id", "l_id.target_id", "r_id.user_id", east.alias("east_m"), north.alias("north_m"), "r_id.c", F.col("distance_m").alias("near_m"), "r_id.uncertainty_m")
-
-
 @query(
     f"""select r.report_id, b.roi_key from ({_CLEAN}) r join (select roi_key, center[1] as lon, center[2] as lat from selection_rois where len(center) >= 2) b
         on r.lon >= b.lon - 0.02 and r.lon <= b.lon + 0.02 and r.lat >= b.lat - 0.01 and r.lat <= b.lat + 0.01""",

@@ -81,7 +81,7 @@ def test_a_best_choice_is_settled_or_left_whole():
             assert np.flatnonzero(took).tolist() == alignment.best_pairs(left, right, cost, alone).tolist()
 
 
-@pytest.mark.parametrize("name", ["matcher_comparison"])
+@pytest.mark.parametrize("name", ["matcher_comparison", "scene_uncertain_pairs"])
 def test_pairs_are_made_where_they_meet(spark, name):
     m = spark.createDataFrame([(1, "2017-01-02T12:00:00Z")], "area_id bigint, reference_midpoint_utc string")
     a = spark.createDataFrame([(1, [-51.0, 47.0])], "annotation_id bigint, coordinates array<double>")
