@@ -1,6 +1,6 @@
 """Vessels at scenes held against targets, place by place: pairs within gates and who belongs to whom.
 
-A vessel's instants between two reports travel as one row, to the cells of the grid that it may reach; targets lie in one
+A vessel's way between two reports travels as one row, to the cells of the grid that it may reach, and so do an hour's scenes; targets lie in one
 cell. So all vessels that may reach a target meet it in one group, and most choices are settled there: only what may depend on
 another cell is moved once more, by scene. No side is broadcast, and pairs are not moved but for those.
 """
@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelorus.functions.geo import EARTH_RADIUS_M, wrap_lon
+from pelorus.functions.geo import EARTH_RADIUS_M
 from pelorus.functions.geodesy import A_M, ECC2, forward
 from pelorus.operators import alignment, proximity
 from pelorus.operators.alignment import ABSTAIN, AGE_S, BASE_M, DRIFT_M_S, GATE_D2, GATE_M, KNOT, PLAUSIBLE_KNOTS, PROPAGATE_S, STILL_S
 from pelorus.operators.grouped import over_groups
 
-#: Degrees of a cell; and over how many groups the hours of a cell are spread, to each of which its targets go.
-STEP, SPREAD = 0.5, 32
+#: Degrees of a cell, so that no band of them holds nearly a whole number of columns, which two libraries may round apart; and over how many groups the
+#: hours of a cell are spread, to each of which its targets go.
+STEP, SPREAD = 0.57, 32
 #: Instants of vessels that are worked on at a time (an hour's at least), and pairs of them with targets (a scene's at least).
 TRACKS, PAIRS = 50_000, 500_000
 #: A vessel may be this far from a target besides its own uncertainty.
@@ -33,7 +34,7 @@ _ROW = 0.01
 #: Metres of a radius are so many more at most where the ellipsoid is measured on the sphere.
 _SLACK = 1.01 / EARTH_RADIUS_M
 
-_RUN = "bucket bigint, user_id bigint, lat double, lon double, t0 bigint, lo bigint, hi bigint, speed double, course double, moves boolean, far double, ids binary, offs binary, again binary"
+_RUN = "cell bigint, kind int, bucket bigint, user_id bigint, lat double, lon double, t0 bigint, lo bigint, hi bigint, begin bigint, end bigint, speed double, course double, moves boolean, ids binary, instants binary, again binary"
 _STATES = ("same", "different", "first_only", "second_only")
 
 
@@ -50,22 +51,44 @@ def _radius(along: np.ndarray, across: np.ndarray, age: np.ndarray, near: bool)
     return np.maximum(reach, NEAR_M + BASE_M + DRIFT_M_S * age) if near else reach
 
 
-def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """values as bytes, a row for each stretch that starts at first: lists would be built one by one on their way."""
-    offsets = (np.r_[first, len(values)] * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+def _cells_about(lat: np.ndarray, lon: np.ndarray, far_m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which place reaches which cell of proximity.cell() within far_m, as proximity.reach() has it; lon in [0, 360)."""
+    dlat, dlon = _box(lat, far_m * _SLACK)
+    low, high = (np.floor((np.clip(lat + d, -90.0, 90.0) + 90.0) / STEP).astype(int) for d in (-dlat - 1e-9, dlat + 1e-9))
+    place, row = _ranges(low, high)
+    edge = np.minimum(90.0, np.maximum(np.abs(row * STEP - 90.0), np.abs((row + 1) * STEP - 90.0)))
+    columns = np.maximum(1, np.floor(360.0 * np.cos(np.radians(edge)) / STEP)).astype(int)
+    first, last = (np.floor((lon[place] + d[place]) / 360.0 * columns).astype(int) for d in (-dlon - 1e-9, dlon + 1e-9))
+    which, col = _ranges(first, np.minimum(last, first + columns - 1))
+    return place[which], (row[which] << 31) + col % columns[which]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every number from first to last, and whose it is."""
+    n = np.maximum(0, last - first + 1)
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(first - np.r_[0, np.cumsum(n)[:-1]].astype(int), n)
+
+
+def _box(lat: np.ndarray, angle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees of latitude and longitude within which all lies that is within an angle of places."""
+    dlat = np.degrees(angle)
+    width = np.sin(angle) / np.maximum(np.cos(np.radians(lat)), 1e-15)
+    polar = (np.abs(lat) + dlat >= 90.0) | (width >= 1.0)
+    return dlat, np.where(polar, 180.0, np.degrees(np.arcsin(np.minimum(width, 1.0))))
 
 
 def _runs(scenes: DataFrame, reports: DataFrame, near: bool) -> DataFrame:
-    """The positions of alignment.aligned(), those of a vessel from the same reports in one row: where it starts, how it moves, and the scenes.
+    """The positions of alignment.aligned(), those of a vessel from the same reports in one row (kind 2): where it is at t0, how it moves.
 
-    Its instants are t0 + offs; a report's age at one is the larger of those of lo and hi. far: metres within which all its targets lie.
+    Once for each cell in which it may have targets. Its scenes are all from begin to end; a report's age at one is the larger of those
+    of lo and hi. And by cell the scenes of the hour (kind 1), in order of time, once or more.
     """
     half = int(AGE_S * 1e6)
 
     def work(frame: pd.DataFrame, starts: np.ndarray) -> Iterator[pa.Table]:
         for told, asked in alignment._parts(frame, starts):
             at, name, again = asked["t"].to_numpy(), asked["id"].to_numpy(), asked["again"].to_numpy(bool)
+            met = set()
             for j, user, _, left, right, has_left, has_right, column, way in alignment.around(told, asked, half):
                 t, when = column["t_us"], at[j]
                 before, after = (t[left] - when) / 1e6, (t[right] - when) / 1e6
@@ -90,14 +113,26 @@ def _runs(scenes: DataFrame, reports: DataFrame, near: bool) -> DataFrame:
                 along, across, _ = _spread(speed, course, age)
                 far = np.abs(when - t[start]) / 1e6 * np.where(moves, speed, 0.0) + _radius(along, across, age, near)
                 new = np.ones(len(kept), bool)
+                new[1:] = j[kept][1:] != j[kept][:-1] + 1
                 for x in (user, start, lo, hi, inter.astype(int) + 2 * moved):
                     new[1:] |= x[kept][1:] != x[kept][:-1]
                 head = np.flatnonzero(new)
-                k = kept[head]
-                out = {"user_id": user[k], "lat": column["lat"][start[k]], "lon": column["lon"][start[k]], "t0": t[start[k]], "lo": lo[k], "hi": hi[k]}
-                out |= {"bucket": np.full(len(k), asked["bucket"].iloc[0]), "speed": speed[k], "course": course[k], "moves": moves[k], "far": np.maximum.reduceat(far[kept], head)}
-                out |= {"ids": _binary(name[j[kept]], head), "offs": _binary((when - t[start])[kept].astype(np.int32), head), "again": _binary(again[j[kept]], head)}
-                yield pa.table(out)
+                k, last = kept[head], kept[np.r_[head[1:], len(kept)] - 1]
+                lat, lon = column["lat"][start], column["lon"][start] % 360.0 % 360.0
+                of, cell = _cells_about(lat[k], lon[k], np.maximum.reduceat(far[kept], head))
+                met |= set(np.unique(cell).tolist())
+                k, last = k[of], last[of]
+                out = {"cell": cell, "user_id": user[k], "lat": lat[k], "lon": lon[k], "t0": t[start[k]], "lo": lo[k], "hi": hi[k], "begin": when[k], "end": when[last], "speed": speed[k], "course": course[k], "moves": moves[k]}
+                yield filled(2, asked, out)
+            packed = {"ids": name.tobytes(), "instants": at.tobytes(), "again": again.tobytes()}
+            if met:
+                yield filled(1, asked, {"cell": np.array(sorted(met))} | {k: [x] * len(met) for k, x in packed.items()})
+
+    def filled(kind: int, asked: pd.DataFrame, out: dict) -> pa.Table:
+        n = len(out["cell"])
+        out |= {"kind": np.full(n, kind), "bucket": np.full(n, asked["bucket"].iloc[0])}
+        none = {"binary": b"", "boolean": False}
+        return pa.table(out | {k: pa.array([none.get(x, 0)] * n) for k, x in (c.split() for c in _RUN.split(", ")) if k not in out})
 
     named = scenes.select("scene_id", "at_us").distinct().withColumn("again", F.count("*").over(Window.partitionBy("scene_id")) > 1)
     met = alignment._met(named, reports, AGE_S, *alignment.FIELDS)
@@ -105,15 +140,10 @@ def _runs(scenes: DataFrame, reports: DataFrame, near: bool) -> DataFrame:
 
 
 def _placed(scenes: DataFrame, reports: DataFrame, targets: DataFrame, near: bool) -> DataFrame:
-    """_runs() by each cell they may reach (kind 1), and targets (target_id, lat, lon) by theirs (kind 0), as rows of one table by cell and _salt."""
+    """_runs() (kind 1, 2) and by their cells targets (target_id, lat, lon; kind 0), as rows of one table by cell and _salt."""
     step = F.lit(STEP)
-    runs = _runs(scenes, reports, near).withColumn("lon", wrap_lon(F.col("lon")))
-    angle = F.col("far") * _SLACK
-    width = F.sin(F.least(angle, F.lit(math.pi / 2))) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-15))
-    polar = (F.abs("lat") + F.degrees(angle) >= 90.0) | (width >= 1.0)
-    dlon = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(width, F.lit(1.0)))) + 1e-9)
-    runs = proximity.reach(runs, F.col("lat"), F.col("lon"), step, F.degrees(angle) + 1e-9, dlon, "cell")
-    runs = runs.withColumns({"kind": F.lit(1), "_salt": F.pmod(F.col("bucket"), F.lit(SPREAD)).cast("int"), "columns": F.lit(0).cast("bigint"), "twice": F.lit(False)})
+    runs = _runs(scenes, reports, near)
+    runs = runs.withColumns({"_salt": F.pmod(F.col("bucket"), F.lit(SPREAD)).cast("int"), "columns": F.lit(0).cast("bigint"), "twice": F.lit(False)})
     named = F.coalesce(F.col("target_id"), F.lit(alignment._NAMELESS)).cast("bigint")
     sites = proximity.points(targets, named, F.col("lat"), F.col("lon"), "l").withColumn("twice", F.count("*").over(Window.partitionBy("l_id")) > 1)
     sites = sites.select(
@@ -128,22 +158,20 @@ def _wrapped(degrees: np.ndarray) -> np.ndarray:
     return (degrees + 180.0) % 360.0 - 180.0
 
 
-def _unpacked(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-    """The instants of runs, in order of scenes: id, user, again, age, lat, lon, speed, course."""
-    ids, offs = np.frombuffer(b"".join(rows["ids"]), np.int64), np.frombuffer(b"".join(rows["offs"]), np.int32)
-    again = np.frombuffer(b"".join(rows["again"]), bool)
-    order = np.argsort(ids, kind="stable")
-    of = np.repeat(np.arange(len(rows)), rows["ids"].map(len).to_numpy() // 8)[order]
-    v = {k: rows[k].to_numpy()[of] for k in ("user_id", "lat", "lon", "t0", "lo", "hi", "speed", "course", "moves")}
-    offs = offs[order].astype(np.int64)
-    when = v["t0"] + offs
-    metres = np.where(v["moves"], v["speed"] * (offs / 1e6), 0.0)
-    to = forward(v["lat"], v["lon"], np.where(v["moves"], v["course"], 0.0), metres)
+def _instants(runs: pd.DataFrame, asked: dict[str, np.ndarray], first: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
+    """The instants of runs at the scenes asked from first to last, in order of these: scene (its place in asked), id, user, again, age, lat, lon, speed, course."""
+    of, scene = _ranges(first, last)
+    order = np.argsort(scene, kind="stable")
+    of, scene = of[order], scene[order]
+    v = {k: runs[k].to_numpy()[of] for k in ("user_id", "lat", "lon", "t0", "lo", "hi", "speed", "course", "moves")}
+    when = asked["instants"][scene]
+    to = forward(v["lat"], v["lon"], np.where(v["moves"], v["course"], 0.0), np.where(v["moves"], v["speed"] * ((when - v["t0"]) / 1e6), 0.0))
     lat, lon = np.where(v["moves"], to[0], v["lat"]), np.where(v["moves"], to[1] % 360.0, v["lon"])
-    return {"id": ids[order], "user": v["user_id"], "again": again[order], "age": np.maximum(when - v["lo"], v["hi"] - when) / 1e6, "lat": lat, "lon": lon, "speed": v["speed"], "course": v["course"]}
+    age = np.maximum(when - v["lo"], v["hi"] - when) / 1e6
+    return {"scene": scene, "id": asked["ids"][scene], "again": asked["again"][scene], "user": v["user_id"], "age": age, "lat": lat, "lon": lon, "speed": v["speed"], "course": v["course"]}
 
 
-def _pairs_in(cell: int, sites: pd.DataFrame, runs: pd.DataFrame, near: bool) -> Iterator[dict[str, np.ndarray]]:
+def _pairs_in(cell: int, sites: pd.DataFrame, asked: dict[str, np.ndarray], runs: pd.DataFrame, near: bool) -> Iterator[dict[str, np.ndarray]]:
     """The pairs of a cell, of some scenes at a time: scene (a number), track (one), target (a place in sites), id, user, east, north, near_m, d2, distance_m, cost, held, shared.
 
     shared: the scene may have other instants, or the target's id other places; held: so, or the vessel may have targets in another cell.
@@ -162,16 +190,14 @@ def _pairs_in(cell: int, sites: pd.DataFrame, runs: pd.DataFrame, near: bool) ->
     key, site = key[site], site % len(sites)
     lines = int(line.max()) + 1
     hours = np.flatnonzero(np.r_[True, np.diff(runs["bucket"].to_numpy()) != 0])
-    upto = np.r_[0, np.cumsum(runs["ids"].map(len).to_numpy() // 8)]
+    first, last = np.searchsorted(asked["instants"], runs["begin"].to_numpy(), "left"), np.searchsorted(asked["instants"], runs["end"].to_numpy(), "right") - 1
+    upto = np.r_[0, np.cumsum(last - first + 1)]
     part = np.r_[hours[np.r_[True, np.diff(upto[hours] // TRACKS) != 0]], len(runs)]
     for begin, end in zip(part[:-1], part[1:], strict=True):
-        v = _unpacked(runs.iloc[begin:end])
+        v = _instants(runs.iloc[begin:end], asked, first[begin:end], last[begin:end])
         along, across, rad = _spread(v["speed"], v["course"], v["age"])
         angle = _radius(along, across, v["age"], near) * _SLACK
-        dlat, c_lat = np.degrees(angle), np.cos(np.radians(v["lat"]))
-        width = np.sin(angle) / np.maximum(c_lat, 1e-15)
-        polar = (np.abs(v["lat"]) + dlat >= 90.0) | (width >= 1.0)
-        dlon = np.where(polar, 180.0, np.degrees(np.arcsin(np.minimum(width, 1.0))))
+        (dlat, dlon), c_lat = _box(v["lat"], angle), np.cos(np.radians(v["lat"]))
         y = _wrapped(v["lon"] - middle)
         over = (v["lat"] - dlat <= south + 1e-9) | (v["lat"] + dlat >= north - 1e-9) | (np.abs(y) + dlon >= half - 1e-9)
         low, high = np.maximum(0, np.floor((v["lat"] - dlat - south) / _ROW)).astype(int), np.minimum(lines - 1, np.floor((v["lat"] + dlat - south) / _ROW)).astype(int)
@@ -189,7 +215,7 @@ def _pairs_in(cell: int, sites: pd.DataFrame, runs: pd.DataFrame, near: bool) ->
         on, a, b = on[order], a[order], b[order]
         if not len(on):
             continue
-        scene = np.cumsum(np.r_[True, v["id"][1:] != v["id"][:-1]]) - 1
+        scene = v["scene"]
         fresh = np.flatnonzero(np.r_[True, np.diff(scene[on]) != 0])
         upto_pairs = np.r_[0, np.cumsum(b - a)]
         cut = np.r_[fresh[np.r_[True, np.diff(upto_pairs[fresh] // PAIRS) != 0]], len(on)]
@@ -290,11 +316,12 @@ def _settled(pairs: dict[str, np.ndarray], left: np.ndarray, cost: np.ndarray, a
 def _cells(frame: pd.DataFrame, starts: np.ndarray, near: bool) -> Iterator[Iterator[dict[str, np.ndarray]]]:
     """_pairs_in() of each group of _placed() with targets and runs, the targets by their ids."""
     for lo, hi in zip(starts, np.r_[starts[1:], len(frame)], strict=True):
-        mid = lo + int(np.searchsorted(frame["kind"].to_numpy()[lo:hi], 1))
-        if lo < mid < hi:
-            sites = frame.iloc[lo:mid]
+        mid, run = lo + np.searchsorted(frame["kind"].to_numpy()[lo:hi], [1, 2])
+        if lo < mid < run < hi:
+            sites, hours = frame.iloc[lo:mid], frame.iloc[mid:run].drop_duplicates("bucket")
             name = sites["user_id"].to_numpy()
-            yield ({**p, "target": name[p["target"]], "tie": name[p["target"]]} for p in _pairs_in(int(frame["cell"].iloc[lo]), sites, frame.iloc[mid:hi], near))
+            asked = {k: np.frombuffer(b"".join(hours[k]), kind) for k, kind in (("ids", np.int64), ("instants", np.int64), ("again", bool))}
+            yield ({**p, "target": name[p["target"]], "tie": name[p["target"]]} for p in _pairs_in(int(frame["cell"].iloc[lo]), sites, asked, frame.iloc[run:hi], near))
 
 
 def _among(frame: pd.DataFrame, block: np.ndarray, alone: float | None) -> np.ndarray:
